@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +103,7 @@ def gradient_step(data: DataFrame, features: str, target: str, layers: Layers, a
     sums = data.select(features, target).mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     flat = np.array([v for _, v in sorted(map(tuple, sums.collect()))])
     shared.unpersist()
-    return flat[1] / flat[0], flat[2:] / flat[0]
+    return float(flat[1] / flat[0]), flat[2:] / flat[0]
 
 
 def fit_mlp(
@@ -179,10 +180,14 @@ def layers_of(table: DataFrame) -> Layers:
 
 
 def class_mean_table(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Weights of a linear classifier whose columns are the class means (zero bias)."""
-    parts = df.select(F.col(label).alias("col"), F.posexplode(vector).alias("row", "x"))
-    means = parts.groupBy("row", "col").agg(F.avg(F.col("x").cast("double")).alias("value"))
-    return means.select(F.lit(0).alias("layer"), "row", F.col("col").cast("int").alias("col"), "value")
+    """Weights of a linear classifier whose columns are the class means (zero bias).
+
+    Means are taken vector-wise; only the k mean vectors are unfolded into cells.
+    """
+    rows = df.select(F.col(label).cast("int").alias("col"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    means = rows.groupBy("col").agg(Summarizer.mean(F.col("v")).alias("m"))
+    cells = means.select("col", F.posexplode(vector_to_array("m")).alias("row", "value"))
+    return cells.select(F.lit(0).alias("layer"), "row", "col", "value")
 
 
 def l1_norm(table: DataFrame, strength: float) -> DataFrame:

@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose row count was checked.
+    """A broadcast copy of a side that proves small, else the side as it is.
 
-    A larger side is left to a shuffle join, where adaptive execution splits hot keys.
+    At most ``limit + 1`` rows are fetched. If that is all of them, they are the side:
+    it is not computed again and its size is known. A larger side goes through a
+    shuffle join, where adaptive execution splits hot keys.
     """
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+    rows = dim.limit(limit + 1).collect()
+    return F.broadcast(dim.sparkSession.createDataFrame(rows, dim.schema)) if len(rows) <= limit else dim
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -10,18 +10,22 @@ many buckets as its share of the rows asks for.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
+from datetime import timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.lookup import members
+
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 8192
-SAMPLE_PER_BUCKET = 32
+MAX_BUCKETS = 32_768
+SAMPLE_PER_BUCKET = 16
 SMALL_BUCKET = 50_000
 
 
@@ -38,11 +42,6 @@ def _null_first(row) -> tuple:
     return tuple(out)
 
 
-def _same(columns: Sequence[Column], values: Sequence) -> Column:
-    tests = [c.eqNullSafe(F.lit(v)) for c, v in zip(columns, values)]
-    return reduce(lambda a, b: a & b, tests)
-
-
 def bucket_count(df: DataFrame, n: int, rows_per_bucket: int) -> int:
     cores = df.sparkSession.sparkContext.defaultParallelism
     return max(1, min(MAX_BUCKETS, max(min(cores, n // 4096), math.ceil(n / rows_per_bucket))))
@@ -60,21 +59,56 @@ def range_cuts(df: DataFrame, keys: Sequence[str], buckets: int, n: int) -> list
     return [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
 
 
-def bucket_column(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Number of cut points at or below the row's key, by binary search."""
+def _text(value, kind: T.DataType) -> str | None:
+    """A key value in the form a cast from text reads back exactly."""
+    if value is None:
+        return None
+    if isinstance(kind, T.TimestampType):
+        return value.astimezone(timezone.utc).isoformat(" ")
+    if isinstance(value, float):
+        return "NaN" if math.isnan(value) else repr(value).replace("inf", "Infinity")
+    if isinstance(kind, T.BinaryType):
+        raise TypeError("order by hex text instead of binary")
+    return str(value)
+
+
+def _values(kind: T.DataType, values: Sequence) -> Column:
+    """A literal array from one JSON text: one expression node however many values."""
+    text = json.dumps([_text(v, kind) for v in values])
+    return F.from_json(F.lit(text), "array<string>").cast(T.ArrayType(kind))
+
+
+def _literals(df: DataFrame, keys: Sequence[str], key: Sequence) -> list[Column]:
+    return [F.lit(_text(v, df.schema[k].dataType)).cast(df.schema[k].dataType) for k, v in zip(keys, key)]
+
+
+def _not_above(low: Sequence[Column], high: Sequence[Column], strict: bool = False) -> Column:
+    """``low <= high`` (or ``<``) compared column by column, NULL first."""
+    x, y = low[0], high[0]
+    if len(low) == 1:
+        return F.coalesce(x < y, x.isNull() & y.isNotNull()) if strict else F.coalesce(x <= y, x.isNull())
+    return F.coalesce(x < y, x.isNull() & y.isNotNull()) | (x.eqNullSafe(y) & _not_above(low[1:], high[1:], strict))
+
+
+def _cut_arrays(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> list[Column]:
+    """One literal array per key column, padded with the last cut to 2^m - 1 entries."""
+    padded = [*cuts, *[cuts[-1]] * ((1 << len(cuts).bit_length()) - 1 - len(cuts))]
+    return [_values(df.schema[k].dataType, [c[i] for c in padded]) for i, k in enumerate(keys)]
+
+
+def add_bucket(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
+    """Number of cut points at or below each row's key: a binary search, one projection a step.
+
+    Padding makes the last bucket's number jump, which keeps the order.
+    """
+    out = df.withColumn(BUCKET, F.lit(0))
     if not cuts:
-        return F.lit(0)
-    fields = [df.schema[k] for k in keys]
-    points = F.array(
-        *[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, fields)]) for p in cuts]
-    )
-    key = F.struct(*[F.col(k).alias(k) for k in keys])
-    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(points, at + step - F.lit(1)) <= key, at + step).otherwise(at),
-    )
+        return out
+    arrays, key = _cut_arrays(df, keys, cuts), [F.col(k) for k in keys]
+    for step in [1 << i for i in reversed(range(len(cuts).bit_length()))]:
+        points = [F.get(a, F.col(BUCKET) + F.lit(step - 1)) for a in arrays]
+        out = out.withColumn(BUCKET, F.when(_not_above(points, key), F.col(BUCKET) + F.lit(step)).otherwise(F.col(BUCKET)))
+    return out
 
 
 def range_buckets(
@@ -82,7 +116,7 @@ def range_buckets(
 ) -> tuple[DataFrame, list[tuple]]:
     n = df.count() if n is None else n
     cuts = range_cuts(df, keys, bucket_count(df, n, rows_per_bucket), n)
-    return df.withColumn(BUCKET, bucket_column(df, keys, cuts)), cuts
+    return add_bucket(df, keys, cuts), cuts
 
 
 def _split_groups(bucketed: DataFrame, partition: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
@@ -164,55 +198,73 @@ def scan(
 
 
 def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], n: int | None = None, small: int = SMALL_BUCKET) -> dict[int, tuple]:
-    """The key at each 0-based rank: count per range, then look only into the range that holds it.
+    """The key at each 0-based rank: count per range, then look only into the ranges that hold one.
 
     No row is shuffled: every pass is a map-side count per range, over ever smaller
-    ranges, until a range is small enough to bring over or holds a single key.
+    ranges. Rows equal to a range's first key are counted apart, so a value that fills
+    most of the table is found by its count and never looked into.
     """
-    keys, found, n = list(keys), {}, df.count() if n is None else n
+    keys, ranks, n = list(keys), sorted(set(ranks)), df.count() if n is None else n
     if n <= small:
-        found.update(_ranks_of_small(df, keys, ranks, 0))
-        return found
-    cuts = range_cuts(df, keys, max(64, bucket_count(df, n, SMALL_BUCKET)), n)
-    bucketed = df.withColumn(BUCKET, bucket_column(df, keys, cuts))
-    whole = F.struct(*keys)
-    parts = bucketed.groupBy(BUCKET).agg(F.count(F.lit(1)), F.min(whole), F.max(whole)).orderBy(BUCKET).collect()
-    below = 0
-    for bucket, size, low, high in parts:
-        inside = [r for r in ranks if below <= r < below + size]
-        if inside:
-            if _null_first(low) == _null_first(high):
-                found.update({r: tuple(low) for r in inside})
-            else:
-                part = bucketed.filter(F.col(BUCKET) == bucket).drop(BUCKET)
-                if len(keys) == 1 and low[0] is not None:
-                    part = part.filter(F.col(keys[0]).between(low[0], high[0]))  # reaches the scan
-                deeper = keys_at_ranks(part, keys, [r - below for r in inside], size, small)
-                found.update({r + below: v for r, v in deeper.items()})
+        return _ranks_in(df.groupBy(*keys).agg(F.count(F.lit(1))).collect(), ranks)
+    cuts = range_cuts(df, keys, max(128, bucket_count(df, n, small)), n)
+    arrays, key = _cut_arrays(df, keys, cuts), [F.col(k) for k in keys]
+    lowest = [F.get(a, F.col(BUCKET) - 1).eqNullSafe(k) for a, k in zip(arrays, key)]
+    first = (F.col(BUCKET) > 0) & reduce(lambda a, b: a & b, lowest)
+    parts = add_bucket(df, keys, cuts).groupBy(BUCKET).agg(F.count(F.lit(1)), F.count_if(first)).collect()
+    found, near, below = {}, [], 0
+    for bucket, size, equal in sorted(map(tuple, parts)):
+        at = min(bucket, len(cuts))
+        rest = [r for r in ranks if below + equal <= r < below + size]
+        found.update({r: cuts[at - 1] for r in ranks if below <= r < below + equal})
+        if rest:
+            inside = F.lit(True)
+            if at > 0:
+                inside = inside & _not_above(_literals(df, keys, cuts[at - 1]), key, strict=True)
+            if at < len(cuts):
+                inside = inside & _not_above(key, _literals(df, keys, cuts[at]), strict=True)
+            near.append((below + equal, size - equal, inside, rest))
         below += size
+    # ranges small enough are fetched together, the others are split again
+    fetched = [part for part in near if part[1] <= small // len(near)]
+    if fetched:
+        wanted = reduce(lambda a, b: a | b, [part[2] for part in fetched])
+        rows = sorted(((tuple(r)[:-1], r[-1]) for r in df.filter(wanted).groupBy(*keys).agg(F.count(F.lit(1))).collect()), key=lambda kv: _null_first(kv[0]))
+        for start, size, _, rest in fetched:
+            mine, rows = _take(rows, size)
+            found.update({r: _rank_in(mine, r - start) for r in rest})
+    for start, size, inside, rest in near:
+        if size > small // len(near):
+            deeper = keys_at_ranks(df.filter(inside), keys, [r - start for r in rest], size, small)
+            found.update({r + start: v for r, v in deeper.items()})
     return found
 
 
-def _struct(df: DataFrame, keys: Sequence[str], values: Sequence) -> Column:
-    return F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, values)])
+def _take(rows: list, size: int) -> tuple[list, list]:
+    """Split counted rows after ``size`` of them."""
+    at, i = 0, 0
+    while at < size:
+        at += rows[i][1]
+        i += 1
+    return rows[:i], rows[i:]
 
 
-def _ranks_of_small(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], below: int) -> dict[int, tuple]:
-    rows = sorted(
-        ((tuple(r)[:-1], r[-1]) for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k")).collect()),
-        key=lambda kv: _null_first(kv[0]),
-    )
-    found, at, left = {}, below, sorted(ranks)
-    for key, k in rows:
-        while left and left[0] < at + k:
-            found[left.pop(0)] = key
-        at += k
-    return found
+def _rank_in(counted: Sequence[tuple], rank: int) -> tuple:
+    for key, k in counted:
+        if rank < k:
+            return key
+        rank -= k
+    raise IndexError(rank)
+
+
+def _ranks_in(rows: Sequence, ranks: Sequence[int]) -> dict[int, tuple]:
+    counted = sorted(((tuple(r)[:-1], r[-1]) for r in rows), key=lambda kv: _null_first(kv[0]))
+    return {r: _rank_in(counted, r) for r in ranks}
 
 
 def at_or_below(df: DataFrame, keys: Sequence[str], key: Sequence) -> Column:
     """Row filter: composite key at or below ``key``."""
-    return F.struct(*[F.col(k).alias(k) for k in keys]) <= _struct(df, keys, key)
+    return _not_above([F.col(k) for k in keys], _literals(df, keys, key))
 
 
 def fill_within_key(
@@ -324,7 +376,7 @@ def timeline(history: DataFrame, entities: DataFrame | None, home: str, away: st
     ]
     rest = [c for c in history.columns if c not in {home, away, *[c for p in values.values() for c in p]}]
     out = history.select(*rest, F.explode(F.array(*roles)).alias("__r")).select(*rest, "__r.*")
-    return out if entities is None else out.join(entities, [*key, "team"], "left_semi")
+    return out if entities is None else members(out, entities, [*key, "team"])
 
 
 def best_per_period(df: DataFrame, period: Column, value: str, earlier: Sequence[Column], keep: Sequence[Column]) -> DataFrame:

@@ -10,36 +10,52 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordered import keys_at_ranks
 
-# The built-in percentile keeps one counter per distinct value, all in one task at the
-# end, so it is used only where the number of distinct values is known to be small.
-DISTINCT_LIMIT = 200_000
+# Columns with few distinct values are counted per value and read off those counts. (The
+# built-in exact percentile would merge every task's value counts in one task.)
+DISTINCT_LIMIT = 50_000
 
 
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], distinct_limit: int = DISTINCT_LIMIT) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of numeric columns, NULLs ignored."""
+    """Exact linear-interpolated quantiles of numeric columns; NULL and NaN are ignored."""
     names = list(wanted)
     clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"q{i}") for i, c in enumerate(names)])
     sizes = clean.agg(*[f(f"q{i}") for i in range(len(names)) for f in (F.count, F.approx_count_distinct)]).first()
     few = [i for i in range(len(names)) if min(sizes[2 * i], sizes[2 * i + 1] * 1.2) <= distinct_limit]
-    out: dict[str, list[float | None]] = {}
+    counts: dict[int, list] = {i: [] for i in few}
     if few:
-        row = clean.agg(*[F.percentile(f"q{i}", F.array(*[F.lit(float(q)) for q in wanted[names[i]]])) for i in few]).first()
-        out.update({names[i]: list(v) if v is not None else [None] * len(wanted[names[i]]) for i, v in zip(few, row)})
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("v")) for i in few]))
+        pairs = clean.select(cells.alias("c")).select("c.*").filter("v is not null")
+        for i, v, k in pairs.groupBy("i", "v").agg(F.count(F.lit(1))).collect():
+            counts[i].append((v, k))
+    out = {}
     for i, c in enumerate(names):
-        if c not in out:
-            out[c] = _by_rank(clean, f"q{i}", wanted[c], sizes[2 * i])
+        places = [q * (sizes[2 * i] - 1) for q in wanted[c]]
+        ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+        if sizes[2 * i] == 0:
+            out[c] = [None] * len(places)
+        else:
+            values = _from_counts(sorted(counts[i]), ranks) if i in counts else _from_ranges(clean, f"q{i}", ranks, sizes[2 * i])
+            out[c] = [_between(values, p) for p in places]
     return out
 
 
-def _by_rank(df: DataFrame, column: str, quantiles: Sequence[float], n: int) -> list[float]:
-    places = [q * (n - 1) for q in quantiles]
-    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    values = {r: k[0] for r, k in keys_at_ranks(df.select(column).filter(F.col(column).isNotNull()), [column], ranks, n).items()}
-    out = []
-    for p in places:
-        low, high = math.floor(p), math.ceil(p)
-        out.append(values[low] if low == high else values[low] * (high - p) + values[high] * (p - low))
-    return out
+def _between(values: Mapping[int, float], place: float) -> float:
+    low, high = math.floor(place), math.ceil(place)
+    return values[low] if low == high else values[low] * (high - place) + values[high] * (place - low)
+
+
+def _from_counts(counts: Sequence[tuple[float, int]], ranks: Sequence[int]) -> dict[int, float]:
+    found, at, left = {}, 0, list(ranks)
+    for v, k in counts:
+        while left and left[0] < at + k:
+            found[left.pop(0)] = v
+        at += k
+    return found
+
+
+def _from_ranges(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:
+    values = df.select(column).filter(F.col(column).isNotNull())
+    return {r: key[0] for r, key in keys_at_ranks(values, [column], ranks, n).items()}
 
 
 def quantile_table(df: DataFrame, wanted: Mapping[str, Sequence[float]], fast: bool = False, accuracy: int = 10_000) -> DataFrame:

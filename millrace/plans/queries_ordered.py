@@ -8,6 +8,7 @@ from millrace.functions import scalar, vectors
 from millrace.operators import fold, learn, lookup, ordered, report
 from millrace.plans.queries_prep import big, r
 from millrace.plans.registry import query
+from millrace.session import stage
 
 # --- sorted windows and targets ------------------------------------------------------
 
@@ -60,7 +61,7 @@ G_SQL = "case when abs(home_score - away_score) <= 1 then 1.0::double when abs(h
 S_SQL = "case when home_score > away_score then 1.0::double when home_score < away_score then 0.0::double else 0.5::double end"
 
 # One step per match of a pool; the state is the list of the pool's 25 ratings.
-ELO_SQL = f"""with recursive m as (select match_id, dt, pool, home, away, home_score, away_score, {K_SQL} as k, {G_SQL} as g, {S_SQL} as s,
+ELO_SQL = f"""with recursive m as materialized (select match_id, dt, pool, home, away, home_score, away_score, {K_SQL} as k, {G_SQL} as g, {S_SQL} as s,
       row_number() over (partition by pool order by dt, match_id) as rn from v_matches),
     e as (
       select pool, 0::bigint as rn, list_transform(range(25), lambda x: 1500.0::double) as ratings, 0.0::double as home_elo, 0.0::double as away_elo from (select distinct pool from m)
@@ -70,7 +71,7 @@ ELO_SQL = f"""with recursive m as (select match_id, dt, pool, home, away, home_s
       from (select e.pool, m.rn, e.ratings, m.home, m.away,
           m.k * m.g * (m.s - 1 / (1 + power(10.0::double, -(e.ratings[m.home + 1] - e.ratings[m.away + 1] + 100) / 400))) as mv
         from e join m on m.pool = e.pool and m.rn = e.rn + 1) q),
-    hist as (select m.match_id, m.dt, m.pool, m.home, m.away, m.home_score, m.away_score, m.k, m.g, e.home_elo, e.away_elo from e join m on m.pool = e.pool and m.rn = e.rn),
+    hist as materialized (select m.match_id, m.dt, m.pool, m.home, m.away, m.home_score, m.away_score, m.k, m.g, e.home_elo, e.away_elo from e join m on m.pool = e.pool and m.rn = e.rn),
     sides as (select pool, dt, match_id, home as team, home_elo as elo from hist union all select pool, dt, match_id, away, away_elo from hist),
     last as (select pool, team, arg_max(elo, (dt, match_id)) as elo, count(*) as matches from sides group by pool, team)"""
 THRESHOLD = 20
@@ -99,7 +100,7 @@ def f4(t):
     select s.pool, s.team, s.match_id, strftime(s.dt, '%Y-%m-%d') as day, round(s.elo, 6) as elo from sides s join pick using (pool, team)""",
 )
 def f5(t):
-    h = history(t).persist()
+    h = stage(history(t), "history")  # read twice, folded once
     best = fold.final_ratings(h, "pool", ["dt", "match_id"])
     ranked = ordered.scan(best.withColumn("down", -F.col("elo")), ["down", "team"], ["pool"])
     rows = ordered.timeline(h, ranked.filter("rank <= 2"), "home", "away", {"elo": ("home_elo", "away_elo")}, key=["pool"])
