@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators.lookup import one_row
 from millrace.operators.ordered import fill_within_key
 from millrace.operators.quantiles import exact_quantiles
+from millrace.session import stage
 
 # Fixed pattern: optional sign, decimal digits, optional exponent; surrounding blanks allowed.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -80,7 +81,10 @@ def apply_fences(df: DataFrame, fences: DataFrame, columns: Sequence[str]) -> Da
 def fill_by_key(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], residual: bool = True, **sizes) -> DataFrame:
     """Per-key forward then backward fill; what stays missing gets the median if ``residual``."""
     filled = fill_within_key(df, key, order, columns, **sizes)
-    return fill_with(filled, fit_medians(filled, columns), columns) if residual else filled
+    if not residual:
+        return filled
+    filled = stage(filled, "filled")  # the medians and the result read it; the fill shuffles once
+    return fill_with(filled, fit_medians(filled, columns), columns)
 
 
 def missing_list_to_empty(c: str | Column) -> Column:

@@ -87,6 +87,11 @@ def score_counts(df: DataFrame, y: str, score: str, key: Sequence[str] = (), bin
     return stage(counted.withColumn("__down", -F.col("score")), "score-counts")
 
 
+def pooled(counts: DataFrame) -> DataFrame:
+    """Counts of all keys together (micro averages), from the counts per key."""
+    return stage(counts.groupBy("score", "__down").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "pooled-counts")
+
+
 def _with_totals(counts: DataFrame, key: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
     totals = counts.groupBy(*key).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     ranked = scan(counts, ["__down"], key, rank=None, sums={"tp": "pos", "fp": "neg"}, rows_per_bucket=rows_per_bucket).drop("__down")

@@ -22,7 +22,12 @@ from millrace.operators.ordered import sliding_windows
 from millrace.operators.sample import sequential_split
 
 Layers = list[tuple[np.ndarray, np.ndarray]]  # per layer: weights (inputs x outputs), bias
-ACTIVATIONS = ("identity", "relu", "elu")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a repeated pass over few, large input splits; many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _activate(z: np.ndarray, kind: str) -> np.ndarray:
@@ -114,7 +119,7 @@ def fit_mlp(
 
     ``start`` continues from earlier weights (second stage on other data).
     """
-    data = df.select(features, F.col(target).cast("double").alias(target)).persist()
+    data = spread(df.select(features, F.col(target).cast("double").alias(target))).persist()
     width = data.select(F.max(F.size(features))).first()[0]
     layers = start or starting_weights([width, *hidden, 1], seed)
     flat, first, second, losses = flatten(layers), 0.0, 0.0, []
@@ -199,12 +204,12 @@ def fit_boosted_trees(df: DataFrame, features: Sequence[str], target: str, round
         VectorAssembler(inputCols=list(features), outputCol="features"),
         GBTRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", maxIter=rounds, maxDepth=depth, seed=seed),
     ]
-    return Pipeline(stages=parts).fit(df)
+    return Pipeline(stages=parts).fit(spread(df.select(*features, target)))
 
 
 def fit_classifier(df: DataFrame, vector: str, label: str, hidden: Sequence[int], classes: int, steps: int = 100, seed: int = 0, start=None):
     """Feed-forward classifier on an array column; ``start`` continues from earlier weights."""
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label")).persist()
+    rows = spread(df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))).persist()
     width = df.select(F.max(F.size(vector))).first()[0]
     net = MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=steps, seed=seed)
     model = (net.setInitialWeights(start) if start is not None else net).fit(rows)

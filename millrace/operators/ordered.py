@@ -27,6 +27,7 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 32_768
 SAMPLE_PER_BUCKET = 16
 SMALL_BUCKET = 50_000
+ROWS_WORTH_A_TASK = 32_768
 
 
 def _null_first(row) -> tuple:
@@ -44,7 +45,7 @@ def _null_first(row) -> tuple:
 
 def bucket_count(df: DataFrame, n: int, rows_per_bucket: int) -> int:
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(MAX_BUCKETS, max(min(cores, n // 4096), math.ceil(n / rows_per_bucket))))
+    return max(1, min(MAX_BUCKETS, max(min(cores, n // ROWS_WORTH_A_TASK), math.ceil(n / rows_per_bucket))))
 
 
 def range_cuts(df: DataFrame, keys: Sequence[str], buckets: int, n: int) -> list[tuple]:
@@ -97,18 +98,20 @@ def _cut_arrays(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> li
 
 
 def add_bucket(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
-    """Number of cut points at or below each row's key: a binary search, one projection a step.
+    """Number of cut points at or below each row's key: a binary search in one expression.
 
     Padding makes the last bucket's number jump, which keeps the order.
     """
-    out = df.withColumn(BUCKET, F.lit(0))
     if not cuts:
-        return out
+        return df.withColumn(BUCKET, F.lit(0))
     arrays, key = _cut_arrays(df, keys, cuts), [F.col(k) for k in keys]
-    for step in [1 << i for i in reversed(range(len(cuts).bit_length()))]:
-        points = [F.get(a, F.col(BUCKET) + F.lit(step - 1)) for a in arrays]
-        out = out.withColumn(BUCKET, F.when(_not_above(points, key), F.col(BUCKET) + F.lit(step)).otherwise(F.col(BUCKET)))
-    return out
+    steps = _values(T.IntegerType(), [1 << i for i in reversed(range(len(cuts).bit_length()))])
+
+    def probe(at: Column, step: Column) -> Column:
+        points = [F.get(a, at + step - F.lit(1)) for a in arrays]
+        return F.when(_not_above(points, key), at + step).otherwise(at)
+
+    return df.withColumn(BUCKET, F.aggregate(steps, F.lit(0), probe))
 
 
 def range_buckets(

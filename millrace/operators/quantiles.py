@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +22,16 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], distin
     clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"q{i}") for i, c in enumerate(names)])
     sizes = clean.agg(*[f(f"q{i}") for i in range(len(names)) for f in (F.count, F.approx_count_distinct)]).first()
     few = [i for i in range(len(names)) if min(sizes[2 * i], sizes[2 * i + 1] * 1.2) <= distinct_limit]
-    counts: dict[int, list] = {i: [] for i in few}
+    counts: dict[int, tuple] = {}
     if few:
         cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("v")) for i in few]))
         pairs = clean.select(cells.alias("c")).select("c.*").filter("v is not null")
-        for i, v, k in pairs.groupBy("i", "v").agg(F.count(F.lit(1))).collect():
-            counts[i].append((v, k))
+        table = pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).toArrow()
+        which, v, k = (table[c].to_numpy() for c in ("i", "v", "k"))
+        for i in few:
+            mine = np.flatnonzero(which == i)
+            mine = mine[np.argsort(v[mine])]
+            counts[i] = (v[mine], np.cumsum(k[mine]))
     out = {}
     for i, c in enumerate(names):
         places = [q * (sizes[2 * i] - 1) for q in wanted[c]]
@@ -34,7 +39,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], distin
         if sizes[2 * i] == 0:
             out[c] = [None] * len(places)
         else:
-            values = _from_counts(sorted(counts[i]), ranks) if i in counts else _from_ranges(clean, f"q{i}", ranks, sizes[2 * i])
+            values = _from_counts(*counts[i], ranks) if i in counts else _from_ranges(clean, f"q{i}", ranks, sizes[2 * i])
             out[c] = [_between(values, p) for p in places]
     return out
 
@@ -44,13 +49,9 @@ def _between(values: Mapping[int, float], place: float) -> float:
     return values[low] if low == high else values[low] * (high - place) + values[high] * (place - low)
 
 
-def _from_counts(counts: Sequence[tuple[float, int]], ranks: Sequence[int]) -> dict[int, float]:
-    found, at, left = {}, 0, list(ranks)
-    for v, k in counts:
-        while left and left[0] < at + k:
-            found[left.pop(0)] = v
-        at += k
-    return found
+def _from_counts(values: np.ndarray, up_to: np.ndarray, ranks: Sequence[int]) -> dict[int, float]:
+    """Value at each rank, from ascending values and their running counts."""
+    return {r: float(values[np.searchsorted(up_to, r, side="right")]) for r in ranks}
 
 
 def _from_ranges(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:

@@ -124,9 +124,8 @@ def i8(t):
 )
 def i9(t):
     counts = evaluate.score_counts(decisions(t), "y", "score", ["class"])
-    pooled = evaluate.score_counts(decisions(t), "y", "score")
     macro = evaluate.areas(counts, ["class"]).agg(r(F.avg("ap"), 8).alias("ap")).select(F.lit("macro").alias("kind"), "ap")
-    return macro.unionByName(evaluate.areas(pooled).select(F.lit("micro").alias("kind"), r("ap", 8).alias("ap")))
+    return macro.unionByName(evaluate.areas(evaluate.pooled(counts)).select(F.lit("micro").alias("kind"), r("ap", 8).alias("ap")))
 
 
 @query(
