@@ -127,8 +127,8 @@ def fit_mlp(
         loss, grad = gradient_step(data, features, target, unflatten(flat, layers), activation)
         losses.append(loss)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
-        ahead, spread = first / (1 - 0.9**t), second / (1 - 0.999**t)
-        flat = flat - rate * (ahead / (np.sqrt(spread) + 1e-8) + decay * flat)
+        ahead, wide = first / (1 - 0.9**t), second / (1 - 0.999**t)
+        flat = flat - rate * (ahead / (np.sqrt(wide) + 1e-8) + decay * flat)
     data.unpersist()
     return unflatten(flat, layers), losses
 
