@@ -55,9 +55,10 @@ def test_curves_end_points_and_threshold(scored):
     assert points[0] == (float("inf"), 0.0, 0.0) and points[-1][1:] == (1.0, 1.0)
     best = evaluate.best_threshold(roc)
     j = max(t - f for _, f, t in points)
-    assert best.first().threshold == next(c for c, f, t in points if t - f == j)
+    cut = best.first().threshold
+    assert cut == next(c for c, f, t in points if t - f == j)
     above = evaluate.relabel(df, "s", one_row(best)["threshold"])
-    assert above.filter("pred = 1").count() == sum(s > best.first().threshold for _, _, s in rows)
+    assert above.filter("pred = 1").count() == sum(s > cut for _, _, s in rows)
     pr = [tuple(r) for r in evaluate.pr_curve(counts).collect()]
     assert (None, 1.0, 0.0) in pr and len(pr) == len(points)
 
