@@ -3,7 +3,7 @@
 The state at a row depends on all rows before it, so one pool (or run) is one sequence.
 Its rows are sorted in the shuffle and streamed through the task batch by batch: memory
 is the state plus one batch, however long the sequence. Everything that does not depend
-on the state is computed in the JVM before.
+on the state is computed in the JVM before, and patience scans walk only the records.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.scalar import HOME_ADVANTAGE, START_RATING, goal_multiplier, k_factor, match_result
 from millrace.operators.lookup import both_sides
+from millrace.operators.ordered import fill_within_key, scan
+from millrace.session import stage
 
 
 def _in_order(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -102,89 +104,89 @@ def teams_in_two_pools(matches: DataFrame, pool: str, home: str, away: str) -> D
     return pairs.groupBy("team").agg(F.count(F.lit(1)).alias("pools")).filter("pools > 1")
 
 
-def patience_scan(log: DataFrame, run: str, order: Sequence[str], loss: str, patience: int, delta: float) -> DataFrame:
+def _improvements(log: DataFrame, run: str, order: Sequence[str], loss: Column, ties: bool, sizes: dict) -> tuple[DataFrame, DataFrame]:
+    """Ranked steps, and the records a scan has to walk: running minima and one end mark a run.
+
+    A step that improves on the best by a non-negative ``delta`` lies below every loss
+    before it, so the other steps can only be counted, and their count is a difference of
+    ranks. One long run is thus ranked on many tasks and only its records are walked.
+    """
+    steps = log.withColumn("__loss", F.when(~F.isnan(loss), loss))
+    ranked = stage(scan(steps, order, [run], rank="__step", lows={"__low": "__loss"}, **sizes), "steps")
+    lower = F.col("__loss") <= F.col("__low") if ties else F.col("__loss") < F.col("__low")
+    records = ranked.filter(F.col("__loss").isNotNull() & (F.col("__low").isNull() | lower)).select(run, "__step", "__loss")
+    ends = ranked.groupBy(run).agg((F.count(F.lit(1)) + 1).alias("__step"))
+    marked = records.unionByName(ends.withColumn("__loss", F.lit(None).cast("double")))
+    return ranked, _in_order(marked, [run], ["__step"])
+
+
+def patience_scan(log: DataFrame, run: str, order: Sequence[str], loss: str, patience: int, delta: float, **sizes) -> DataFrame:
     """Best loss so far per run and the step at which ``patience`` bad steps stop it.
 
     A step improves if ``loss < best - delta``. (run, best_loss, best_step, stop_step, steps);
     ``stop_step`` is NULL if the run ends first; steps after the stop are not looked at.
     """
-    rows = _in_order(log.select(run, *order, F.col(loss).cast("double").alias("__loss")), [run], order)
-    names = [run, "best_loss", "best_step", "stop_step", "steps"]
+    _, records = _improvements(log.select(run, *order, loss), run, order, F.col(loss).cast("double"), False, sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, started = None, False
-        best, best_step, bad, stop, step = math.inf, None, 0, None, 0
-
-        def done(key):
-            return (key, None if best_step is None else best, best_step, stop, step)
-
-        kind = None
+        best, last, stop = math.inf, 0, None
         for b in batches:
-            kind, out = b.schema.field(run).type, []
-            for key, value in zip(b.column(run).to_pylist(), b.column("__loss").to_pylist()):
-                if not started or key != at:
-                    if started:
-                        out.append(done(at))
-                    at, started = key, True
-                    best, best_step, bad, stop, step = math.inf, None, 0, None, 0
-                if stop is not None:
-                    continue
-                step += 1
-                if value is not None and value < best - delta:
-                    best, best_step, bad = value, step, 0
-                else:
-                    bad += 1
-                    if bad >= patience:
-                        stop = step
-            if out:
-                yield _rows(out, names, kind)
-        if started:
-            yield _rows([done(at)], names, kind)
+            out = []
+            for key, step, value in zip(*(b.column(c).to_pylist() for c in (run, "__step", "__loss"))):
+                if stop is None and step - 1 - last >= patience:
+                    stop = last + patience
+                if value is None:  # end of the run
+                    out.append((key, best if last else None, last or None, stop, stop or step - 1))
+                    best, last, stop = math.inf, 0, None
+                elif stop is None and value < best - delta:
+                    best, last = value, step
+            kinds = [b.schema.field(run).type, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
+    names = [run, "best_loss", "best_step", "stop_step", "steps"]
     schema = T.StructType(
-        [rows.schema[run], T.StructField("best_loss", T.DoubleType())]
-        + [T.StructField(c, T.LongType()) for c in ("best_step", "stop_step", "steps")]
+        [records.schema[run], T.StructField("best_loss", T.DoubleType())] + [T.StructField(c, T.LongType()) for c in names[2:]]
     )
-    return rows.mapInArrow(walk, schema)
-
-
-def _rows(rows: list[tuple], names: Sequence[str], key_type: pa.DataType) -> pa.RecordBatch:
-    kinds = [key_type, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=list(names))
+    return records.mapInArrow(walk, schema)
 
 
 def plateau_rate(
-    log: DataFrame, run: str, order: Sequence[str], loss: str, rate: float, patience: int, factor: float, delta: float, floor: float, mode: str = "min"
+    log: DataFrame, run: str, order: Sequence[str], loss: str, rate: float, patience: int, factor: float, delta: float, floor: float,
+    mode: str = "min", **sizes,
 ) -> DataFrame:
     """Learning rate after each step: ``patience`` steps without improvement multiply it by ``factor``.
 
     A step is bad if ``loss > best - delta``; the count starts anew after a cut. ``mode``
-    ``max`` watches a score that should rise.
+    ``max`` watches a score that should rise. Each step's rate follows from the last
+    improvement before it, which is carried forward to it.
     """
-    sign = 1.0 if mode == "min" else -1.0
-    kept = [run, *order, loss]
-    rows = _in_order(log.select(*kept, (F.col(loss) * sign).cast("double").alias("__loss")), [run], order)
+    watched = F.col(loss).cast("double") * F.lit(1.0 if mode == "min" else -1.0)
+    ranked, records = _improvements(log, run, order, watched, True, sizes)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, started = None, False
-        best, bad, now = math.inf, 0, rate
+        best, last, cuts = math.inf, 0, 0
         for b in batches:
-            rates, bads = [], []
-            for key, value in zip(b.column(run).to_pylist(), b.column("__loss").to_pylist()):
-                if not started or key != at:
-                    at, started, best, bad, now = key, True, math.inf, 0, rate
-                if value is None or value > best - delta:
-                    bad += 1
-                    if bad >= patience:
-                        now, bad = max(now * factor, floor), 0
-                else:
-                    best, bad = value, 0
-                rates.append(now)
-                bads.append(bad)
-            shown = [b.column(c) for c in kept] + [pa.array(rates, pa.float64()), pa.array(bads, pa.int64())]
-            yield pa.RecordBatch.from_arrays(shown, names=[*kept, "rate", "bad_steps"])
-
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("rate", T.DoubleType()), T.StructField("bad_steps", T.LongType())])
-    return rows.mapInArrow(walk, schema)
-
-
+            steps, cut = [None] * b.num_rows, [None] * b.num_rows
+            for i, (step, value) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__step", "__loss")))):
+                if value is None:
+                    best, last, cuts = math.inf, 0, 0
+                elif not value > best - delta:
+                    best, cuts, last = value, cuts + (step - 1 - last) // patience, step
+                    steps[i], cut[i] = step, cuts
+            shown = [b.column(run), pa.array(steps, pa.int64()), pa.array(steps, pa.int64()), pa.array(cut, pa.int64())]
+            yield pa.RecordBatch.from_arrays(shown, names=[run, "__step", "__at", "__cuts"])
+
+    kinds = [T.StructField(c, T.LongType()) for c in ("__step", "__at", "__cuts")]
+    better = records.mapInArrow(walk, T.StructType([records.schema[run], *kinds])).filter("__at is not null")
+    marked = stage(ranked.drop("__loss", "__low").join(better, [run, "__step"], "left"), "improvements")
+    filled = fill_within_key(marked, run, ["__step"], ["__at", "__cuts"], **sizes)
+    since = F.when(F.col("__at") <= F.col("__step"), F.col("__at"))  # a later one is not this step's
+    waited = F.col("__step") - F.coalesce(since, F.lit(0))
+    cuts = F.coalesce(F.when(since.isNotNull(), F.col("__cuts")), F.lit(0)) + F.floor(waited / patience)
+    cut_rate = F.greatest(F.lit(float(rate)) * F.pow(F.lit(float(factor)), cuts), F.lit(float(floor)))
+    return filled.select(
+        *log.columns,
+        F.when(cuts == 0, F.lit(float(rate))).otherwise(cut_rate).alias("rate"),
+        (waited % patience).cast("bigint").alias("bad_steps"),
+    )

@@ -154,50 +154,53 @@ def scan(
     partition: Sequence[str] = (),
     rank: str | None = "rank",
     sums: dict[str, str] | None = None,
+    lows: dict[str, str] | None = None,
     n: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """1-based rank and inclusive running sums in ``order`` within ``partition``.
+    """1-based rank, running sums and running minima in ``order`` within ``partition``.
 
     ``order`` must be unique inside a partition for the rank to be reproducible; order
-    descending by passing a negated column. ``sums`` maps output name to input column.
+    descending by passing a negated column. ``sums`` and ``lows`` map output name to input
+    column; a sum includes the row itself, a low is the least value of the rows before it.
     """
-    partition, order, sums = list(partition), list(order), dict(sums or {})
+    partition, order, sums, lows = list(partition), list(order), dict(sums or {}), dict(lows or {})
     bucketed, cuts = range_buckets(df, partition + order, n, rows_per_bucket)
     window = Window.partitionBy(BUCKET, *partition).orderBy(*order)
     running = window.rowsBetween(Window.unboundedPreceding, 0)
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
     out = bucketed.withColumns(
         {"__row": F.row_number().over(window).cast("bigint")}
-        | {f"__s{i}": F.sum(src).over(running) for i, src in enumerate(sums.values())}
+        | {f"__s{i}": F.sum(c).over(running) for i, c in enumerate(sums.values())}
+        | {f"__m{i}": F.min(c).over(before) for i, c in enumerate(lows.values())}
     )
-    kinds = [out.schema[f"__s{i}"].dataType for i in range(len(sums))]
+    carried = [("__n", T.LongType())]
+    carried += [(f"__cs{i}", out.schema[f"__s{i}"].dataType) for i in range(len(sums))]
+    carried += [(f"__cm{i}", out.schema[f"__m{i}"].dataType) for i in range(len(lows))]
     if cuts:
         totals = (
             _split_groups(bucketed, partition, cuts)
             .groupBy(BUCKET, *partition)
-            .agg(F.count(F.lit(1)), *[F.sum(src) for src in sums.values()])
+            .agg(F.count(F.lit(1)), *[F.sum(c) for c in sums.values()], *[F.min(c) for c in lows.values()])
             .collect()
         )
         totals.sort(key=lambda r: (_null_first(r[1 : 1 + len(partition)]), r[0]))
-        carry, width = [], 1 + len(partition)
-        group, acc = None, []
+        merge = [lambda a, b: a + b] * (1 + len(sums)) + [min] * len(lows)
+        carry, width, group = [], 1 + len(partition), None
         for r in totals:
-            head, tail = _null_first(r[1:width]), list(r[width:])
+            head = _null_first(r[1:width])
             if head != group:
-                group, acc = head, [0] + [None] * len(sums)
+                group, acc = head, [0] + [None] * (len(carried) - 1)
             carry.append(tuple(r[:width]) + tuple(acc))
-            acc = [b if a is None else a if b is None else a + b for a, b in zip(acc, tail)]
-        fields = [T.StructField("__n", T.LongType())] + [T.StructField(f"__c{i}", k) for i, k in enumerate(kinds)]
-        out = _attach(out, partition, carry, fields)
+            acc = [b if a is None else a if b is None else m(a, b) for m, a, b in zip(merge, acc, r[width:])]
+        out = _attach(out, partition, carry, [T.StructField(*c) for c in carried])
     else:
-        out = out.withColumns({"__n": F.lit(0).cast("bigint")} | {f"__c{i}": F.lit(None).cast(k) for i, k in enumerate(kinds)})
-    done = {}
-    if rank:
-        done[rank] = F.col("__row") + F.coalesce("__n", F.lit(0))
-    for i, name in enumerate(sums):
-        done[name] = F.coalesce(F.col(f"__c{i}") + F.col(f"__s{i}"), f"__s{i}", f"__c{i}")
-    extra = [c for i in range(len(sums)) for c in (f"__s{i}", f"__c{i}")]
-    return out.withColumns(done).drop(BUCKET, "__row", "__n", *extra)
+        out = out.withColumns({c: F.lit(None).cast(k) for c, k in carried})
+    done = {rank: F.col("__row") + F.coalesce("__n", F.lit(0))} if rank else {}
+    done |= {name: F.coalesce(F.col(f"__cs{i}") + F.col(f"__s{i}"), f"__s{i}", f"__cs{i}") for i, name in enumerate(sums)}
+    done |= {name: F.least(f"__cm{i}", f"__m{i}") for i, name in enumerate(lows)}
+    own = [f"__s{i}" for i in range(len(sums))] + [f"__m{i}" for i in range(len(lows))]
+    return out.withColumns(done).drop(BUCKET, "__row", *own, *[c for c, _ in carried])
 
 
 def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], n: int | None = None, small: int = SMALL_BUCKET) -> dict[int, tuple]:

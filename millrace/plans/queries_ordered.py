@@ -134,7 +134,7 @@ def f6(t):
       max(case when bad >= 10 then epoch end) as stop_step, max(epoch) as steps from s group by run_id""",
 )
 def f7(t):
-    return fold.patience_scan(t.v_runlog, "run_id", ["epoch"], "loss", patience=10, delta=0.5)
+    return fold.patience_scan(t.v_runlog.select("run_id", "epoch", "loss"), "run_id", ["epoch"], "loss", patience=10, delta=0.5)
 
 
 @query(
@@ -149,7 +149,7 @@ def f7(t):
     select run_id, epoch, round(rate, 10) as rate, bad as bad_steps from s""",
 )
 def f8(t):
-    rows = fold.plateau_rate(t.v_runlog, "run_id", ["epoch"], "loss", rate=0.1, patience=5, factor=0.3, delta=1e-3, floor=1e-5)
+    rows = fold.plateau_rate(t.v_runlog.select("run_id", "epoch", "loss"), "run_id", ["epoch"], "loss", rate=0.1, patience=5, factor=0.3, delta=1e-3, floor=1e-5)
     return rows.select("run_id", big("epoch").alias("epoch"), r("rate", 10).alias("rate"), "bad_steps")
 
 

@@ -147,17 +147,17 @@ def runs():
     return logs
 
 
-@pytest.mark.parametrize("p, delta", [(3, 0.5), (1, 0.0), (10, 0.2)])
-def test_patience(spark, runs, p, delta):
+@pytest.mark.parametrize("p, delta, size", [(3, 0.5, 10**6), (1, 0.0, 500), (10, 0.2, 150)])
+def test_patience(spark, runs, p, delta, size):
     df = spark.createDataFrame([(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)], "run bigint, t bigint, loss double")
-    got = {r.run: tuple(r)[1:] for r in fold.patience_scan(df.repartition(5), "run", ["t"], "loss", p, delta).collect()}
+    got = {r.run: tuple(r)[1:] for r in fold.patience_scan(df.repartition(5), "run", ["t"], "loss", p, delta, rows_per_bucket=size).collect()}
     assert got == {k: patience(xs, p, delta) for k, xs in runs.items()}
 
 
-@pytest.mark.parametrize("p, delta", [(3, 0.5), (1, 0.0), (4, 0.1)])
-def test_plateau(spark, runs, p, delta):
+@pytest.mark.parametrize("p, delta, size", [(3, 0.5, 10**6), (1, 0.0, 500), (4, 0.1, 150)])
+def test_plateau(spark, runs, p, delta, size):
     df = spark.createDataFrame([(k, i, x) for k, xs in runs.items() for i, x in enumerate(xs)], "run bigint, t bigint, loss double")
-    got = fold.plateau_rate(df.repartition(5), "run", ["t"], "loss", 0.1, p, 0.5, delta, 1e-4).collect()
+    got = fold.plateau_rate(df.repartition(5), "run", ["t"], "loss", 0.1, p, 0.5, delta, 1e-4, rows_per_bucket=size).collect()
     for k, xs in runs.items():
         mine = [(r.rate, r.bad_steps) for r in sorted((r for r in got if r.run == k), key=lambda r: r.t)]
         want = plateau(xs, 0.1, p, 0.5, delta, 1e-4)
