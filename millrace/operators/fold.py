@@ -179,8 +179,10 @@ def plateau_rate(
 
     kinds = [T.StructField(c, T.LongType()) for c in ("__step", "__at", "__cuts")]
     better = records.mapInArrow(walk, T.StructType([records.schema[run], *kinds])).filter("__at is not null")
-    marked = stage(ranked.drop("__loss", "__low").join(better, [run, "__step"], "left"), "improvements")
-    filled = fill_within_key(marked, run, ["__step"], ["__at", "__cuts"], **sizes)
+    rows = ranked.drop("__loss", "__low").withColumn("__row", F.lit(1))
+    marks = better.withColumn("__row", F.lit(0))  # sorts just before the step it belongs to
+    marked = stage(rows.unionByName(marks, allowMissingColumns=True), "improvements")
+    filled = fill_within_key(marked, run, ["__step", "__row"], ["__at", "__cuts"], **sizes).filter("__row = 1")
     since = F.when(F.col("__at") <= F.col("__step"), F.col("__at"))  # a later one is not this step's
     waited = F.col("__step") - F.coalesce(since, F.lit(0))
     cuts = F.coalesce(F.when(since.isNotNull(), F.col("__cuts")), F.lit(0)) + F.floor(waited / patience)

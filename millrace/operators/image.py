@@ -9,13 +9,10 @@ run on Arrow batches with NumPy. Random choices depend only on (seed, row key, s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.scalar import hash_uniform
 from millrace.functions.vectors import bind, indices
@@ -256,137 +253,3 @@ def by_split(px: str | Column, split: str, chains: dict[str, Sequence[Callable[[
         test = F.col(split) == name
         out = F.when(test, chain(px, steps)) if out is None else out.when(test, chain(px, steps))
     return out
-
-
-# --- steps that run on Arrow batches -------------------------------------------------
-
-
-def on_batches(df: DataFrame, column: str, fn: Callable[[np.ndarray, pa.RecordBatch], np.ndarray], size: int) -> DataFrame:
-    """Replace an array column of ``size`` values a row by ``fn(matrix, batch)``, batch by batch."""
-    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == column else f.dataType) for f in df.schema])
-    names = df.columns
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = b.column(column).flatten().to_numpy(zero_copy_only=False).astype(float)
-            out = np.ascontiguousarray(fn(flat.reshape(b.num_rows, size), b), dtype=float)
-            ends = pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32())
-            done = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([done if c == column else b.column(c) for c in names], names=names)
-
-    return df.mapInArrow(work, schema)
-
-
-def triangle_weights(old: int, new: int) -> np.ndarray:
-    """(new, old) weights of the bilinear filter, widened when shrinking, rows sum to 1."""
-    step = old / new
-    reach = max(step, 1.0)
-    centre = (np.arange(new) + 0.5) * step
-    weights = np.clip(1 - np.abs(np.arange(old) + 0.5 - centre[:, None]) / reach, 0, None)
-    return weights / weights.sum(axis=1, keepdims=True)
-
-
-def resize_bilinear(df: DataFrame, column: str, h: int, w: int, new_h: int, new_w: int, c: int = 1) -> DataFrame:
-    rows, cols = triangle_weights(h, new_h), triangle_weights(w, new_w)
-
-    def fn(m: np.ndarray, _) -> np.ndarray:
-        out = np.einsum("yh,nhwc,xw->nyxc", rows, m.reshape(-1, h, w, c), cols, optimize=True)
-        return out.reshape(len(m), -1)
-
-    return on_batches(df, column, fn, h * w * c)
-
-
-def inverse_affine(angle: float, translate: tuple[float, float], scale: float, shear: float, h: int, w: int) -> np.ndarray:
-    """2 x 3 matrix from output to input pixel centres; turn, shear and zoom about the middle."""
-    a, s = math.radians(angle), math.radians(shear)
-    turn = np.array([[math.cos(a), -math.sin(a)], [math.sin(a), math.cos(a)]])
-    skew = np.array([[1.0, -math.tan(s)], [0.0, 1.0]])
-    back = np.linalg.inv(scale * turn @ skew)
-    middle = np.array([(w - 1) / 2, (h - 1) / 2])
-    return np.column_stack([back, middle - back @ (middle + np.array(translate))])
-
-
-def _uniforms(seed: int, key: Column, names: Sequence[str]) -> list[Column]:
-    return [hash_uniform(seed, key, F.lit(n)) for n in names]
-
-
-def random_affine(
-    df: DataFrame, column: str, key: str, h: int, w: int, c: int = 1, seed: int = 0, degrees: float = 0.0,
-    translate: tuple[float, float] = (0.0, 0.0), scale: tuple[float, float] = (1.0, 1.0), shear: float = 0.0, fill: float = 0.0,
-) -> DataFrame:
-    """Rotate, shift, zoom and shear by hashed amounts, nearest sampling, ``fill`` outside.
-
-    ``translate`` is the largest shift as a share of width and height. Rotation alone is
-    the case with only ``degrees`` set; a fixed angle is ``affine``.
-    """
-    draws = df.withColumn("__u", F.array(*_uniforms(seed, F.col(key), ("turn", "right", "down", "zoom", "shear"))))
-
-    def matrices(b: pa.RecordBatch) -> list[np.ndarray]:
-        u = b.column("__u").flatten().to_numpy().reshape(b.num_rows, 5)
-        return [
-            inverse_affine(
-                (2 * r[0] - 1) * degrees,
-                (round((2 * r[1] - 1) * translate[0] * w), round((2 * r[2] - 1) * translate[1] * h)),
-                scale[0] + r[3] * (scale[1] - scale[0]),
-                (2 * r[4] - 1) * shear,
-                h, w,
-            )
-            for r in u
-        ]
-
-    return _sampled(draws, column, matrices, h, w, c, fill).drop("__u")
-
-
-def affine(
-    df: DataFrame, column: str, h: int, w: int, c: int = 1, angle: float = 0.0,
-    translate: tuple[float, float] = (0.0, 0.0), scale: float = 1.0, shear: float = 0.0, fill: float = 0.0,
-) -> DataFrame:
-    """The same fixed transform for every image."""
-    matrix = inverse_affine(angle, translate, scale, shear, h, w)
-    return _sampled(df, column, lambda b: [matrix] * b.num_rows, h, w, c, fill)
-
-
-def _sampled(df: DataFrame, column: str, matrices: Callable[[pa.RecordBatch], list[np.ndarray]], h: int, w: int, c: int, fill: float) -> DataFrame:
-    ys, xs = np.divmod(np.arange(h * w), w)
-    places = np.stack([xs, ys, np.ones(h * w)])
-
-    def fn(m: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
-        pixels, out = m.reshape(len(m), h * w, c), np.full((len(m), h * w, c), fill)
-        for i, matrix in enumerate(matrices(b)):
-            x, y = np.rint(matrix @ places + 1e-9).astype(int)
-            inside = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-            out[i, inside] = pixels[i, (y * w + x)[inside]]
-        return out.reshape(len(m), -1)
-
-    return on_batches(df, column, fn, h * w * c)
-
-
-def random_saturation_hue(df: DataFrame, column: str, key: str, pixels: int, seed: int = 0, saturation: float = 0.0, hue: float = 0.0) -> DataFrame:
-    """Blend with gray, then turn the hue, by hashed amounts; input is blue-green-red triples."""
-    draws = df.withColumn("__u", F.array(*_uniforms(seed, F.col(key), ("saturation", "hue"))))
-    low = max(0.0, 1.0 - saturation)
-
-    def fn(m: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
-        u = b.column("__u").flatten().to_numpy().reshape(len(m), 2)
-        rgb = m.reshape(len(m), pixels, 3)[:, :, ::-1]
-        gray = np.floor((rgb @ [LUMA_RED, LUMA_GREEN, LUMA_BLUE] + 32768) / 65536)[:, :, None]
-        factor = (low + u[:, 0] * (1.0 + saturation - low))[:, None, None]
-        rgb = np.clip(gray + factor * (rgb - gray), 0, 255)
-        return turn_hue(rgb, (2 * u[:, 1] - 1) * hue)[:, :, ::-1].reshape(len(m), -1)
-
-    return on_batches(draws, column, fn, pixels * 3).drop("__u")
-
-
-def turn_hue(rgb: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Shift the hue of (n, pixels, 3) values in 0..255 by ``shift`` turns per image."""
-    top, low = rgb.max(axis=2), rgb.min(axis=2)
-    span = top - low
-    safe = np.where(span == 0, 1, span)
-    r, g, b = np.moveaxis(rgb, 2, 0)
-    sixth = np.select([top == r, top == g], [((g - b) / safe) % 6, (b - r) / safe + 2], (r - g) / safe + 4)
-    sixth = np.where(span == 0, 0, sixth)
-    h = (sixth + 6 * shift[:, None]) % 6
-    channels = [top - span * np.clip(np.minimum((n + h) % 6, 4 - (n + h) % 6), 0, 1) for n in (5, 3, 1)]
-    return np.stack(channels, axis=2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators import encode, evaluate, image, learn
+from millrace.operators import encode, evaluate, image, learn, pixels
 from millrace.operators.lookup import one_row
 from millrace.plans.queries_ordered import SOFTMAX_SQL
 from millrace.plans.queries_prep import CLASS_MEAN_LOGITS, SQL_PRED, WEIGHTS, big, r, sql_uniform
@@ -236,6 +236,10 @@ def long_pixels(df, column, digits: int = 6):
     return rows.select("row_id", big("pos").alias("pos"), r("v", digits).alias("v"))
 
 
+def shots(t, *steps):
+    return pixels.run(t.v_image, "px", "row_id", (8, 8, 1), steps)
+
+
 @query("v1_normalise", "select row_id, i - 1 as pos, round((px[i] / 255 - 0.485) / 0.229, 6) + 0.0 as v from v_image, range(1, 65) t(i)")
 def v1(t):
     return long_pixels(t.v_image, image.normalise("px", [0.485], [0.229]))
@@ -266,7 +270,7 @@ def v4(t):
     select row_id, y.o * 4 + x.o as pos, round(sum(y.w * x.w * px[y.i * 8 + x.i + 1]), 6) as v from v_image, u y, u x where y.w > 0 and x.w > 0 group by row_id, y.o, x.o""",
 )
 def v4_bilinear(t):
-    return long_pixels(image.resize_bilinear(t.v_image, "px", 8, 8, 4, 4), "px")
+    return long_pixels(shots(t, pixels.resize(4, 4)), "px")
 
 
 @query("v5_centre_crop", "select row_id, i as pos, px[(i // 4 + 2) * 8 + i % 4 + 2 + 1] as v from v_image, range(0, 16) t(i)")
@@ -323,18 +327,17 @@ def v7(t):
 @query("v7_saturation_hue")
 def v7_colour(t):
     triples = t.v_image.select("row_id", F.slice("px", 1, 63).alias("px"))
-    return long_pixels(image.random_saturation_hue(triples, "px", "row_id", 21, saturation=0.2, hue=0.1), "px")
+    return long_pixels(pixels.run(triples, "px", "row_id", (1, 21, 3), [pixels.saturation(0.2), pixels.hue(0.1)]), "px")
 
 
 @query("v8_quarter_turn", "select row_id, i as pos, px[(7 - i % 8) * 8 + i // 8 + 1] as v from v_image, range(0, 64) t(i)")
 def v8(t):
-    return long_pixels(image.affine(t.v_image, "px", 8, 8, angle=90.0), "px")
+    return long_pixels(shots(t, pixels.affine(90.0)), "px")
 
 
 @query("v8_random_affine")
 def v8_random(t):
-    moved = image.random_affine(t.v_image, "px", "row_id", 8, 8, degrees=10, translate=(0.1, 0.1), scale=(0.9, 1.1), shear=10)
-    return long_pixels(moved, "px")
+    return long_pixels(shots(t, pixels.random_affine(10, (0.1, 0.1), (0.9, 1.1), 10)), "px")
 
 
 K = image.gaussian_kernel(3, 0.3)
@@ -349,7 +352,7 @@ K = image.gaussian_kernel(3, 0.3)
     + ", 6) as v from e",
 )
 def v9(t):
-    return long_pixels(t.v_image, image.blur("px", 8, 8))
+    return long_pixels(shots(t, pixels.blur()), "px")
 
 
 SQL_ERASE = sql_box(0, (0.02, 0.33), (0.3, 3.3), "sqrt(area * aspect)", "sqrt(area / aspect)", "bh between 1 and 7 and bw between 1 and 7")
@@ -364,12 +367,12 @@ def v10(t):
     return long_pixels(t.v_image, image.random_erase("px", "row_id", 8, 8, p=0.5, scale=(0.02, 0.33)))
 
 
-@query(
-    "v11_transform_chain",
-    f"""with s as (select row_id, px, row_id % 2 = 0 as train, {sql_uniform("'0:' || row_id || ':flip'")} < 0.5 as flip from v_image),
+SQL_CHAIN = f"""with s as (select row_id, px, row_id % 2 = 0 as train, {sql_uniform("'0:' || row_id || ':flip'")} < 0.5 as flip from v_image),
     f as (select row_id, i as pos, px[(2 * (i // 4) + 1) * 8 + 2 * (case when train and flip then 3 - i % 4 else i % 4 end) + 1 + 1] as v from s, range(0, 16) t(i))
-    select row_id, pos, round((v / 255 - 0.5) / 0.5, 6) + 0.0 as v from f""",
-)
+    select row_id, pos, round((v / 255 - 0.5) / 0.5, 6) + 0.0 as v from f"""
+
+
+@query("v11_transform_chain", SQL_CHAIN)
 def v11(t):
     rows = t.v_image.withColumn("split", F.when(F.col("row_id") % 2 == 0, "train").otherwise("test"))
     smaller = lambda p: image.resize_nearest(p, 8, 8, 4, 4)
@@ -378,6 +381,14 @@ def v11(t):
     return long_pixels(rows, image.by_split("px", "split", chains))
 
 
+@query("v11_batch_chain", SQL_CHAIN)
+def v11_batch(t):
+    rows = t.v_image.withColumn("split", F.when(F.col("row_id") % 2 == 0, "train").otherwise("test"))
+    scaled = pixels.normalise([0.5], [0.5])
+    chains = {"train": [pixels.resize_nearest(4, 4), pixels.random_flip(), scaled], "test": [pixels.resize_nearest(4, 4), scaled]}
+    return long_pixels(pixels.run(rows, "px", "row_id", (8, 8, 1), chains, split="split"), "px")
+
+
 @query("v12_vector_min_max", "select row_id, i as pos, round((px[i + 1] - list_min(px)) / (list_max(px) - list_min(px)), 6) as v from v_image, range(0, 64) t(i)")
 def v12(t):
     return long_pixels(t.v_image, vectors.min_max("px"))

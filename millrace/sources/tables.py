@@ -46,8 +46,15 @@ def regression_data(rows: DataFrame, key: str, weights: Sequence[float], noise:
 
 
 def write_result(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a result table and return it read back."""
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    """Write a result table and return it read back.
+
+    Partitioned writes are rebalanced first: one folder's rows meet in few tasks, and a
+    folder that holds most rows is split over several by adaptive execution.
+    """
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators import evaluate, image, learn
+from millrace.operators import evaluate, image, learn, pixels
 from millrace.operators.lookup import one_row
 from millrace.sources import folders, tables
 
@@ -115,28 +115,28 @@ def test_geometry(spark):
     np.testing.assert_array_equal(shown(df.withColumn("px", cut)), cube[:, 1:3, 1:5].reshape(5, -1))
     near = image.resize_nearest("px", 4, 6, 2, 3, 3)
     np.testing.assert_array_equal(shown(df.withColumn("px", near)), cube[:, 1::2, 1::2].reshape(5, -1))
-    same = image.resize_bilinear(df, "px", 4, 6, 4, 6, 3)
+    same = pixels.run(df, "px", "k", (4, 6, 3), [pixels.resize(4, 6)])
     np.testing.assert_allclose(shown(same), px)
 
 
 def test_affine(spark):
     df, px = images(spark, 4, 5, 5, 1)
     cube = px.reshape(4, 5, 5)
-    np.testing.assert_array_equal(shown(image.affine(df, "px", 5, 5)), px)
-    turned = shown(image.affine(df, "px", 5, 5, angle=90.0)).reshape(4, 5, 5)
+    np.testing.assert_array_equal(shown(pixels.run(df, "px", "k", (5, 5, 1), [pixels.affine()])), px)
+    turned = shown(pixels.run(df, "px", "k", (5, 5, 1), [pixels.affine(90.0)])).reshape(4, 5, 5)
     np.testing.assert_array_equal(turned, np.rot90(cube, k=-1, axes=(1, 2)))
-    moved = shown(image.affine(df, "px", 5, 5, translate=(2, 0), fill=-1.0)).reshape(4, 5, 5)
+    moved = shown(pixels.run(df, "px", "k", (5, 5, 1), [pixels.affine(translate=(2, 0), fill=-1.0)])).reshape(4, 5, 5)
     np.testing.assert_array_equal(moved[:, :, 2:], cube[:, :, :3])
     assert (moved[:, :, :2] == -1).all()
 
 
 def test_random_steps_repeat(spark):
     df, px = images(spark, 200, 6, 6, 1)
-    args = dict(degrees=20, translate=(0.2, 0.2), scale=(0.8, 1.2), shear=5)
-    one = shown(image.random_affine(df, "px", "k", 6, 6, seed=3, **args))
-    two = shown(image.random_affine(df.repartition(7), "px", "k", 6, 6, seed=3, **args))
+    steps = [pixels.random_affine(20, (0.2, 0.2), (0.8, 1.2), 5)]
+    one = shown(pixels.run(df, "px", "k", (6, 6, 1), steps, seed=3))
+    two = shown(pixels.run(df.repartition(7), "px", "k", (6, 6, 1), steps, seed=3))
     np.testing.assert_array_equal(one, two)
-    assert (one != shown(image.random_affine(df, "px", "k", 6, 6, seed=4, **args))).any()
+    assert (one != shown(pixels.run(df, "px", "k", (6, 6, 1), steps, seed=4))).any()
     flipped = (shown(df.withColumn("px", image.random_flip("px", "k", 6))) != px).any(axis=1).mean()
     assert 0.4 < flipped < 0.6
     erased = shown(df.withColumn("px", image.random_erase("px", "k", 6, 6, p=1.0, scale=(0.1, 0.3), value=-1.0)))
@@ -147,10 +147,10 @@ def test_random_steps_repeat(spark):
 def test_hue(spark):
     rng = np.random.default_rng(1)
     rgb = rng.integers(0, 256, (3, 10, 3)).astype(float)
-    np.testing.assert_allclose(image.turn_hue(rgb, np.zeros(3)), rgb, atol=1e-9)
-    np.testing.assert_allclose(image.turn_hue(rgb, np.full(3, 1 / 3)), rgb[:, :, [2, 0, 1]], atol=1e-9)
+    np.testing.assert_allclose(pixels.turn_hue(rgb, np.zeros(3)), rgb, atol=1e-9)
+    np.testing.assert_allclose(pixels.turn_hue(rgb, np.full(3, 1 / 3)), rgb[:, :, [2, 0, 1]], atol=1e-9)
     df, px = images(spark, 3, 2, 2, 3)
-    np.testing.assert_allclose(shown(image.random_saturation_hue(df, "px", "k", 4)), px, atol=1e-9)
+    np.testing.assert_allclose(shown(pixels.run(df, "px", "k", (2, 2, 3), [pixels.saturation(0.0), pixels.hue(0.0)])), px, atol=1e-9)
 
 
 def test_blur_of_a_constant(spark):
