@@ -57,6 +57,17 @@ def year_of(c: str | Column) -> Column:
     return F.year(F.to_date(_col(c)))
 
 
+def moment(c: str | Column) -> Column:
+    """Microseconds since 1970 as written on the clock, whatever the session time zone."""
+    c = _col(c)
+    seconds = F.hour(c) * 3600 + F.minute(c) * 60
+    return (
+        F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("bigint") * 86_400_000_000
+        + seconds.cast("bigint") * 1_000_000
+        + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    )
+
+
 def round_half_even(c: str | Column) -> Column:
     return F.rint(_col(c))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalar import round_half_even, year_of
+from millrace.functions.scalar import moment, round_half_even, year_of
 from millrace.functions.vectors import argmax, softmax
-from millrace.operators import clean, encode, evaluate, fold, inspect, ordered, report
+from millrace.operators import clean, encode, evaluate, fold, inspect, learn, ordered, pixels, report, sample
 from millrace.session import stage
+from millrace.sources import folders
 
 
 @dataclass
@@ -87,7 +88,7 @@ def match_reports(matches: DataFrame, pool: str, order: Sequence[str], date: str
     best = report.top(final, "elo", top_n, [pool, "team"])
     peak = history.withColumn("top", F.greatest("home_elo", "away_elo"))
     leader = F.when(F.col("home_elo") > F.col("away_elo"), F.col("home")).otherwise(F.col("away")).alias("team")
-    earlier: list[Column] = [F.unix_micros(F.col(date).cast("timestamp")), *[F.col(c) for c in order if c != date]]
+    earlier: list[Column] = [moment(date), *[F.col(c) for c in order if c != date]]
     roles = report.only_top(report.role_rows(matches, keep=[pool]), best, [pool, "team"])
     return {
         "history": history,
@@ -114,3 +115,28 @@ def classifier_reports(scored: DataFrame, label: str, logits: str, bins: int | N
         "areas": macro.unionByName(evaluate.areas(evaluate.pooled(counts)).select(F.lit("micro").alias("kind"), "auc", "ap")),
         "loss": evaluate.combined_loss(scored, logits, label),
     }
+
+
+def prepared_folder(
+    spark: SparkSession,
+    root: str,
+    chains: Mapping[str, Sequence[pixels.Step]],
+    shares: Mapping[str, float],
+    keep: Column | None = None,
+    seed: int = 0,
+) -> DataFrame:
+    """Labelled images below ``root``, split by hash, each split through its own chain.
+
+    ``keep`` filters on height and width before any pixel is touched.
+    """
+    found = folders.scan_labeled_folder(spark, root)
+    found = found if keep is None else found.filter(keep)
+    split = sample.hash_split(found, "path", dict(shares), seed)
+    return pixels.run(split, "data", "path", ["height", "width", "channels"], chains, split="split", seed=seed)
+
+
+def folder_reports(images: DataFrame, layers: learn.Layers, activation: str = "relu", split: str = "test") -> dict[str, DataFrame]:
+    """Score the prepared images of one split with a network's weights and report on them."""
+    rows = images.filter(F.col("split") == split).select("path", "label", "data")
+    scored = stage(learn.score(rows, "data", layers, activation), "scored")
+    return classifier_reports(scored, "label", "logits")

@@ -116,8 +116,7 @@ def f5(t):
 def f6(t):
     h = history(t).withColumn("top", F.greatest("home_elo", "away_elo"))
     leader = F.when(F.col("home_elo") > F.col("away_elo"), F.col("home")).otherwise(F.col("away")).alias("team")
-    moment = F.unix_micros(F.col("dt").cast("timestamp"))
-    best = ordered.best_per_period(h, scalar.year_of("dt"), "top", [moment, F.col("match_id")], [F.col("pool"), leader, F.col("top")])
+    best = ordered.best_per_period(h, scalar.year_of("dt"), "top", [scalar.moment("dt"), F.col("match_id")], [F.col("pool"), leader, F.col("top")])
     return best.select(big("period").alias("year"), "pool", "team", scalar.round_half_even("top").alias("elo"))
 
 

@@ -21,10 +21,11 @@ def with_labels(files: DataFrame, class_name: str = "class_name") -> DataFrame:
     return lookup(files, classes.withColumn("label", F.col("label").cast("bigint")), [class_name], ["label"])
 
 
-def scan_labeled_folder(spark: SparkSession, root: str, pixels: bool = True) -> DataFrame:
-    """(path, class_name, label, height, width, channels[, px]) of the images below ``root``.
+def scan_labeled_folder(spark: SparkSession, root: str, arrays: bool = False) -> DataFrame:
+    """(path, class_name, label, height, width, channels, data) of the images below ``root``.
 
-    Without ``pixels`` the pixel data is not turned into arrays; filter on the size first.
+    ``data`` is the decoded pixels as bytes, ready for ``pixels.run``; ``arrays`` adds them
+    as a number array ``px`` for the array expressions. Filter on the size first.
     """
     found = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
     shown = found.select(
@@ -35,8 +36,7 @@ def scan_labeled_folder(spark: SparkSession, root: str, pixels: bool = True) ->
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
     )
-    shown = shown.withColumn("px", bytes_to_pixels("data")) if pixels else shown
-    return with_labels(shown.drop("data"))
+    return with_labels(shown.withColumn("px", bytes_to_pixels("data")) if arrays else shown)
 
 
 def class_of_file(path: str | Column) -> Column:

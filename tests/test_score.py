@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators import evaluate, image, learn, pixels
+from millrace.operators import evaluate, image, inspect, learn, pixels
 from millrace.operators.lookup import one_row
+from millrace.plans import flows
 from millrace.sources import folders, tables
 
 
@@ -158,9 +159,9 @@ def test_blur_of_a_constant(spark):
     np.testing.assert_allclose(shown(df.withColumn("px", image.blur("px", 3, 4))), [[7.0] * 12])
 
 
-def png(path, pixels):
-    h, w, _ = pixels.shape
-    raw = b"".join(b"\x00" + row.astype(np.uint8).tobytes() for row in pixels)
+def png(path, cube):
+    h, w, _ = cube.shape
+    raw = b"".join(b"\x00" + row.astype(np.uint8).tobytes() for row in cube)
 
     def part(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -175,17 +176,36 @@ def test_labeled_folder(spark, tmp_path):
     for name, shape in (("zebra", (2, 4)), ("ant", (3, 3)), ("mole", (3, 3))):
         (tmp_path / name).mkdir()
         for i in range(2):
-            pixels = rng.integers(0, 256, (*shape, 3))
-            png(tmp_path / name / f"{i}.png", pixels)
-            made[f"{name}/{i}.png"] = pixels
+            cube = rng.integers(0, 256, (*shape, 3))
+            png(tmp_path / name / f"{i}.png", cube)
+            made[f"{name}/{i}.png"] = cube
     (tmp_path / "ant" / "broken.png").write_bytes(b"no image")
-    got = folders.scan_labeled_folder(spark, str(tmp_path)).collect()
+    got = folders.scan_labeled_folder(spark, str(tmp_path), arrays=True).collect()
     assert {r.class_name: r.label for r in got} == {"ant": 0, "mole": 1, "zebra": 2}
     assert len(got) == 6
     for r in got:
-        pixels = made["/".join(r.path.split("/")[-2:])]
-        assert (r.height, r.width, r.channels) == pixels.shape
-        np.testing.assert_array_equal(np.array(r.px).reshape(pixels.shape), pixels[:, :, ::-1])
+        cube = made["/".join(r.path.split("/")[-2:])]
+        assert (r.height, r.width, r.channels) == cube.shape
+        np.testing.assert_array_equal(np.array(r.px).reshape(cube.shape), cube[:, :, ::-1])
+        assert bytes(r.data) == cube[:, :, ::-1].astype(np.uint8).tobytes()
+
+
+def test_folder_flow(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for name, level in (("bright", 200), ("dark", 60)):
+        (tmp_path / name).mkdir()
+        for i in range(30):
+            png(tmp_path / name / f"{i}.png", np.clip(rng.normal(level, 20, (6, 8, 3)), 0, 255))
+        png(tmp_path / name / "odd.png", np.zeros((5, 5, 3)))
+    tail = [pixels.grayscale(), pixels.resize(2, 2), pixels.normalise([0.5], [0.5])]
+    images = flows.prepared_folder(
+        spark, str(tmp_path), {"train": [pixels.random_flip(), *tail], "test": tail}, {"train": 0.5, "test": 0.5}, keep=inspect.exact_size("width", "height", 8, 6)
+    )
+    assert images.count() == 60 and {len(r.data) for r in images.collect()} == {4}
+    layers = [(np.array([[1.0, -1.0]] * 4), np.zeros(2))]  # bright against dark
+    got = flows.folder_reports(images, layers)
+    assert {r["name"]: r.recall for r in got["report"].collect()}["accuracy"] == 1.0
+    assert {r.auc for r in got["areas"].collect()} == {1.0}
 
 
 def test_gradient_equals_finite_difference():
