@@ -27,7 +27,7 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 32_768
 SAMPLE_PER_BUCKET = 16
 SMALL_BUCKET = 50_000
-ROWS_WORTH_A_TASK = 32_768
+ROWS_WORTH_A_TASK = 4096
 
 
 def _null_first(row) -> tuple:
