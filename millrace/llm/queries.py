@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, quality, sharding, urls
+from millrace.llm import bpe, decontaminate, neardup, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -68,6 +68,27 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+OP7_SQL = r"""
+with recursive split as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from split where len(w) > 0),
+shingles as (select distinct r, array_to_string(w[i : i + 4], ' ') as s from places),
+sizes as (select r, count(*) as n from shingles group by r),
+common as (select a.r as x, b.r as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.r < b.r group by a.r, b.r),
+links as (select x, y from common join sizes a on a.r = x join sizes b on b.r = y where 100 * c >= 75 * (a.n + b.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reached as (select r, r as o from split union select reached.r, y from reached join both_ways on x = o),
+named as (select reached.r, min(doc_id) as component_id from reached join split on split.r = o group by reached.r)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, coalesce(doc_id = component_id, false) as kept
+from split join named using (r) left join sizes using (r)
+"""
+
+
+@query("op7_near_duplicates", OP7_SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of every document under 5-word shingles at a similarity of 0.75."""
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document and the text they stand for, as digests."""
