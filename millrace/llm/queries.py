@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, neardup, quality, sharding, urls
+from millrace.llm import bpe, decontaminate, neardup, quality, sharding, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -39,6 +39,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document covered by 200-byte strings that start elsewhere, too."""
+    return suffixes.dedup(table(spark, folder, "documents"))
+
+
 @query("op2_quality_rules")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and the verdict of the fertility bands for every document."""
