@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from millrace.llm import bpe, decontaminate, quality, queries  # noqa: E402
+from millrace.llm import bpe, decontaminate, neardup, quality, queries, suffixes  # noqa: E402
 from millrace.session import stage  # noqa: E402
 
 
@@ -18,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, queries.fertility())
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return neardup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by 200-byte strings that start elsewhere, too, are cut out."""
+    return suffixes.without_repeats(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of words that stand in the benchmark are cut out."""
     return decontaminate.remove_hits(docs, queries.table(spark, sf_dir, "benchmark"))
@@ -28,7 +38,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.with_ids(docs, queries.byte_bpe())
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontaminated), ("BPE encoding", token_ids)]
+STAGES = [("quality rules", quality_rules), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", decontaminated), ("BPE encoding and decoding", token_ids)]
 ORACLE_SQL = None
 
 

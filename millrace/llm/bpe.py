@@ -106,34 +106,33 @@ def _split(data: np.ndarray, offsets: np.ndarray, bits: int, points: np.ndarray)
     return np.union1d(np.union1d(points[low[inner]], points[high[inner]]), offsets[:-1][np.diff(offsets) > 0])
 
 
-def _last(part: str) -> str:
-    """The last word of a piece with what stands around it."""
-    bare = part.rstrip()
-    return part[max(0, bare.rfind(" "), bare.rfind("\n")) :]
-
-
-def _first(part: str) -> str:
-    """The first word of a piece, with the space before and after it."""
-    at = len(part) - len(part.lstrip())
-    ends = [p for p in (part.find(" ", at), part.find("\n", at)) if p >= 0]
-    return part[: min(ends) + 1] if ends else part
+def _around(text: str, at: int) -> tuple[str, str]:
+    """The words on both sides of a place in a text, with the space around them."""
+    low, high = at, at
+    while low and text[low - 1].isspace():
+        low -= 1
+    while high < len(text) and text[high].isspace():
+        high += 1
+    low = max(text.rfind(" ", 0, low), text.rfind("\n", 0, low), 0)
+    ends = [p for p in (text.find(" ", high), text.find("\n", high)) if p >= 0]
+    return text[low:at], text[at : min(ends) + 1 if ends else len(text)]
 
 
 def agreed(codec: Codec, parts: list[str], plain: bool, tried: dict[tuple[str, str, bool], bool]) -> list[str]:
-    """Pieces whose ids in a row are the ids of the whole. At every join the last word before and the first word
-    after are encoded in one; where that differs from encoding both sides, the pieces are made one, whose own
-    joins are tried again."""
-    out = parts[:1]
+    """Pieces whose ids in a row are the ids of the whole. At every join the word before and the word after are
+    encoded in one; where that differs from encoding both sides, the pieces are made one."""
+    text = "".join(parts)
+    out, at = parts[:1], len(parts[0]) if parts else 0
     for part in parts[1:]:
-        out.append(part)
-        while len(out) > 1:
-            around = _last(out[-2]), _first(out[-1]), plain
-            same = tried.get(around)
-            if same is None:
-                same = tried[around] = codec.encode(around[0] + around[1], plain) == codec.encode(around[0], plain) + codec.encode(around[1], plain)
-            if same:
-                break
-            out[-2:] = ["".join(out[-2:])]
+        around = *_around(text, at), plain
+        same = tried.get(around)
+        if same is None:
+            same = tried[around] = codec.encode(around[0] + around[1], plain) == codec.encode(around[0], plain) + codec.encode(around[1], plain)
+        if same:
+            out.append(part)
+        else:
+            out[-1] += part
+        at += len(part)
     return out
 
 
@@ -143,7 +142,7 @@ def encode_rows(codec: Codec, column: pa.Array, bits: int = CHUNK_BITS, points:
     raw = data.tobytes()
     bounds = _split(data, offsets, bits, points(data, offsets))
     at = np.searchsorted(bounds, offsets).tolist()
-    stops = [*bounds[1:].tolist(), len(data)]
+    stops = np.append(bounds, len(data))[1:].tolist()
     text = [raw[a:b].decode() for a, b in zip(bounds.tolist(), stops, strict=True)]
     tried: dict[tuple[str, str, bool], bool] = {}
     for row in range(len(offsets) - 1):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, neardup, quality, sharding, suffixes, urls
+from millrace.llm import bpe, decontaminate, licenses, neardup, quality, quotes, sharding, substrings, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -74,6 +74,27 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that occur in an earlier document or place cut out of every document."""
+    return substrings.dedup(table(spark, folder, "documents")).drop("kept")
+
+
+OP5_COLUMNS = ["conv_id", "turn", "role", "place", "thread", "reply_to", "n_quotes", "deepest", "body_sha256"]
+
+
+@query("op5_quotation_linking")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message's place in its conversation, what it replies to and its words without quotes."""
+    return quotes.link(table(spark, folder, "conversations")).select(*OP5_COLUMNS)
+
+
+@query("op6_license_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The best covered license notice of every document."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 OP7_SQL = r"""
 with recursive split as (select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 places as (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from split where len(w) > 0),

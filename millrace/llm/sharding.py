@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import stage
+from millrace.llm.ranks import placed
 
 SCALE = 1 << 60
 
@@ -20,41 +20,22 @@ def score(key: Column, shard: int, weight: float = 1.0) -> Column:
     return F.lit(-float(weight)) / F.log((hashed.cast("double") + F.lit(0.5)) / F.lit(float(SCALE)))
 
 
-def assign(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key: a null key counts as an empty one; of equal draws the highest shard wins."""
-    held = F.coalesce(key.cast("string"), F.lit(""))
-    draws = [F.struct(score(held, i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    return (F.greatest(*draws) if len(draws) > 1 else draws[0])["i"]
-
-
 def shard_rows(records: DataFrame, key: str, order: Sequence[str], weights: Sequence[float], more: Sequence[float] = (1.0,)) -> DataFrame:
     """Adds ``shard``, ``slot`` and ``grown_shard`` to every record.
 
     ``shard`` follows from the key and the weights alone; ``grown_shard`` is the one with shards of the
     weights ``more`` added. ``slot`` counts a shard's records from 0 without gaps, by key and then
-    ``order``; rows equal in all of these share out neighbouring slots. Records are put into ranges of
-    (shard, key, order, own number), so a key with a third of all rows is spread over many ranges; a
-    range's counts per shard are all that crosses ranges. The ranges are stored, so a slot never
-    depends on a task that is run again. Empty input gives no rows. Columns named like the new ones
-    are replaced.
+    ``order``; rows equal in all of these share out neighbouring slots. A null key counts as an empty one;
+    empty input gives no rows. Columns named like the new ones are replaced.
     """
-    spark = records.sparkSession
     records = records.drop("shard", "slot", "grown_shard")
     held = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    old, new = list(weights), list(more)
-    first = F.greatest(*[F.struct(score(held, i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(old)], F.struct(F.lit(float("-inf")).alias("s"), F.lit(-1).alias("i")))
-    joined = [F.struct(score(held, len(old) + j, w).alias("s"), F.lit(len(old) + j).alias("i")) for j, w in enumerate(new)]
-    drawn = records.select("*", first.alias("_first"))
-    drawn = drawn.select("*", F.greatest(F.col("_first"), *joined).alias("_grown") if joined else F.col("_first").alias("_grown"))
-    rows = drawn.select(*records.columns, F.col("_first.i").alias("shard"), F.col("_grown.i").alias("grown_shard"), F.monotonically_increasing_id().alias("_row"))
-    rows = stage(rows, "shard-rows")
-    sort = ["shard", key, *order, "_row"]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *sort)
-    ranged = stage(ranged.withColumn("_range", F.spark_partition_id()), "shard-ranges")
-    counts = ranged.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("shard", "_range", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_range")) - F.col("_n")).alias("_before"))
-    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("shard", "_range").orderBy(*sort[1:])) - 1)
-    return placed.join(before, ["shard", "_range"]).select(*records.columns, "shard", (F.col("_at") + F.col("_before")).alias("slot"), "grown_shard")
+    draw = lambda first, some: [F.struct(score(held, first + i, w).alias("s"), F.lit(first + i).alias("i")) for i, w in enumerate(some)]
+    low = F.struct(F.lit(float("-inf")).alias("s"), F.lit(-1).alias("i"))
+    first = F.greatest(low, *draw(0, weights))
+    rows = records.select("*", first.alias("shard")).select("*", F.greatest(low, F.col("shard"), *draw(len(weights), more)).alias("grown_shard"))
+    rows = rows.select(*records.columns, F.col("shard.i").alias("shard"), F.col("grown_shard.i").alias("grown_shard"))
+    return placed(rows, "shard", [key, *order], "slot").select(*records.columns, "shard", "slot", "grown_shard")
 
 
 def measured(documents: DataFrame) -> DataFrame:

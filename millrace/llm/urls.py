@@ -75,12 +75,16 @@ def listed(pages: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     once = stage(keys.select(F.col(key).alias("_listed")).where("_listed is not null").distinct(), "url-list")
     blocks = once.count() // KEYS_PER_BLOCK + 1
     table = stage(bloom(once, "_listed", blocks), "url-bloom")
-    probed = pages.withColumn("_block", _block(F.col(key), blocks)).withColumn("_mask", _mask(F.col(key)))
+    names = pages.columns
+    own = {c: f"c{i}" for i, c in enumerate(names)}  # no column of the pages can clash with those added here
+    page = F.col(own[key])
+    probed = pages.toDF(*own.values()).withColumn("_block", _block(page, blocks)).withColumn("_mask", _mask(page))
     probed = probed.join(table, F.col("_block") == F.col("block"), "left")
-    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & F.col(key).isNotNull()
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in pages.columns]).cast("string"))
-    probed = probed.select(*pages.columns, F.when(hit, F.col(key)).otherwise(spread).alias("_probe"))
-    return probed.join(once, F.col("_probe") == F.col("_listed"), "left").select(*pages.columns, F.col("_listed").isNotNull().alias("listed"))
+    hit = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & page.isNotNull()
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(*own.values()).cast("string"))
+    probed = probed.select(*own.values(), F.when(hit, page).otherwise(spread).alias("_probe"))
+    joined = probed.join(once, F.col("_probe") == F.col("_listed"), "left")
+    return joined.select(*(F.col(x).alias(c) for c, x in own.items()), F.col("_listed").isNotNull().alias("listed"))
 
 
 def filter_urls(pages: DataFrame, keys: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
