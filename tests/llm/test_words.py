@@ -53,12 +53,11 @@ def test_quality_by_hand(spark, documents):
 
 def test_bands_reject_by_language_and_script(spark):
     random.seed(2)
-    prose = "The committee of the town met in the old hall to speak about roads, schools and the price of bread before winter. "
-    words = prose.split()
-    plain = " ".join(random.sample(words, len(words)) and [w for _ in range(6) for w in random.sample(words, len(words))])
+    plain = "The committee of the town met in the old hall to speak about roads, schools and the price of bread before winter. Most members had come by foot, because snow had closed the bridge, and the mayor asked for short speeches. A baker explained why flour costs more this year; two farmers answered that rain spoiled their fields. After an hour everyone agreed to repair the northern road first, to open one new classroom, and to wait with all other plans until spring."
+    signs = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生自会那后能对着事其里所去行过家十用发天如然作方成者多日都三小军二无同么经法当起与好看学进种将还分此心前面又定见只主没公从"
     soup = " ".join("".join(random.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(120))
     runes = " ".join("".join(chr(random.randrange(0x16A0, 0x16EA)) for _ in range(5)) for _ in range(80))
-    rows = [(1, plain, "en"), (2, soup, "en"), (3, runes, "en"), (4, plain, None), (5, "是的 我们 今天 在 学校 里 学习 " * 1 + " ".join(random.choice("天地人你我他山水火木金土日月") + random.choice("上下左右中大小多少") for _ in range(80)), "zh")]
+    rows = [(1, plain, "en"), (2, soup, "en"), (3, runes, "en"), (4, plain, None), (5, " ".join("".join(random.choices(signs, k=4)) for _ in range(80)), "zh")]
     got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), OPTIONS).collect()}
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True}
 
