@@ -23,6 +23,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def known(c: str | Column) -> Column:
+    """A floating-point value with NaN taken as missing."""
+    c = _col(c)
+    return F.when(~F.isnan(c), c)
+
+
 def expected_score(own: str | Column, other: str | Column, home: bool = False) -> Column:
     diff = _col(own) - _col(other) + F.lit(float(HOME_ADVANTAGE if home else 0))
     return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), -diff / F.lit(400.0)))

@@ -7,21 +7,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import known
 from millrace.operators.lookup import one_row
 
-MAX_WIDE_COLUMNS = 10_000
 
-
-def categories(df: DataFrame, columns: Sequence[str], limit: int = MAX_WIDE_COLUMNS) -> dict[str, list]:
+def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct values per column, NULL left out; one pass for all columns.
 
-    Each value becomes a table column, so more than ``limit`` is refused, not cut:
-    use ``tokens_long`` for open vocabularies.
+    Each value becomes a table column, so this is for columns with as few values as a
+    table may have columns: ``one_hot_long`` and ``tokens_long`` serve open vocabularies.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns]))
-    found = df.select(pairs.alias("p")).select("p.*").filter("v is not null").distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} categories in {list(columns)}")
+    found = df.select(pairs.alias("p")).select("p.*").filter("v is not null").distinct().collect()
     out = {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
     for c in columns:
         if df.schema[c].dataType.typeName() != "string":
@@ -47,9 +44,15 @@ def split_list(c: str | Column, separator: str = ", ", strip_and: bool = False)
     return F.transform(parts, lambda t: F.regexp_replace(t, "^and ", "")) if strip_and else parts
 
 
-def fit_tokens(train: DataFrame, column: str, limit: int = MAX_WIDE_COLUMNS) -> list[str]:
+def one_hot_long(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(key, column, value) of every known cell: the same encoding for columns with any number of values."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(*key, cells.alias("c")).select(*key, "c.*").filter("value is not null")
+
+
+def fit_tokens(train: DataFrame, column: str) -> list[str]:
     """Sorted distinct tokens of a list column."""
-    return categories(train.select(F.explode(column).alias("token")), ["token"], limit)["token"]
+    return categories(train.select(F.explode(column).alias("token")), ["token"])["token"]
 
 
 def multi_hot(df: DataFrame, column: str, tokens: Sequence[str], prefix: str = "") -> DataFrame:
@@ -65,8 +68,8 @@ def tokens_long(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
 
 
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row of ``<col>_mean`` / ``<col>_std`` (population)."""
-    return df.agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    """One row of ``<col>_mean`` / ``<col>_std`` (population) of what is known."""
+    return df.agg(*[f(known(F.col(c).cast("double"))).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 def standardise(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,7 +86,7 @@ def unstandardise(df: DataFrame, stats: DataFrame, sources: Mapping[str, str]) -
 
 
 def fit_min_max(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+    return df.agg(*[f(known(F.col(c).cast("double"))).alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
 
 
 def min_max(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -118,11 +121,12 @@ def varied_columns(df: DataFrame, columns: Sequence[str], fast: bool = False) ->
     Exact without counting distinct values: more than two means that some value lies
     strictly between the smallest and the largest. ``fast`` uses one pass of sketches.
     """
+    values = [known(F.col(c).cast("double")) for c in columns]
     if fast:
-        row = df.agg(*[F.approx_count_distinct(c) for c in columns]).first()
+        row = df.agg(*[F.approx_count_distinct(v) for v in values]).first()
         return [c for c, k in zip(columns, row) if k > 2]
-    ends = df.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
-    between = [F.max((F.col(c) > F.lit(ends[2 * i])) & (F.col(c) < F.lit(ends[2 * i + 1]))) for i, c in enumerate(columns)]
+    ends = df.agg(*[f(v) for v in values for f in (F.min, F.max)]).first()
+    between = [F.max((v > F.lit(ends[2 * i])) & (v < F.lit(ends[2 * i + 1]))) for i, v in enumerate(values)]
     return [c for c, seen in zip(columns, df.agg(*between).first()) if seen]
 
 

@@ -23,19 +23,28 @@ def accuracy(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
+def observed(df: DataFrame, label: str, pred: str) -> DataFrame:
+    """(label, pred, n) of the pairs that occur."""
+    return df.groupBy(F.col(label).cast("bigint").alias("label"), F.col(pred).cast("bigint").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """(label, pred, n) over the whole grid of labels seen on either side."""
-    cells = df.groupBy(F.col(label).cast("bigint").alias("label"), F.col(pred).cast("bigint").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """(label, pred, n) over the whole grid of labels seen on either side: k * k rows, as a shown grid has them."""
+    return grid(observed(df, label, pred))
+
+
+def grid(cells: DataFrame) -> DataFrame:
+    """The cells that occur and those that don't, with 0."""
     seen = cells.select(F.explode(F.array("label", "pred")).alias("c")).agg(F.array_sort(F.collect_set("c")).alias("cs"))
-    grid = seen.select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("pred"))
-    return grid.join(cells, ["label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = seen.select(F.explode("cs").alias("label"), "cs").select("label", F.explode("cs").alias("pred"))
+    return whole.join(cells, ["label", "pred"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def report(cells: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy and the two averages.
 
-    Input is the confusion grid (k * k rows), so the data is not read again; 0 where a
-    denominator is 0.
+    Input is the observed cells (the grid with its zeros gives the same), so the data is not
+    read again; 0 where a denominator is 0.
     """
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     parts = F.array(

@@ -25,16 +25,6 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def bytes_to_pixels(data: str | Column) -> Column:
-    """Binary pixel data of the image source to an array of doubles."""
-    return bind(
-        F.hex(_col(data)),
-        lambda h: F.transform(
-            indices((F.length(h) / 2).cast("int")), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
-        ),
-    )
-
-
 def gather(px: Column, count: Column | int, source: Callable[[Column], Column]) -> Column:
     """New array whose element i is ``px[source(i)]``."""
     return bind(px, lambda a: F.transform(indices(count), lambda i: F.get(a, source(i).cast("int"))))
@@ -53,14 +43,16 @@ def unnormalise(px: str | Column, mean: float = 0.5, std: float = 0.5) -> Column
 
 
 def grayscale(px: str | Column) -> Column:
-    """One luma value per blue-green-red triple; an incomplete last triple is left out."""
+    """One luma value per blue-green-red triple; a length that is not made of triples is an error."""
     def luma(a: Column) -> Column:
-        return F.transform(
+        whole = F.transform(
             indices(F.floor(F.size(a) / 3).cast("int")),
             lambda i: F.floor(
                 (F.get(a, i * 3 + 2) * LUMA_RED + F.get(a, i * 3 + 1) * LUMA_GREEN + F.get(a, i * 3) * LUMA_BLUE + 32768) / 65536
             ).cast("double"),
         )
+        broken = F.raise_error(F.lit("grayscale needs three values per pixel")).cast("array<double>")
+        return F.when(F.size(a) % 3 == 0, whole).when(a.isNotNull(), broken)
 
     return bind(_col(px), luma)
 

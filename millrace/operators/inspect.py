@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import known
 from millrace.operators.quantiles import exact_quantiles
 
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
@@ -31,21 +32,25 @@ def _long(df: DataFrame, columns: Sequence[str], cells: dict[str, Sequence[Colum
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, nulls, any_null) in one pass."""
+    """(column, nulls, any_null) in one pass; NaN counts as missing."""
     columns = list(columns or df.columns)
-    nulls = [F.count_if(F.col(c).isNull()) for c in columns]
+    floats = columns_of_type(df, "float", "double")
+    nulls = [F.count_if(known(c).isNull() if c in floats else F.col(c).isNull()) for c in columns]
     return _long(df, columns, {"nulls": nulls, "any_null": [n > 0 for n in nulls]})
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, n, mean, std, min, q1, median, q3, max); sample std, exact quartiles."""
+    """(column, n, mean, std, min, q1, median, q3, max); sample std, exact quartiles.
+
+    NULL and NaN are left out of every figure.
+    """
     columns = list(columns or columns_of_type(df, "number"))
     quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
 
     def fixed(i: int) -> list[Column]:
         return [F.lit(quartiles[c][i]).cast("double") for c in columns]
 
-    values = [F.col(c).cast("double") for c in columns]
+    values = [known(F.col(c).cast("double")) for c in columns]
     return _long(
         df,
         columns,

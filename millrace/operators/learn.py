@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,16 +19,15 @@ from pyspark.sql import types as T
 
 from millrace.functions.vectors import argmax, softmax
 from millrace.operators.evaluate import regression_metrics
-from millrace.operators.ordered import sliding_windows
-from millrace.operators.sample import sequential_split
+from millrace.operators.ordered import scan, sliding_windows
+from millrace.session import stage
 
 Layers = list[tuple[np.ndarray, np.ndarray]]  # per layer: weights (inputs x outputs), bias
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a repeated pass over few, large input splits; many splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Even shares for a repeated pass over rows that may come in few or uneven splits."""
+    return df.hint("rebalance")
 
 
 def _activate(z: np.ndarray, kind: str) -> np.ndarray:
@@ -82,6 +82,14 @@ def starting_weights(sizes: Sequence[int], seed: int = 0) -> Layers:
     return [(rng.normal(0, np.sqrt(2 / i), (i, o)), np.zeros(o)) for i, o in zip(sizes, sizes[1:])]
 
 
+def _whole(batch: pa.RecordBatch, *columns: str) -> pa.RecordBatch:
+    """The rows in which no vector or number asked for is missing."""
+    valid = np.ones(batch.num_rows, dtype=bool)
+    for c in columns:
+        valid &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+    return batch if valid.all() else batch.filter(pa.array(valid))
+
+
 def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
 
@@ -89,7 +97,7 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
 def gradient_step(data: DataFrame, features: str, target: str, layers: Layers, activation: str) -> tuple[float, np.ndarray]:
     """Mean squared error and its gradient over all rows.
 
-    Each task sums the gradient of its own rows; the sums are added per parameter in a
+    Rows with a missing vector or target are left out. Each task sums the gradient of its own rows; the sums are added per parameter in a
     shuffle, so the driver gets one value per parameter, never one per task.
     """
     shared = data.sparkSession.sparkContext.broadcast((layers, activation))
@@ -98,6 +106,7 @@ def gradient_step(data: DataFrame, features: str, target: str, layers: Layers, a
         layers, activation = shared.value
         total = None
         for b in batches:
+            b = _whole(b, features, target)
             if b.num_rows:
                 loss, grads = squared_error_gradient(_matrix(b, features), b.column(target).to_numpy(), layers, activation)
                 part = np.concatenate([[b.num_rows, loss], flatten(grads)])
@@ -112,7 +121,7 @@ def gradient_step(data: DataFrame, features: str, target: str, layers: Layers, a
 
 
 def fit_mlp(
-    df: DataFrame, features: str, target: str, hidden: Sequence[int] = (32, 32, 16), activation: str = "elu", steps: int = 50,
+    df: DataFrame, features: str, target: str, hidden: Sequence[int] = (), activation: str = "elu", steps: int = 50,
     rate: float = 0.02, decay: float = 5e-4, seed: int = 0, start: Layers | None = None,
 ) -> tuple[Layers, list[float]]:
     """Full-batch AdamW on a small regression network; returns weights and loss per step.
@@ -134,7 +143,7 @@ def fit_mlp(
 
 
 def score(df: DataFrame, vector: str, layers: Layers, activation: str = "relu", out: str = "logits") -> DataFrame:
-    """Append the network's output per row, batch by batch with broadcast weights."""
+    """Append the network's output per row, batch by batch with broadcast weights; a NULL vector gives NULL."""
     shared = df.sparkSession.sparkContext.broadcast((layers, activation))
     names = df.columns
     schema = T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -143,9 +152,11 @@ def score(df: DataFrame, vector: str, layers: Layers, activation: str = "relu",
         layers, activation = shared.value
         for b in batches:
             if b.num_rows:
-                result = forward(_matrix(b, vector), layers, activation)
-                ends = pa.array(np.arange(0, result.size + 1, result.shape[1]), pa.int32())
-                done = pa.ListArray.from_arrays(ends, pa.array(result.ravel()))
+                valid = b.column(vector).is_valid().to_numpy(zero_copy_only=False)
+                width = layers[-1][1].size
+                result = forward(_matrix(_whole(b, vector), vector), layers, activation) if valid.any() else np.empty((0, width))
+                ends = pa.array(np.concatenate([[0], np.cumsum(valid) * width]), pa.int32())
+                done = pa.ListArray.from_arrays(ends, pa.array(result.ravel()), mask=pa.array(~valid))
                 yield pa.RecordBatch.from_arrays([*b.columns, done], names=[*names, out])
 
     return df.mapInArrow(work, schema)
@@ -210,7 +221,7 @@ def fit_boosted_trees(df: DataFrame, features: Sequence[str], target: str, round
 def fit_classifier(df: DataFrame, vector: str, label: str, hidden: Sequence[int], classes: int, steps: int = 100, seed: int = 0, start=None):
     """Feed-forward classifier on an array column; ``start`` continues from earlier weights."""
     rows = spread(df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"))).persist()
-    width = df.select(F.max(F.size(vector))).first()[0]
+    width = rows.select(F.max(F.size(vector_to_array("features")))).first()[0]
     net = MultilayerPerceptronClassifier(layers=[width, *hidden, classes], maxIter=steps, seed=seed)
     model = (net.setInitialWeights(start) if start is not None else net).fit(rows)
     rows.unpersist()
@@ -218,27 +229,30 @@ def fit_classifier(df: DataFrame, vector: str, label: str, hidden: Sequence[int]
 
 
 def forecast(
-    series: DataFrame, order: Sequence[str], features: Sequence[str], targets: Sequence[str], window: int = 60, horizon: int = 1, **sizes
+    series: DataFrame, order: Sequence[str], features: Sequence[str], targets: Sequence[str], window: int = 60, horizon: int = 1, penalty: float = 1e-6, block: int = 8192, **sizes
 ) -> DataFrame:
     """Fit one linear model per target on the flattened windows of the first 80 %, report RMSE.
 
     Also reports the error of predicting the training mean, as a yardstick.
     """
-    rows = sliding_windows(series, order, features, targets, window, horizon, **sizes)
+    # rows are numbered once; the split follows from the numbers, before any window is built
+    numbered = stage(scan(series, order, rank="__at", **sizes), "forecast-rows")
+    whole = max(0, numbered.count() - window - (horizon + 1))
+    last_train = window + whole - math.ceil(0.2 * whole)
+    rows = sliding_windows(numbered, order, features, targets, window, horizon, index="__at", block=block)
     flat = F.flatten(F.transform("window", lambda r: F.array(*[r[f].cast("double") for f in features])))
-    rows = rows.select(*order, array_to_vector(flat).alias("features"), *[F.col("target")[t].cast("double").alias(f"y_{t}") for t in targets])
-    rows = sequential_split(rows, order).persist()
-    train, tables = rows.filter("split = 'train'"), []
+    part = F.when(F.col("__at") <= last_train, "train").otherwise("test")
+    rows = rows.select(array_to_vector(flat).alias("features"), *[F.col("target")[t].cast("double").alias(f"y_{t}") for t in targets], part.alias("split")).persist()
+    train, found = rows.filter("split = 'train'"), []
+    means = train.agg(*[F.avg(f"y_{t}").alias(t) for t in targets]).first()
     for t in targets:
-        model = LinearRegression(featuresCol="features", labelCol=f"y_{t}", solver="normal", regParam=1e-6).fit(train)
-        shown = model.transform(rows).withColumn("mean", F.lit(train.agg(F.avg(f"y_{t}")).first()[0]))
-        fitted = regression_metrics(shown, f"y_{t}", "prediction", ["split"]).select("split", "n", "rmse")
-        plain = regression_metrics(shown, f"y_{t}", "mean", ["split"]).select("split", F.col("rmse").alias("mean_rmse"))
-        tables.append(fitted.join(plain, "split").select(F.lit(t).alias("target"), "split", "n", "rmse", "mean_rmse"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+        model = LinearRegression(featuresCol="features", labelCol=f"y_{t}", solver="normal", regParam=penalty).fit(train)
+        shown = model.transform(rows).withColumn("mean", F.lit(means[t]))
+        both = model_table(shown, f"y_{t}", {"fitted": "prediction", "mean": "mean"}, "split").select("model", "split", "n", "rmse").collect()
+        rmse = {(r["model"], r["split"]): r["rmse"] for r in both}
+        found += [(t, r["split"], r["n"], r["rmse"], rmse["mean", r["split"]]) for r in both if r["model"] == "fitted"]
+    rows.unpersist()
+    return series.sparkSession.createDataFrame(found, "target string, split string, n bigint, rmse double, mean_rmse double")
 
 
 def model_table(df: DataFrame, y: str, preds: dict[str, str], split: str) -> DataFrame:

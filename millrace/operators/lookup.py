@@ -7,37 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 
+def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], values: Sequence[str], order: str | None = None) -> DataFrame:
+    """Left lookup: unknown keys keep their row and get NULL.
 
-def sized(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast copy of a side that proves small, else the side as it is.
-
-    At most ``limit + 1`` rows are fetched. If that is all of them, they are the side:
-    it is not computed again and its size is known. A larger side goes through a
-    shuffle join, where adaptive execution splits hot keys.
+    A key that the side has more than once counts as one entry: the last in ``order``, or
+    without an order any one entry as a whole. How to join is left to the size of the side.
     """
-    rows = dim.limit(limit + 1).collect()
-    return F.broadcast(dim.sparkSession.createDataFrame(rows, dim.schema)) if len(rows) <= limit else dim
+    return df.join(one_each(dim, on, values, order), list(on), "left")
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Left lookup: unknown keys keep their row and get NULL."""
-    return df.join(sized(dim.select(*on, *values)), list(on), "left")
+def one_each(dim: DataFrame, on: Sequence[str], values: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row per key."""
+    entry = F.struct(*values)
+    return dim.groupBy(*on).agg((F.max_by(entry, order) if order else F.max(entry)).alias("__v")).select(*on, "__v.*")
 
 
 def last_wins(dim: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """One row per key, the last in ``order``: what building a dictionary row by row gives."""
-    return dim.groupBy(key).agg(F.max_by(value, order).alias(value))
+    return one_each(dim, [key], [value], order)
 
 
-def replace_values(df: DataFrame, dim: DataFrame, key: str, value: str, columns: Sequence[str] | None = None) -> DataFrame:
+def replace_values(df: DataFrame, dim: DataFrame, key: str, value: str, columns: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
     """Replace every cell equal to a key, in all string columns unless told otherwise.
 
-    Unknown values survive; replaced values are not replaced again.
+    Unknown values survive; replaced values are not replaced again. Of a repeated key the
+    last entry in ``order`` counts, or else the greatest value.
     """
     columns = columns or [f.name for f in df.schema if f.dataType.typeName() == "string"]
-    dim, out = sized(dim), df
+    dim, out = one_each(dim, [key], [value], order), df
     for i, c in enumerate(columns):
         side = dim.select(F.col(key).alias(f"__k{i}"), F.col(value).alias(f"__v{i}"))
         out = out.join(side, F.col(c) == F.col(f"__k{i}"), "left")
@@ -46,7 +44,7 @@ def replace_values(df: DataFrame, dim: DataFrame, key: str, value: str, columns:
 
 
 def members(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(sized(keys.select(*on)), list(on), "left_semi")
+    return df.join(keys.select(*on), list(on), "left_semi")
 
 
 def one_row(stats: DataFrame) -> Column:
@@ -59,7 +57,7 @@ def one_row(stats: DataFrame) -> Column:
 
 def both_sides(matches: DataFrame, ratings: DataFrame, on: Sequence[str], home: str, away: str, value: str) -> DataFrame:
     """Look up a value for the home and for the away side."""
-    ratings = sized(ratings.select(*on, "team", value))
+    ratings = one_each(ratings, [*on, "team"], [value])
     for role, side in (("home", home), ("away", away)):
         dim = ratings.select(*on, F.col("team").alias(side), F.col(value).alias(f"{role}_{value}"))
         matches = matches.join(dim, [*on, side], "left")

@@ -1,151 +1,50 @@
 """Ordered work without a one-partition window.
 
-Rows are put into contiguous key ranges ("buckets") by cut points drawn from a bounded
-sample. The cut points are literals, so a recomputed task puts a row into the same
-bucket. Each bucket is windowed on its own and what crosses a boundary (counts, sums,
-last known values) is carried over from per-bucket totals, at most two rows a bucket.
-Ranges run over partition and order columns together, so one hot key is spread over as
-many buckets as its share of the rows asks for.
+Rows are written once, dealt into contiguous key ranges, each with the number of its range
+("bucket"). The number is stored with the row, so a task that runs again finds every row in
+the same bucket. Each bucket is windowed on its own; what crosses a boundary (counts, sums,
+last known values) comes from a table of totals per bucket, which is as small as the number
+of buckets. Ranges run over partition and order columns together, so one hot key is spread
+over as many buckets as its share of the rows asks for. The source of the rows is read once.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
-from datetime import timezone
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.lookup import members
+from millrace.session import stage
 
 BUCKET = "__bucket"
+WHOLE = "__whole"
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 32_768
-SAMPLE_PER_BUCKET = 16
-SMALL_BUCKET = 50_000
-ROWS_WORTH_A_TASK = 4096
 
 
-def _null_first(row) -> tuple:
-    """Python sort key with Spark's order: NULL, numbers, NaN."""
-    out = []
-    for v in row:
-        if v is None:
-            out.append((0,))
-        elif isinstance(v, float) and math.isnan(v):
-            out.append((2,))
-        else:
-            out.append((1, v))
-    return tuple(out)
+def range_buckets(df: DataFrame, partition: Sequence[str], order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The rows, stored in key ranges of about ``rows_per_bucket``; adds the range's number and a constant column."""
+    rows = stage(df.withColumn(WHOLE, F.lit(0)), "ordered-rows")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(rows.count() / rows_per_bucket))  # the count comes from the files' footers
+    return stage(rows.repartitionByRange(buckets, *partition, *order).withColumn(BUCKET, F.spark_partition_id()), "ordered-ranges")
 
 
-def bucket_count(df: DataFrame, n: int, rows_per_bucket: int) -> int:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(MAX_BUCKETS, max(min(cores, n // ROWS_WORTH_A_TASK), math.ceil(n / rows_per_bucket))))
+def _spanning(totals: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Totals of the groups that reach over several buckets: at most two rows a bucket."""
+    spread = totals.groupBy(*group).agg(F.count(F.lit(1)).alias("__b")).filter("__b > 1").drop("__b")
+    same = [F.col(g).eqNullSafe(F.col(f"__s_{g}")) for g in group]
+    return totals.join(spread.select(*[F.col(g).alias(f"__s_{g}") for g in group]), same, "left_semi")
 
 
-def range_cuts(df: DataFrame, keys: Sequence[str], buckets: int, n: int) -> list[tuple]:
-    """Ascending cut points over the composite key, from a sample of bounded size."""
-    if buckets <= 1:
-        return []
-    fraction = min(1.0, buckets * SAMPLE_PER_BUCKET / max(n, 1))
-    rows = sorted((tuple(r) for r in df.select(*keys).sample(fraction, seed=17).collect()), key=_null_first)
-    if not rows:
-        return []
-    points = [rows[i * len(rows) // buckets] for i in range(1, buckets)]
-    return [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
-
-
-def _text(value, kind: T.DataType) -> str | None:
-    """A key value in the form a cast from text reads back exactly."""
-    if value is None:
-        return None
-    if isinstance(kind, T.TimestampType):
-        return value.astimezone(timezone.utc).isoformat(" ")
-    if isinstance(value, float):
-        return "NaN" if math.isnan(value) else repr(value).replace("inf", "Infinity")
-    if isinstance(kind, T.BinaryType):
-        raise TypeError("order by hex text instead of binary")
-    return str(value)
-
-
-def _values(kind: T.DataType, values: Sequence) -> Column:
-    """A literal array from one JSON text: one expression node however many values."""
-    text = json.dumps([_text(v, kind) for v in values])
-    return F.from_json(F.lit(text), "array<string>").cast(T.ArrayType(kind))
-
-
-def _literals(df: DataFrame, keys: Sequence[str], key: Sequence) -> list[Column]:
-    return [F.lit(_text(v, df.schema[k].dataType)).cast(df.schema[k].dataType) for k, v in zip(keys, key)]
-
-
-def _not_above(low: Sequence[Column], high: Sequence[Column], strict: bool = False) -> Column:
-    """``low <= high`` (or ``<``) compared column by column, NULL first."""
-    x, y = low[0], high[0]
-    if len(low) == 1:
-        return F.coalesce(x < y, x.isNull() & y.isNotNull()) if strict else F.coalesce(x <= y, x.isNull())
-    return F.coalesce(x < y, x.isNull() & y.isNotNull()) | (x.eqNullSafe(y) & _not_above(low[1:], high[1:], strict))
-
-
-def _cut_arrays(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> list[Column]:
-    """One literal array per key column, padded with the last cut to 2^m - 1 entries."""
-    padded = [*cuts, *[cuts[-1]] * ((1 << len(cuts).bit_length()) - 1 - len(cuts))]
-    return [_values(df.schema[k].dataType, [c[i] for c in padded]) for i, k in enumerate(keys)]
-
-
-def add_bucket(df: DataFrame, keys: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
-    """Number of cut points at or below each row's key: a binary search in one expression.
-
-    Padding makes the last bucket's number jump, which keeps the order.
-    """
-    if not cuts:
-        return df.withColumn(BUCKET, F.lit(0))
-    arrays, key = _cut_arrays(df, keys, cuts), [F.col(k) for k in keys]
-    steps = _values(T.IntegerType(), [1 << i for i in reversed(range(len(cuts).bit_length()))])
-
-    def probe(at: Column, step: Column) -> Column:
-        points = [F.get(a, at + step - F.lit(1)) for a in arrays]
-        return F.when(_not_above(points, key), at + step).otherwise(at)
-
-    return df.withColumn(BUCKET, F.aggregate(steps, F.lit(0), probe))
-
-
-def range_buckets(
-    df: DataFrame, keys: Sequence[str], n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> tuple[DataFrame, list[tuple]]:
-    n = df.count() if n is None else n
-    cuts = range_cuts(df, keys, bucket_count(df, n, rows_per_bucket), n)
-    return add_bucket(df, keys, cuts), cuts
-
-
-def _split_groups(bucketed: DataFrame, partition: Sequence[str], cuts: Sequence[tuple]) -> DataFrame:
-    """Rows of the partitions that reach over a cut: only those a cut point names."""
-    if not partition:
-        return bucketed
-    width = len(partition)
-    named = sorted({c[:width] for c in cuts}, key=_null_first)
-    schema = T.StructType([T.StructField(f"__p{i}", bucketed.schema[p].dataType) for i, p in enumerate(partition)])
-    hot = F.broadcast(bucketed.sparkSession.createDataFrame(named, schema))
-    match = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"__p{i}")) for i, p in enumerate(partition)])
-    return bucketed.join(hot, match, "left_semi")
-
-
-def _attach(df: DataFrame, partition: Sequence[str], carry: Sequence[tuple], fields: Sequence[T.StructField]) -> DataFrame:
-    """Left-join carry rows (at most two a bucket, hence the broadcast) on bucket and partition."""
-    schema = T.StructType(
-        [T.StructField("__cb", T.IntegerType())]
-        + [T.StructField(f"__p{i}", df.schema[p].dataType) for i, p in enumerate(partition)]
-        + list(fields)
-    )
-    side = F.broadcast(df.sparkSession.createDataFrame(list(carry), schema))
-    match = F.col(BUCKET) == F.col("__cb")
-    for i, p in enumerate(partition):
-        match = match & F.col(p).eqNullSafe(F.col(f"__p{i}"))
-    return df.join(side, match, "left").drop("__cb", *[f"__p{i}" for i in range(len(partition))])
+def _attach(rows: DataFrame, carried: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Left-join what earlier or later buckets hold of a group. The side is stored, so its size is known to the join."""
+    side = stage(carried, "ordered-carry")
+    side = side.select(F.col(BUCKET).alias("__cb"), *[F.col(g).alias(f"__c_{g}") for g in group], *[c for c in side.columns if c not in (BUCKET, *group)])
+    match = [F.col(BUCKET) == F.col("__cb"), *[F.col(g).eqNullSafe(F.col(f"__c_{g}")) for g in group]]
+    return rows.join(side, match, "left").drop("__cb", *[f"__c_{g}" for g in group])
 
 
 def scan(
@@ -155,7 +54,6 @@ def scan(
     rank: str | None = "rank",
     sums: dict[str, str] | None = None,
     lows: dict[str, str] | None = None,
-    n: int | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """1-based rank, running sums and running minima in ``order`` within ``partition``.
@@ -165,164 +63,71 @@ def scan(
     column; a sum includes the row itself, a low is the least value of the rows before it.
     """
     partition, order, sums, lows = list(partition), list(order), dict(sums or {}), dict(lows or {})
-    bucketed, cuts = range_buckets(df, partition + order, n, rows_per_bucket)
-    window = Window.partitionBy(BUCKET, *partition).orderBy(*order)
+    group = partition or [WHOLE]
+    bucketed = range_buckets(df, partition, order, rows_per_bucket)
+    window = Window.partitionBy(BUCKET, *group).orderBy(*order)
     running = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
-    out = bucketed.withColumns(
+    own = (
         {"__row": F.row_number().over(window).cast("bigint")}
         | {f"__s{i}": F.sum(c).over(running) for i, c in enumerate(sums.values())}
         | {f"__m{i}": F.min(c).over(before) for i, c in enumerate(lows.values())}
     )
-    carried = [("__n", T.LongType())]
-    carried += [(f"__cs{i}", out.schema[f"__s{i}"].dataType) for i in range(len(sums))]
-    carried += [(f"__cm{i}", out.schema[f"__m{i}"].dataType) for i in range(len(lows))]
-    if cuts:
-        totals = (
-            _split_groups(bucketed, partition, cuts)
-            .groupBy(BUCKET, *partition)
-            .agg(F.count(F.lit(1)), *[F.sum(c) for c in sums.values()], *[F.min(c) for c in lows.values()])
-            .collect()
-        )
-        totals.sort(key=lambda r: (_null_first(r[1 : 1 + len(partition)]), r[0]))
-        merge = [lambda a, b: a + b] * (1 + len(sums)) + [min] * len(lows)
-        carry, width, group = [], 1 + len(partition), None
-        for r in totals:
-            head = _null_first(r[1:width])
-            if head != group:
-                group, acc = head, [0] + [None] * (len(carried) - 1)
-            carry.append(tuple(r[:width]) + tuple(acc))
-            acc = [b if a is None else a if b is None else m(a, b) for m, a, b in zip(merge, acc, r[width:])]
-        out = _attach(out, partition, carry, [T.StructField(*c) for c in carried])
-    else:
-        out = out.withColumns({c: F.lit(None).cast(k) for c, k in carried})
+    whole = [F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__cs{i}") for i, c in enumerate(sums.values())]]
+    whole += [F.min(c).alias(f"__cm{i}") for i, c in enumerate(lows.values())]
+    totals = bucketed.groupBy(BUCKET, *group).agg(*whole)
+    earlier = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(c).over(earlier).alias(c) for c in ["__n", *[f"__cs{i}" for i in range(len(sums))]]]
+    carried += [F.min(f"__cm{i}").over(earlier).alias(f"__cm{i}") for i in range(len(lows))]
+    out = _attach(bucketed.withColumns(own), _spanning(totals, group).select(BUCKET, *group, *carried), group)
     done = {rank: F.col("__row") + F.coalesce("__n", F.lit(0))} if rank else {}
-    done |= {name: F.coalesce(F.col(f"__cs{i}") + F.col(f"__s{i}"), f"__s{i}", f"__cs{i}") for i, name in enumerate(sums)}
+    done |= {name: F.coalesce(F.col(f"__cs{i}") + F.col(f"__s{i}"), f"__s{i}", f"__cs{i}").cast(out.schema[f"__s{i}"].dataType) for i, name in enumerate(sums)}
     done |= {name: F.least(f"__cm{i}", f"__m{i}") for i, name in enumerate(lows)}
-    own = [f"__s{i}" for i in range(len(sums))] + [f"__m{i}" for i in range(len(lows))]
-    return out.withColumns(done).drop(BUCKET, "__row", *own, *[c for c, _ in carried])
+    new = [c for c in done if c not in df.columns]
+    return out.withColumns(done).select(*df.columns, *new)
 
 
-def keys_at_ranks(df: DataFrame, keys: Sequence[str], ranks: Sequence[int], n: int | None = None, small: int = SMALL_BUCKET) -> dict[int, tuple]:
-    """The key at each 0-based rank: count per range, then look only into the ranges that hold one.
+def at_or_below(keys: Sequence[str], last: DataFrame) -> Column:
+    """Row filter: composite key at or below the one of a one-row table, compared column by column, NULL first."""
+    row = last.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("last")).scalar()
 
-    No row is shuffled: every pass is a map-side count per range, over ever smaller
-    ranges. Rows equal to a range's first key are counted apart, so a value that fills
-    most of the table is found by its count and never looked into.
-    """
-    keys, ranks, n = list(keys), sorted(set(ranks)), df.count() if n is None else n
-    if n <= small:
-        return _ranks_in(df.groupBy(*keys).agg(F.count(F.lit(1))).collect(), ranks)
-    cuts = range_cuts(df, keys, max(128, bucket_count(df, n, small)), n)
-    arrays, key = _cut_arrays(df, keys, cuts), [F.col(k) for k in keys]
-    lowest = [F.get(a, F.col(BUCKET) - 1).eqNullSafe(k) for a, k in zip(arrays, key)]
-    first = (F.col(BUCKET) > 0) & reduce(lambda a, b: a & b, lowest)
-    parts = add_bucket(df, keys, cuts).groupBy(BUCKET).agg(F.count(F.lit(1)), F.count_if(first)).collect()
-    found, near, below = {}, [], 0
-    for bucket, size, equal in sorted(map(tuple, parts)):
-        at = min(bucket, len(cuts))
-        rest = [r for r in ranks if below + equal <= r < below + size]
-        found.update({r: cuts[at - 1] for r in ranks if below <= r < below + equal})
-        if rest:
-            inside = F.lit(True)
-            if at > 0:
-                inside = inside & _not_above(_literals(df, keys, cuts[at - 1]), key, strict=True)
-            if at < len(cuts):
-                inside = inside & _not_above(key, _literals(df, keys, cuts[at]), strict=True)
-            near.append((below + equal, size - equal, inside, rest))
-        below += size
-    # ranges small enough are fetched together, the others are split again
-    fetched = [part for part in near if part[1] <= small // len(near)]
-    if fetched:
-        wanted = reduce(lambda a, b: a | b, [part[2] for part in fetched])
-        rows = sorted(((tuple(r)[:-1], r[-1]) for r in df.filter(wanted).groupBy(*keys).agg(F.count(F.lit(1))).collect()), key=lambda kv: _null_first(kv[0]))
-        for start, size, _, rest in fetched:
-            mine, rows = _take(rows, size)
-            found.update({r: _rank_in(mine, r - start) for r in rest})
-    for start, size, inside, rest in near:
-        if size > small // len(near):
-            deeper = keys_at_ranks(df.filter(inside), keys, [r - start for r in rest], size, small)
-            found.update({r + start: v for r, v in deeper.items()})
-    return found
-
-
-def _take(rows: list, size: int) -> tuple[list, list]:
-    """Split counted rows after ``size`` of them."""
-    at, i = 0, 0
-    while at < size:
-        at += rows[i][1]
-        i += 1
-    return rows[:i], rows[i:]
-
-
-def _rank_in(counted: Sequence[tuple], rank: int) -> tuple:
-    for key, k in counted:
-        if rank < k:
-            return key
-        rank -= k
-    raise IndexError(rank)
-
-
-def _ranks_in(rows: Sequence, ranks: Sequence[int]) -> dict[int, tuple]:
-    counted = sorted(((tuple(r)[:-1], r[-1]) for r in rows), key=lambda kv: _null_first(kv[0]))
-    return {r: _rank_in(counted, r) for r in ranks}
-
-
-def at_or_below(df: DataFrame, keys: Sequence[str], key: Sequence) -> Column:
-    """Row filter: composite key at or below ``key``."""
-    return _not_above([F.col(k) for k in keys], _literals(df, keys, key))
-
-
-def fill_within_key(
-    df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], n: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
-) -> DataFrame:
+    def below(i: int) -> Column:
+        x, y = F.col(keys[i]), row[f"k{i}"]
+        if i + 1 == len(keys):
+            return F.coalesce(x <= y, x.isNull())
+        return F.coalesce(x < y, x.isNull() & y.isNotNull()) | (x.eqNullSafe(y) & below(i + 1))
+
+    return below(0)
+
+
+def fill_within_key(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Forward fill, then backward fill, inside each key in ``order``.
 
     A key that reaches over several buckets gets the last (first) known value of the
-    buckets before (after) it through the carry table, so its rows stay spread out.
+    buckets before (after) it from the table of totals, so its rows stay spread out.
     """
     order, columns = list(order), list(columns)
-    bucketed, cuts = range_buckets(df, [key] + order, n, rows_per_bucket)
+    bucketed = range_buckets(df, [key], order, rows_per_bucket)
     window = Window.partitionBy(BUCKET, key).orderBy(*order)
     past, future = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(0, Window.unboundedFollowing)
     local = bucketed.withColumns(
         {f"__f{i}": F.last(c, ignorenulls=True).over(past) for i, c in enumerate(columns)}
         | {f"__b{i}": F.first(c, ignorenulls=True).over(future) for i, c in enumerate(columns)}
     )
-    kinds = [df.schema[c].dataType for c in columns]
-    if cuts:
-        at = F.struct(*order)
-        ends = []
-        for c in columns:
-            known = F.when(F.col(c).isNotNull(), at)
-            ends += [F.min_by(c, known), F.max_by(c, known)]
-        totals = _split_groups(bucketed, [key], cuts).groupBy(BUCKET, key).agg(*ends).collect()
-        totals.sort(key=lambda r: (_null_first((r[1],)), r[0]))
-        groups: dict = {}
-        for r in totals:
-            groups.setdefault(_null_first((r[1],)), []).append(r)
-        carry = []
-        for rows in groups.values():
-            before = _running([[r[2 + 2 * i + 1] for i in range(len(columns))] for r in rows])
-            after = _running([[r[2 + 2 * i] for i in range(len(columns))] for r in reversed(rows)])[::-1]
-            carry += [(r[0], r[1], *b, *a) for r, b, a in zip(rows, before, after)]
-        fields = [T.StructField(f"__pf{i}", k) for i, k in enumerate(kinds)] + [T.StructField(f"__pb{i}", k) for i, k in enumerate(kinds)]
-        local = _attach(local, [key], carry, fields)
-    else:
-        local = local.withColumns({f"__p{d}{i}": F.lit(None).cast(k) for d in "fb" for i, k in enumerate(kinds)})
+    ends = []
+    for i, c in enumerate(columns):
+        known = F.when(F.col(c).isNotNull(), F.struct(*order))
+        ends += [F.max_by(c, known).alias(f"__pf{i}"), F.min_by(c, known).alias(f"__pb{i}")]
+    totals = _spanning(bucketed.groupBy(BUCKET, key).agg(*ends), [key])
+    by_bucket = Window.partitionBy(key).orderBy(BUCKET)
+    before, after = by_bucket.rowsBetween(Window.unboundedPreceding, -1), by_bucket.rowsBetween(1, Window.unboundedFollowing)
+    carried = [F.last(f"__pf{i}", ignorenulls=True).over(before).alias(f"__pf{i}") for i in range(len(columns))]
+    carried += [F.first(f"__pb{i}", ignorenulls=True).over(after).alias(f"__pb{i}") for i in range(len(columns))]
+    local = _attach(local, totals.select(BUCKET, key, *carried), [key])
     filled = {c: F.coalesce(f"__f{i}", f"__pf{i}", f"__b{i}", f"__pb{i}") for i, c in enumerate(columns)}
     return local.withColumns(filled).select(*df.columns)
 
 
-def _running(rows: list[list]) -> list[list]:
-    """Last non-missing value of the rows before each row, per column."""
-    seen, out = [None] * len(rows[0]) if rows else [], []
-    for row in rows:
-        out.append(list(seen))
-        seen = [s if v is None else v for s, v in zip(seen, row)]
-    return out
-
-
 def sliding_windows(
     df: DataFrame,
     order: Sequence[str],

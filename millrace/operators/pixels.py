@@ -41,7 +41,7 @@ def run(
     split: str | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """Replace pixels (number array or binary) by the output of a chain of steps.
+    """Replace pixels (number array or binary) by the output of a chain of steps; NULL stays NULL.
 
     ``shape`` is (height, width, channels) or the names of columns that hold them. With
     ``split``, ``chains`` maps each value of that column to its own chain.
@@ -60,7 +60,8 @@ def run(
         kinds = b.column(split).to_pylist() if split else [None] * b.num_rows
         groups: dict[tuple, list[int]] = {}
         for i, group in enumerate(zip(kinds, sizes)):
-            groups.setdefault(group, []).append(i)
+            if values[i].is_valid:
+                groups.setdefault(group, []).append(i)
         out: list = [None] * b.num_rows
         for (kind, size), rows in groups.items():
             if kind not in chains:

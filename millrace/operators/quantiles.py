@@ -1,62 +1,46 @@
-"""Exact quantiles whose state stays bounded on columns of any size."""
+"""Exact quantiles of many columns at once, whatever their size."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import keys_at_ranks
+from millrace.functions.scalar import known
+from millrace.operators.ordered import ROWS_PER_BUCKET, scan
+from millrace.session import stage
 
-# Columns with few distinct values are counted per value and read off those counts. (The
-# built-in exact percentile would merge every task's value counts in one task.)
-DISTINCT_LIMIT = 50_000
 
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of numeric columns; NULL and NaN are ignored.
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], distinct_limit: int = DISTINCT_LIMIT) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of numeric columns; NULL and NaN are ignored."""
+    The columns become (column, value) pairs, which are counted map-side and stored; one ordered
+    scan gives the running count of each value. The driver gets the size of each column and the
+    values at the ranks asked for, so the number of jobs does not depend on the columns.
+    """
     names = list(wanted)
-    clean = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"q{i}") for i, c in enumerate(names)])
-    sizes = clean.agg(*[f(f"q{i}") for i in range(len(names)) for f in (F.count, F.approx_count_distinct)]).first()
-    few = [i for i in range(len(names)) if min(sizes[2 * i], sizes[2 * i + 1] * 1.2) <= distinct_limit]
-    counts: dict[int, tuple] = {}
-    if few:
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"q{i}").alias("v")) for i in few]))
-        pairs = clean.select(cells.alias("c")).select("c.*").filter("v is not null")
-        table = pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).toArrow()
-        which, v, k = (table[c].to_numpy() for c in ("i", "v", "k"))
-        for i in few:
-            mine = np.flatnonzero(which == i)
-            mine = mine[np.argsort(v[mine])]
-            counts[i] = (v[mine], np.cumsum(k[mine]))
-    out = {}
-    for i, c in enumerate(names):
-        places = [q * (sizes[2 * i] - 1) for q in wanted[c]]
-        ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-        if sizes[2 * i] == 0:
-            out[c] = [None] * len(places)
-        else:
-            values = _from_counts(*counts[i], ranks) if i in counts else _from_ranges(clean, f"q{i}", ranks, sizes[2 * i])
-            out[c] = [_between(values, p) for p in places]
-    return out
-
-
-def _between(values: Mapping[int, float], place: float) -> float:
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), known(F.col(c).cast("double")).alias("v")) for i, c in enumerate(names)]))
+    pairs = df.select(cells.alias("c")).select("c.*").filter("v is not null")
+    counted = stage(pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")), "value-counts")
+    sizes = dict(map(tuple, counted.groupBy("i").agg(F.sum("k")).collect()))
+    places = {i: [q * (sizes[i] - 1) for q in wanted[c]] for i, c in enumerate(names) if i in sizes}
+    ranks = {i: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for i, ps in places.items()}
+    values: dict[tuple[int, int], float] = {}
+    if ranks:
+        asked = df.sparkSession.createDataFrame([(i, rs) for i, rs in ranks.items()], "i int, ranks array<bigint>")
+        upto = scan(counted, ["v"], ["i"], rank=None, sums={"upto": "k"}, rows_per_bucket=rows_per_bucket)
+        here = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("k")))
+        found = upto.join(asked, "i").select("i", "v", F.explode(here).alias("r"))
+        values = {(x["i"], x["r"]): x["v"] for x in found.collect()}
+    return {c: [_between(values, i, p) for p in places[i]] if i in places else [None] * len(wanted[c]) for i, c in enumerate(names)}
+
+
+def _between(values: Mapping[tuple[int, int], float], column: int, place: float) -> float:
     low, high = math.floor(place), math.ceil(place)
-    return values[low] if low == high else values[low] * (high - place) + values[high] * (place - low)
-
-
-def _from_counts(values: np.ndarray, up_to: np.ndarray, ranks: Sequence[int]) -> dict[int, float]:
-    """Value at each rank, from ascending values and their running counts."""
-    return {r: float(values[np.searchsorted(up_to, r, side="right")]) for r in ranks}
-
-
-def _from_ranges(df: DataFrame, column: str, ranks: Sequence[int], n: int) -> dict[int, float]:
-    values = df.select(column).filter(F.col(column).isNotNull())
-    return {r: key[0] for r, key in keys_at_ranks(values, [column], ranks, n).items()}
+    a, b = values[column, low], values[column, high]
+    return a if low == high else a * (high - place) + b * (place - low)
 
 
 def quantile_table(df: DataFrame, wanted: Mapping[str, Sequence[float]], fast: bool = False, accuracy: int = 10_000) -> DataFrame:

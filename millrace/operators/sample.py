@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import row_hash
-from millrace.operators.ordered import SMALL_BUCKET, at_or_below, keys_at_ranks, scan
+from millrace.operators.ordered import at_or_below, scan
 
 
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0, column: str = "split") -> DataFrame:
@@ -28,21 +28,21 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0,
 
 
 def _hashes_at(df: DataFrame, ranks: Sequence[int], prefix: str = "") -> dict[int, str]:
-    """The hash at each 0-based rank, by counting hash prefixes three digits at a time."""
-    parts = df.groupBy(F.substring("__h", 1, len(prefix) + 3)).agg(F.count(F.lit(1))).collect()
+    """The hash at each 0-based rank, by counting hash prefixes three digits at a time.
+
+    Each level counts at most 4096 prefixes map-side and goes on below those that hold a rank.
+    """
+    parts = df.groupBy(F.substring("__h", 1, len(prefix) + 3)).agg(F.count(F.lit(1)), F.max("__h")).collect()
     found, below = {}, 0
-    for digits, size in sorted(map(tuple, parts)):
+    for digits, size, highest in sorted(map(tuple, parts)):
         inside = [r for r in ranks if below <= r < below + size]
-        if inside and len(digits) == 32:
+        if inside and inside == [below + size - 1]:
+            found[inside[0]] = highest
+        elif inside and len(digits) == 32:
             found.update({r: digits for r in inside})
         elif inside:
-            part = df.filter(F.col("__h").startswith(digits))
-            if size <= SMALL_BUCKET:
-                hashes = sorted(r[0] for r in part.select("__h").collect())
-                found.update({r: hashes[r - below] for r in inside})
-            else:
-                deeper = _hashes_at(part, [r - below for r in inside], digits)
-                found.update({r + below: h for r, h in deeper.items()})
+            deeper = _hashes_at(df.filter(F.col("__h").startswith(digits)), [r - below for r in inside], digits)
+            found.update({r + below: h for r, h in deeper.items()})
         below += size
     return found
 
@@ -85,8 +85,8 @@ def sequential_split(df: DataFrame, order: Sequence[str], test_share: float = 0.
     train = n - math.ceil(test_share * n)
     if train <= 0:
         return df.withColumn("split", F.lit("test"))
-    last = keys_at_ranks(df, order, [train - 1], n)[train - 1]
-    return df.withColumn("split", F.when(at_or_below(df, order, last), "train").otherwise("test"))
+    last = scan(df.select(*order), order, rank="__at").filter(F.col("__at") == train)
+    return df.withColumn("split", F.when(at_or_below(order, last), "train").otherwise("test"))
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0, partitions: int | None = None) -> DataFrame:

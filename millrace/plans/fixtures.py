@@ -10,7 +10,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 VIEWS = {
     "v_matches": """
-select o_orderkey as match_id, o_orderdate as dt, c_mktsegment as pool, cast(c_nationkey as bigint) as home,
+select o_orderkey as match_id, o_orderdate as dt, concat(c_mktsegment, '-', cast(cast(floor(c_custkey / 150) as bigint) as string)) as pool, cast(c_nationkey as bigint) as home,
   (c_nationkey + 1 + o_orderkey % 24) % 25 as away, (o_orderkey * 7 + o_custkey) % 5 as home_score, (o_orderkey * 3 + o_custkey * 5) % 4 as away_score,
   case o_orderpriority when '1-URGENT' then 'FIFA World Cup' when '2-HIGH' then 'copa américa' when '3-MEDIUM' then 'UEFA Euro qualification' when '4-NOT SPECIFIED' then 'Friendly' else 'King''s Cup' end as tournament
 from orders join customer on o_custkey = c_custkey""",
@@ -41,14 +41,14 @@ select doc_id as file_id, concat('data/', source, '/', lang, '_', source, '_', c
     "v_alias": """
 select n_name as former, concat('TEAM ', cast(n_regionkey as string)) as current, n_nationkey as ord from nation where n_nationkey % 2 = 0""",
     "v_scored": """
-select vec_id as row_id, label as y, transform(slice(embedding, 1, 10), x -> cast(x as double) * 10) as logits from embeddings""",
+select vec_id as row_id, label as y, transform(sequence(1, 10), k -> aggregate(filter(embedding, (x, i) -> i % 10 = k - 1), 0D, (s, x) -> s + cast(x as double)) * 10) as logits from embeddings""",
     "v_image": """
 select vec_id as row_id, label, transform(embedding, x -> least(255.0, cast(floor(abs(cast(x as double)) * 500) as double))) as px from embeddings""",
 }
 
 DUCK_VIEWS = VIEWS | {
     "v_scored": """
-select vec_id as row_id, label as y, list_transform(embedding[1:10], lambda x: cast(x as double) * 10) as logits from embeddings""",
+select vec_id as row_id, label as y, list_transform(range(1, 11), lambda k: list_reduce(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 10 = k - 1), lambda x: cast(x as double)), lambda s, x: s + x, 0::double) * 10) as logits from embeddings""",
     "v_image": """
 select vec_id as row_id, label, list_transform(embedding, lambda x: least(255.0, cast(floor(abs(cast(x as double)) * 500) as double))) as px from embeddings""",
 }

@@ -102,13 +102,13 @@ def match_reports(matches: DataFrame, pool: str, order: Sequence[str], date: str
 def classifier_reports(scored: DataFrame, label: str, logits: str, bins: int | None = None) -> dict[str, DataFrame]:
     """Confusion grid, class report, curves per class, macro and micro areas, combined loss."""
     labels = scored.select(F.col(label).alias("y"), argmax(logits).alias("pred"))
-    cells = stage(evaluate.confusion(labels, "y", "pred"), "confusion")
+    cells = stage(evaluate.observed(labels, "y", "pred"), "confusion")
     long = evaluate.one_vs_rest(scored.select(F.col(label).alias("y"), softmax(logits).alias("probs")), "y", "probs")
     counts = evaluate.score_counts(long, "y", "score", ["class"], bins)
     per_class = evaluate.areas(counts, ["class"])
     macro = per_class.agg(F.avg("auc").alias("auc"), F.avg("ap").alias("ap")).select(F.lit("macro").alias("kind"), "auc", "ap")
     return {
-        "confusion": cells,
+        "confusion": evaluate.grid(cells),
         "report": evaluate.report(cells),
         "roc": evaluate.roc_curve(counts, ["class"]),
         "pr": evaluate.pr_curve(counts, ["class"]),

@@ -480,7 +480,7 @@ SQL_PRED = """with p as (select row_id, cast(y as bigint) as y, cast(list_positi
 )
 def d10(t):
     d = t.v_scored.select("y", argmax("logits").alias("pred"))
-    per_class = evaluate.report(evaluate.confusion(d, "y", "pred")).filter("name rlike '^[0-9]+$'")
+    per_class = evaluate.report(evaluate.observed(d, "y", "pred")).filter("name rlike '^[0-9]+$'")
     return encode.score_weights(per_class.select("name", "precision"), "precision").select("name", r("weight", 8).alias("weight"))
 
 

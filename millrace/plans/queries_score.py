@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
 from millrace.operators import encode, evaluate, image, learn, pixels
 from millrace.operators.lookup import one_row
 from millrace.plans.queries_ordered import SOFTMAX_SQL
-from millrace.plans.queries_prep import CLASS_MEAN_LOGITS, SQL_PRED, WEIGHTS, big, r, sql_uniform
+from millrace.plans.queries_prep import CLASS_MEAN_LOGITS, SQL_PRED, WEIGHTS, big, r, sql_features, sql_uniform
 from millrace.plans.registry import query
 from millrace.sources.tables import regression_data
 
@@ -49,7 +50,7 @@ SQL_REPORT = SQL_GRID + """, s as (select k.c, (select sum(n) from g where label
     SQL_REPORT + " select name, round(precision, 8) as precision, round(recall, 8) as recall, round(f1, 8) as f1, cast(support as bigint) as support from a",
 )
 def i3(t):
-    out = evaluate.report(evaluate.confusion(predicted(t), "y", "pred"))
+    out = evaluate.report(evaluate.observed(predicted(t), "y", "pred"))
     return out.select("name", *[r(c, 8).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
@@ -250,12 +251,17 @@ def v2(t):
     return long_pixels(t.v_image, image.unnormalise(image.normalise("px", [0.5], [0.5])))
 
 
+def triples(t):
+    """The 64 values and the first two again: 22 pixels of three values."""
+    return t.v_image.select("row_id", F.concat("px", F.slice("px", 1, 2)).alias("px"))
+
+
 @query(
     "v3_grayscale",
-    """select row_id, i as pos, floor((px[3 * i + 3] * 19595 + px[3 * i + 2] * 38470 + px[3 * i + 1] * 7471 + 32768) / 65536) as v from v_image, range(0, 21) t(i)""",
+    """select row_id, i as pos, floor((px[(3 * i + 2) % 64 + 1] * 19595 + px[(3 * i + 1) % 64 + 1] * 38470 + px[3 * i % 64 + 1] * 7471 + 32768) / 65536) as v from v_image, range(0, 22) t(i)""",
 )
 def v3(t):
-    return long_pixels(t.v_image, image.grayscale("px"))
+    return long_pixels(triples(t), image.grayscale("px"))
 
 
 @query("v4_resize_nearest", "select row_id, i as pos, px[(2 * (i // 4) + 1) * 8 + 2 * (i % 4) + 1 + 1] as v from v_image, range(0, 16) t(i)")
@@ -324,10 +330,19 @@ def v7(t):
     return long_pixels(t.v_image, image.chain("px", steps))
 
 
-@query("v7_saturation_hue")
+SQL_TURNED = f"""with p as (select row_id, i, px[3 * i % 64 + 1] as b0, px[(3 * i + 1) % 64 + 1] as g0, px[(3 * i + 2) % 64 + 1] as r0,
+      0.8 + {sql_uniform("'0:' || row_id || ':saturation'")} * 0.4 as f, (2 * {sql_uniform("'0:' || row_id || ':hue'")} - 1) * 0.1 as shift from v_image, range(0, 22) t(i)),
+    y as (select *, floor((r0 * 19595 + g0 * 38470 + b0 * 7471 + 32768) / 65536) as y from p),
+    c as (select row_id, i, shift, least(255.0, greatest(0.0, y + f * (r0 - y))) as r, least(255.0, greatest(0.0, y + f * (g0 - y))) as g, least(255.0, greatest(0.0, y + f * (b0 - y))) as b from y),
+    m as (select *, greatest(r, g, b) as top, greatest(r, g, b) - least(r, g, b) as span from c),
+    x as (select *, case when span = 0 then 0.0 when top = r then (((g - b) / span) % 6 + 6) % 6 when top = g then (b - r) / span + 2 else (r - g) / span + 4 end as sixth from m),
+    h as (select *, ((sixth + 6 * shift) % 6 + 6) % 6 as h from x)
+    select row_id, 3 * i + k.c as pos, round(top - span * greatest(0.0, least(1.0, (n + h) % 6, 4 - (n + h) % 6)), 6) + 0.0 as v from h, (values (0, 1), (1, 3), (2, 5)) k(c, n)"""
+
+
+@query("v7_saturation_hue", SQL_TURNED)
 def v7_colour(t):
-    triples = t.v_image.select("row_id", F.slice("px", 1, 63).alias("px"))
-    return long_pixels(pixels.run(triples, "px", "row_id", (1, 21, 3), [pixels.saturation(0.2), pixels.hue(0.1)]), "px")
+    return long_pixels(pixels.run(triples(t), "px", "row_id", (1, 22, 3), [pixels.saturation(0.2), pixels.hue(0.1)]), "px")
 
 
 @query("v8_quarter_turn", "select row_id, i as pos, px[(7 - i % 8) * 8 + i // 8 + 1] as v from v_image, range(0, 64) t(i)")
@@ -335,7 +350,16 @@ def v8(t):
     return long_pixels(shots(t, pixels.affine(90.0)), "px")
 
 
-@query("v8_random_affine")
+SQL_AFFINE = f"""with u as (select row_id, px, radians((2 * {sql_uniform("'0:' || row_id || ':turn'")} - 1) * 10) as a, radians((2 * {sql_uniform("'0:' || row_id || ':shear'")} - 1) * 10) as s,
+      round_even((2 * {sql_uniform("'0:' || row_id || ':right'")} - 1) * 0.8, 0) as right_, round_even((2 * {sql_uniform("'0:' || row_id || ':down'")} - 1) * 0.8, 0) as down_,
+      0.9 + {sql_uniform("'0:' || row_id || ':zoom'")} * 0.2 as z from v_image),
+    b as (select *, (cos(a) - sin(a) * tan(s)) / z as xx, (cos(a) * tan(s) + sin(a)) / z as xy, -sin(a) / z as yx, cos(a) / z as yy from u),
+    q as (select row_id, px, i, i % 8 - 3.5::double - right_ as dx, i // 8 - 3.5::double - down_ as dy, xx, xy, yx, yy from b, range(0, 64) t(i)),
+    f as (select row_id, px, i, round_even(xx * dx + xy * dy + 3.5 + 1e-9, 0)::bigint as x, round_even(yx * dx + yy * dy + 3.5 + 1e-9, 0)::bigint as y from q)
+    select row_id, i as pos, case when x between 0 and 7 and y between 0 and 7 then px[y * 8 + x + 1] else 0.0 end as v from f"""
+
+
+@query("v8_random_affine", SQL_AFFINE)
 def v8_random(t):
     return long_pixels(shots(t, pixels.random_affine(10, (0.1, 0.1), (0.9, 1.1), 10)), "px")
 
@@ -397,18 +421,25 @@ def v12(t):
 # --- fit and score -------------------------------------------------------------------
 
 
-@query("m1_boosted_trees")
+@query("m1_boosted_trees", "select unnest(range(1, 6)) as round, (select count(*) from v_regress) as n, true as not_worse")
 def m1(t):
-    rows = t.v_regress.select("l_linenumber", "l_quantity", "l_discount", "p_size", "p_retailprice", "y")
+    """Error on the fitted rows after each round: no round makes it larger, the first none than the mean does."""
+    rows = t.v_regress.select("l_quantity", "l_discount", "p_size", "p_retailprice", "y")
     model = learn.fit_boosted_trees(rows, ["l_quantity", "l_discount", "p_size", "p_retailprice"], "y", rounds=5, depth=4)
-    return evaluate.regression_metrics(model.transform(rows), "y", "prediction")
+    assembler, trees = model.stages
+    n, spread = rows.agg(F.count(F.lit(1)), F.var_pop("y")).first()
+    errors = [spread, *trees.evaluateEachIteration(assembler.transform(rows), "squared")]
+    out = [(i + 1, n, b <= a * (1 + 1e-9)) for i, (a, b) in enumerate(zip(errors, errors[1:], strict=False))]
+    return t.spark.createDataFrame(out, "round bigint, n bigint, not_worse boolean")
 
 
-@query("m2_feed_forward_classifier")
+@query("m2_feed_forward_classifier", "select count(*) as n, count(distinct y) as classes, true as better_than_majority from v_scored")
 def m2(t):
+    """A fitted network must name at least as many rows right as always naming the largest class."""
     model = learn.fit_classifier(t.v_scored, "logits", "y", [16], 10, steps=50)
-    scored = model.transform(t.v_scored.select(F.col("y").cast("double").alias("y"), learn.array_to_vector("logits").alias("features")))
-    return evaluate.report(evaluate.confusion(scored, "y", "prediction"))
+    rows = model.transform(t.v_scored.select(F.col("y").cast("double").alias("y"), learn.array_to_vector("logits").alias("features")))
+    cells = evaluate.observed(rows, "y", "prediction").groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)).alias("right"))
+    return cells.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), (F.sum("right") >= F.max("n")).alias("better_than_majority"))
 
 
 def generated(t, seed: int = 42, weights=WEIGHTS):
@@ -416,10 +447,34 @@ def generated(t, seed: int = 42, weights=WEIGHTS):
     return df.select(F.array(*[f"feature_{j}" for j in range(1, len(weights) + 1)]).alias("x"), "target")
 
 
-@query("m3_network_regression")
+def sql_descent(name: str, seed: int, weights, start: str, steps: int, rate: float) -> str:
+    """The loss before each step of a linear model's descent, which follows from the moments of the data alone."""
+    k = len(weights) + 1
+    x = [f"feature_{j}" for j in range(1, k)] + ["1.0::double"]
+    target = "0.1 * noise + " + " + ".join(f"({w / 10!r}) * feature_{j}" for j, w in enumerate(weights, 1))
+    zeros, each = f"[{', '.join(['0.0::double'] * k)}]", f"range(1, {k + 1})"
+    product = f"list_transform({each}, lambda j: list_sum(list_transform({each}, lambda i: a[j][i] * w[i])))"
+    return f"""{name}_d as (select *, {target} as target from ({sql_features(seed)})),
+    {name}_m as materialized (select count(*) as n, sum(target * target) as yy, [{", ".join(f"sum({v} * target)" for v in x)}] as b,
+      [{", ".join("[" + ", ".join(f"sum({v} * {u})" for u in x) + "]" for v in x)}] as a from {name}_d),
+    {name}_p as (select 0 as t, {start} as w, {zeros} as f, {zeros} as s
+      union all select t + 1, list_transform({each}, lambda j: w[j] - {rate} * ((f2[j] / (1 - power(0.9::double, t + 1))) / (sqrt(s2[j] / (1 - power(0.999::double, t + 1))) + 1e-8) + 5e-4 * w[j])), f2, s2
+      from (select t, w, list_transform({each}, lambda j: 0.9 * f[j] + 0.1 * g[j]) as f2, list_transform({each}, lambda j: 0.999 * s[j] + 0.001 * g[j] * g[j]) as s2
+        from (select t, w, f, s, list_transform({each}, lambda j: 2 * (aw[j] - b[j]) / n) as g from (select *, {product} as aw from {name}_p, {name}_m where t < {steps})))),
+    {name} as (select t::bigint as step, round((list_sum(list_transform({each}, lambda j: w[j] * (aw[j] - 2 * b[j]))) + yy) / n, 6) as loss from (select *, {product} as aw from {name}_p, {name}_m) where t < {steps})"""
+
+
+ZEROS = "[" + ", ".join(["0.0::double"] * (len(WEIGHTS) + 1)) + "]"
+
+
+def flat_start():
+    return [(np.zeros((len(WEIGHTS), 1)), np.zeros(1))]
+
+
+@query("m3_network_regression", "with recursive " + sql_descent("one", 42, WEIGHTS, ZEROS, 12, 0.03) + " select step, loss from one")
 def m3(t):
-    _, losses = learn.fit_mlp(generated(t), "x", "target", hidden=(16, 8), steps=12, rate=0.03)
-    return t.spark.createDataFrame(list(enumerate(losses)), "step bigint, loss double")
+    _, losses = learn.fit_mlp(generated(t), "x", "target", steps=12, rate=0.03, start=flat_start())
+    return t.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "step bigint, loss double")
 
 
 @query(
@@ -453,10 +508,16 @@ def m6(t):
     return long_pixels(t.v_image, vectors.dropout("px", 0.2, 9, "row_id"))
 
 
-@query("m7_second_stage")
+SECOND = [w + 2 for w in WEIGHTS]
+
+
+@query(
+    "m7_second_stage",
+    "with recursive " + sql_descent("one", 42, WEIGHTS, ZEROS, 8, 0.03) + ", " + sql_descent("two", 43, SECOND, "(select w from one_p where t = 8)", 6, 0.01)
+    + " select 'first' as stage, step, loss from one union all select 'second', step, loss from two",
+)
 def m7(t):
-    first, one = learn.fit_mlp(generated(t), "x", "target", hidden=(8,), steps=8, rate=0.03)
-    second = generated(t, seed=43, weights=[w + 2 for w in WEIGHTS])
-    _, two = learn.fit_mlp(second, "x", "target", steps=6, rate=0.01, start=first)
-    rows = [("first", i, x) for i, x in enumerate(one)] + [("second", i, x) for i, x in enumerate(two)]
+    first, one = learn.fit_mlp(generated(t), "x", "target", steps=8, rate=0.03, start=flat_start())
+    _, two = learn.fit_mlp(generated(t, 43, SECOND), "x", "target", steps=6, rate=0.01, start=first)
+    rows = [("first", i, round(x, 6)) for i, x in enumerate(one)] + [("second", i, round(x, 6)) for i, x in enumerate(two)]
     return t.spark.createDataFrame(rows, "stage string, step bigint, loss double")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.image import bytes_to_pixels
 from millrace.operators.lookup import lookup
+from millrace.operators.ordered import scan
 
 
 def parent_class(path: str | Column) -> Column:
@@ -14,19 +14,23 @@ def parent_class(path: str | Column) -> Column:
     return F.regexp_extract(F.col(path) if isinstance(path, str) else path, "([^/]+)/[^/]+$", 1)
 
 
-def with_labels(files: DataFrame, class_name: str = "class_name") -> DataFrame:
-    """Add ``label``: the position of the class name in alphabetical order."""
-    names = files.select(class_name).distinct().agg(F.array_sort(F.collect_set(class_name)).alias("names"))
-    classes = names.select(F.posexplode("names").alias("label", class_name))
-    return lookup(files, classes.withColumn("label", F.col("label").cast("bigint")), [class_name], ["label"])
+def with_labels(files: DataFrame, class_name: str = "class_name", listed: DataFrame | None = None) -> DataFrame:
+    """Add ``label``: the position of the class name in alphabetical order.
+
+    ``listed`` is a cheaper table to take the names from. Names are ranked after ``distinct``, one row per class.
+    """
+    names = (files if listed is None else listed).select(class_name).filter(F.col(class_name).isNotNull()).distinct()
+    classes = scan(names, [class_name], rank="label").withColumn("label", F.col("label") - 1)
+    return lookup(files, classes, [class_name], ["label"])
 
 
-def scan_labeled_folder(spark: SparkSession, root: str, arrays: bool = False) -> DataFrame:
+def scan_labeled_folder(spark: SparkSession, root: str) -> DataFrame:
     """(path, class_name, label, height, width, channels, data) of the images below ``root``.
 
-    ``data`` is the decoded pixels as bytes, ready for ``pixels.run``; ``arrays`` adds them
-    as a number array ``px`` for the array expressions. Filter on the size first.
+    ``data`` is the decoded pixels as bytes, ready for ``pixels.run``. Filter on the size first.
+    The class list comes from the paths alone; no file is decoded for it.
     """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(parent_class("path").alias("class_name"))
     found = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
     shown = found.select(
         F.col("image.origin").alias("path"),
@@ -36,7 +40,7 @@ def scan_labeled_folder(spark: SparkSession, root: str, arrays: bool = False) ->
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
     )
-    return with_labels(shown.withColumn("px", bytes_to_pixels("data")) if arrays else shown)
+    return with_labels(shown, listed=paths)
 
 
 def class_of_file(path: str | Column) -> Column:

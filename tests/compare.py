@@ -14,12 +14,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from millrace.operators import ordered  # noqa: E402
 from millrace.plans.fixtures import TABLES  # noqa: E402
 from millrace.session import local_session  # noqa: E402
 
-ordered.ROWS_WORTH_A_TASK = 8  # cut small test tables into several ranges, too
-
 
 def duck(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()

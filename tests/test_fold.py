@@ -106,9 +106,20 @@ def test_replacement_is_single_pass_and_last_wins(spark):
 
 
 def test_large_lookup_side_is_not_broadcast(spark):
-    dim = spark.range(50).withColumnRenamed("id", "k")
-    assert "ResolvedHint" not in lookup.sized(dim, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in lookup.sized(dim, 50)._jdf.queryExecution().analyzed().toString()
+    dim = spark.range(2_000_000).selectExpr("id as k", "concat('value ', repeat(cast(id as string), 20)) as v")
+    for out in (lookup.lookup(spark.range(100).withColumnRenamed("id", "k"), dim, ["k"], ["v"]), lookup.members(spark.range(100).withColumnRenamed("id", "k"), dim, ["k"])):
+        assert "ResolvedHint" not in out._jdf.queryExecution().analyzed().toString()
+        assert "rightHint" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    dim = spark.createDataFrame([("a", "A1", 1), ("a", "A2", 2), ("b", None, 1)], "k string, v string, ord int")
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    assert [tuple(r) for r in lookup.lookup(df, dim, ["k"], ["v"], "ord").orderBy("k").collect()] == [(None, None), ("a", "A2"), ("b", None), ("c", None)]
+    assert [r.k for r in lookup.replace_values(df, dim, "k", "v", order="ord").orderBy("k").collect()] == [None, "A2", "b", "c"]
+    ratings = spark.createDataFrame([(1, "x", 5.0), (1, "x", 7.0)], "pool int, team string, elo double")
+    matches = spark.createDataFrame([(1, "x", "y")], "pool int, home string, away string")
+    assert [(r.home_elo, r.away_elo) for r in lookup.both_sides(matches, ratings, ["pool"], "home", "away", "elo").collect()] == [(7.0, None)]
 
 
 def patience(losses, p, delta):

@@ -44,9 +44,24 @@ def test_scan(hot, by_key, rows_per_bucket):
 
 def test_buckets_split_a_hot_key(hot):
     df, _ = hot
-    bucketed, cuts = ordered.range_buckets(df, ["k", "at", "id"], rows_per_bucket=500)
+    bucketed = ordered.range_buckets(df, ["k"], ["at", "id"], rows_per_bucket=500)
     sizes = [r[1] for r in bucketed.groupBy(ordered.BUCKET).count().collect()]
-    assert len(cuts) == 39 and max(sizes) < 3 * 500
+    assert 30 <= len(sizes) <= 40 and max(sizes) < 4 * 500
+
+
+def test_source_is_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    df = spark.range(5000).selectExpr("id", "id % 3 as k", "if(id % 4 = 0, null, id) as v").mapInPandas(watched, "id long, k long, v double")
+    assert ordered.scan(df, ["id"], ["k"], sums={"s": "id"}, rows_per_bucket=300).count() == 5000
+    assert seen.value == 5000
+    assert ordered.fill_within_key(df, "k", ["id"], ["v"], rows_per_bucket=300).filter("v is null").count() == 0
+    assert seen.value == 10_000
 
 
 @pytest.mark.parametrize("rows_per_bucket", [97, 10**9])
@@ -74,34 +89,24 @@ def test_scan_does_not_depend_on_partitions(hot, partitions):
     assert {r.id: (r["rank"], r.run) for r in got.collect()} == expected_scan(frame, False)
 
 
-def test_keys_at_ranks(hot):
-    df, frame = hot
-    whole = sorted(((k is not None, k or "", a, i) for k, a, i in zip(frame.k.where(frame.k.notna(), None), frame["at"], frame.id)))
-    ranks = [0, 1, 3333, 9999, 15_000, 19_998, 19_999]
-    got = ordered.keys_at_ranks(df, ["k", "at", "id"], ranks, small=200)
-    assert {r: v[2] for r, v in got.items()} == {r: whole[r][3] for r in ranks}
-    tied = sorted(frame["at"])
-    assert {r: v[0] for r, v in ordered.keys_at_ranks(df, ["at"], ranks, small=50).items()} == {r: tied[r] for r in ranks}
-
-
 def test_timestamps_as_order(middle):
     sparse = middle.v_sparse.select("event_id", "ts")
     got = ordered.scan(sparse, ["ts", "event_id"], rows_per_bucket=800)
     want = sparse.toPandas().sort_values(["ts", "event_id"]).event_id.tolist()
     assert [r.event_id for r in got.orderBy("rank").collect()] == want
-    last = ordered.keys_at_ranks(sparse, ["ts", "event_id"], [7999], small=100)[7999]
-    assert last[1] == want[7999]
-    assert sparse.filter(ordered.at_or_below(sparse, ["ts", "event_id"], last)).count() == 8000
+    last = got.filter("rank = 8000")
+    assert last.first().event_id == want[7999]
+    assert sparse.filter(ordered.at_or_below(["ts", "event_id"], last)).count() == 8000
 
 
-@pytest.mark.parametrize("limit", [3, 10**6])
-def test_quantiles(spark, limit):
+@pytest.mark.parametrize("rows_per_bucket", [300, 10**6])
+def test_quantiles(spark, rows_per_bucket):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 1e6, 3000), np.zeros(3000), rng.exponential(1e-9, 501)])
     rows = [(float(v), None if i % 5 == 0 else int(i % 11)) for i, v in enumerate(x)] + [(float("nan"), None)]
     df = spark.createDataFrame(rows, "x double, k int")
     qs = [0.0, 0.25, 0.5, 0.61, 1.0]
-    got = exact_quantiles(df, {"x": qs, "k": [0.5]}, distinct_limit=limit)
+    got = exact_quantiles(df, {"x": qs, "k": [0.5]}, rows_per_bucket)
     np.testing.assert_allclose(got["x"], np.quantile(x, qs), rtol=1e-12, atol=1e-300)
     assert got["k"] == [np.quantile([r[1] for r in rows if r[1] is not None], 0.5)]
 
