@@ -54,8 +54,8 @@ def f3(t):
 
 # --- ratings -------------------------------------------------------------------------
 
-K_SQL = """case when lower(tournament) in ('fifa world cup', 'olympic games') then 60
-      when lower(tournament) in ('copa américa', 'uefa euro', 'afc asian cup', 'african cup of nations', 'gold cup') then 40
+K_SQL = """case when lower(tournament) = 'fifa world cup' then 60
+      when lower(tournament) = 'copa américa' then 40
       when lower(tournament) like '%qualification%' then 30 when lower(tournament) = 'friendly' then 15 else 25 end"""
 G_SQL = "case when abs(home_score - away_score) <= 1 then 1.0::double when abs(home_score - away_score) = 2 then 1.5::double else (11 + abs(home_score - away_score)) / 8.0::double end"
 S_SQL = "case when home_score > away_score then 1.0::double when home_score < away_score then 0.0::double else 0.5::double end"

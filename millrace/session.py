@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "millrace") -> SparkSession:
@@ -24,6 +29,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "millra
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application; they need no installed copy."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-code-")  # of the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(path := f"{folder}/{root.name}.zip", "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read.
 
@@ -34,6 +54,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()  # set by hand on the context
+    if given.isDefined():
+        return given.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
