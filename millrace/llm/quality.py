@@ -41,7 +41,7 @@ class Fertility:
     """
 
     vocabulary: str
-    languages: dict[str, Band] = field(default_factory=lambda: {"en": Band(1.85, 7.0, 0.02), "de": Band(1.8, 7.0, 0.02), "fr": Band(1.65, 7.0, 0.02), "es": Band(1.6, 7.0, 0.02)})
+    languages: dict[str, Band] = field(default_factory=lambda: {"en": Band(1.6, 7.0, 0.02), "de": Band(1.6, 7.0, 0.02), "fr": Band(1.5, 7.0, 0.02), "es": Band(1.45, 7.0, 0.02)})
     scripts: dict[str, Band] = field(default_factory=lambda: {"latin": Band(1.3, 8.0, 0.05), "greek": Band(0.6, 5.0, 0.1), "cyrillic": Band(1.0, 6.0, 0.05), "semitic": Band(0.6, 5.0, 0.1), "indic": Band(0.3, 4.0, 0.5), "cjk": Band(0.25, 2.5, 0.5)})
     other: Band = Band(0.25, 8.0, 0.5)
 
