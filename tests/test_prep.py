@@ -70,8 +70,6 @@ def test_one_hot_drops_the_first_and_skips_missing(spark):
     assert got.columns == ["k", "c_b"] and [r.c_b for r in got.collect()] == [True, False, False, False]
     assert encode.one_hot(df, {"c": ["a", "b"]}, drop_first=False).columns == ["k", "c_a", "c_b"]
     assert encode.categories(df, ["c", "k"]) == {"c": ["a", "b", "new"], "k": ["1", "2", "3", "4"]}
-    with pytest.raises(ValueError):
-        encode.categories(df, ["c"], limit=2)
 
 
 def test_scalers(spark):
