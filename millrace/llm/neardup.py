@@ -19,7 +19,7 @@ BANDS, ROWS = 24, 3  # two texts at the threshold share no band with a chance of
 ODD_BITS = 256
 PARITY_BITS = 1024
 LEAST_ESTIMATE = 0.4  # seven standard deviations of the estimate below the threshold
-TILE = 1024
+TILE = 512
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +110,23 @@ def _near(n: np.ndarray, odd: np.ndarray, parity: np.ndarray, a: slice) -> tuple
 
 
 def _bucket_pairs(most: int | None):
-    """Pairs of members of a bucket with different labels that may be linked: the ``most`` nearest of each, or all."""
+    """Pairs of members of a bucket with different labels that may be linked: the ``most`` nearest of each, or all.
 
-    def pairs(keys: list[bytes], n: np.ndarray, odd: np.ndarray, parity: np.ndarray, label: np.ndarray, guest: np.ndarray) -> tuple[list[bytes], list[bytes], list[float]]:
+    With the members' bands at hand, a pair that shares several of them is only looked at in the first.
+    """
+
+    def pairs(keys: list[bytes], n: np.ndarray, odd: np.ndarray, parity: np.ndarray, label: np.ndarray, guest: np.ndarray, bands: np.ndarray | None, band: int) -> tuple[list[bytes], list[bytes], list[float]]:
         left, right, far = [], [], []
         for first in range(0, len(keys), 128):
             part = slice(first, first + 128)
             possible, apart = _near(n, odd, parity, part)
             possible &= (label[part, None] != label[None, :]) & ~(guest[part, None] & guest[None, :])
+            if bands is not None:
+                i, j = np.nonzero(possible)
+                shared = bands[first + i] == bands[j]
+                possible[i, j] = bands[j, shared.argmax(axis=1)] == band
+            if most is None:  # each pair once
+                possible &= (np.arange(first, first + len(possible))[:, None] < np.arange(len(keys))[None, :])
             if most is not None and len(keys) > most:
                 best = np.argpartition(np.where(possible, apart, np.inf), most - 1, axis=1)[:, :most]
                 chosen = np.zeros_like(possible)
@@ -149,9 +158,11 @@ def _bucket_pairs(most: int | None):
                     continue
                 part = whole.slice(a, b - a)
                 odd, parity = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(b - a, -1) for c in ("odd", "parity"))
+                lists = part.column("bands")
+                bands = None if lists.null_count else lists.flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
                 place: dict[bytes, int] = {}
                 label = np.array([place.setdefault(x, len(place)) for x in part.column("label").to_pylist()])
-                found = pairs(part.column("key").to_pylist(), part.column("n").to_numpy(), odd, parity, label, part.column("guest").to_numpy(zero_copy_only=False))
+                found = pairs(part.column("key").to_pylist(), part.column("n").to_numpy(), odd, parity, label, part.column("guest").to_numpy(zero_copy_only=False), bands, int(group[0, a]))
                 for out, new in zip((left, right, far), found, strict=True):
                     out.extend(new)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(far, pa.float64())], names=["a", "b", "far"])
@@ -195,7 +206,7 @@ def groups(documents: DataFrame, rows: DataFrame) -> DataFrame:
     crowded = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     members = stage(banded.join(crowded, "band"), "near-members")
     texts = _texts(documents, reps.join(members.select("key").distinct(), "key", "left_semi").select("key", "digest"))
-    sketches = reps.select("key", "n", "odd", "parity")
+    sketches = reps.select("key", "n", "odd", "parity", "bands")
     labels = links = seen = None
     for most in (1, 8, None):
         pairs = _candidates(members, sketches, labels, most)
@@ -233,7 +244,9 @@ def _candidates(members: DataFrame, sketches: DataFrame, labels: DataFrame | Non
         home = named.join(mixed, "band").withColumn("own", own)
         everywhere = F.when(F.col("label") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), tiles - 1))
         placed = home.select("band", "key", "label", "own", F.explode(everywhere).alias("tile")).select("band", "key", "tile", "label", (F.col("tile") != F.col("own")).alias("guest"))
-    full = placed.join(sketches, "key").select("band", "tile", "key", "label", "guest", "n", "odd", "parity")
+    # in the first round each member gives one pair a bucket at most; later its bands tell which bucket a pair is for
+    bands = F.lit(None).cast("array<long>") if labels is None else F.col("bands")
+    full = placed.join(sketches, "key").select("band", "tile", "key", "label", "guest", "n", "odd", "parity", bands.alias("bands"))
     near = full.repartition("band", "tile").sortWithinPartitions("band", "tile").mapInArrow(_bucket_pairs(most), "a binary, b binary, far double")
     if most == 1:
         near = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))

@@ -39,7 +39,23 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@query("op1_suffix_array_dedup")
+OP1_SQL = r"""
+with texts as materialized (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select r, h, unnest(range(0, len(h) // 2 - 199)) as i from texts where len(h) >= 400),
+keyed as materialized (select r, i, md5(substr(h, 2 * i + 1, 400)) as k from starts),
+found as (select r, i from keyed where k in (select k from keyed group by k having count(*) > 1)),
+heads as (select r, i, case when i <= lag(i) over (partition by r order by i) + 200 then 0 else 1 end as head from found),
+grouped as (select r, i, sum(head) over (partition by r order by i rows unbounded preceding) as g from heads),
+spans as (select r, g, min(i) as a, max(i) + 200 as b from grouped group by r, g),
+gaps as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as p from spans),
+cut as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) as front from gaps join texts using (r) group by r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_removed is null then h else front || substr(h, 2 * e + 1) end)) as kept_sha256
+from texts left join cut using (r)
+"""
+
+
+@query("op1_suffix_array_dedup", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document covered by 200-byte strings that start elsewhere, too."""
     return suffixes.dedup(table(spark, folder, "documents"))
