@@ -59,7 +59,7 @@ def _parity(rows: np.ndarray, values: np.ndarray, n: int, bits: int) -> np.ndarr
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factors = _odds(BANDS * ROWS, 7)
-    for batch in slices(batches, "text", 1 << 21):
+    for batch in slices(batches, "text"):
         n = batch.num_rows
         found, rows = shingles(*utf8(batch.column("text")))
         sizes = np.bincount(rows, minlength=n)
@@ -178,7 +178,7 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose full shingle sets are similar enough."""
     for whole in batches:
-        for batch in slices(slices(iter([whole]), "text_a", 1 << 21), "text_b", 1 << 21):
+        for batch in slices(slices(iter([whole]), "text_a"), "text_b"):
             n = batch.num_rows
             one, row_a = shingles(*utf8(batch.column("text_a")))
             two, row_b = shingles(*utf8(batch.column("text_b")))
