@@ -11,8 +11,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 _BLOCK = 1 << 16
 
 # bytes that are not white space: [^\x20\x09-\x0D]
@@ -25,6 +26,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def bounded(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, as a few long texts would otherwise fill a worker's and its executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))
@@ -119,6 +126,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -16,14 +16,14 @@ from millrace.llm.batches import slices, utf8
 from millrace.llm.chunks import cuts
 
 CHUNK_BITS = 10
-CACHED_BYTES = 24 << 20
+CACHED_BYTES = 8 << 20
 
 # fixed value: how the byte-level splitter parts a text before the merges
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # bytes of line feeds, printable ASCII and U+00C0 to U+023F
 PLAIN = bytes([0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 
-Piece = tuple[list[int], str, str]
+Piece = tuple[np.ndarray, str, str]
 
 
 class Codec:
@@ -34,16 +34,26 @@ class Codec:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.ranks, self.marks, size = _rank_encoder(path)
+        self.digits = [str(i) for i in range(size)]
+        self.known: dict[str, Piece] = {}
+        self.held = 0
+
+    @cached_property
+    def model(self):
+        """The file's own tokenizer, loaded when a text needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.digits = [str(i) for i in range(self.model.get_vocab_size(with_added_tokens=True))]
-        self.ranks, self.marks = _rank_encoder(path)
-        self.known: dict[str, Piece] = {}
-        self.held = 0
+        model = Tokenizer.from_file(self.path)
+        model.no_truncation()
+        model.no_padding()
+        return model
+
+    def forget(self) -> None:
+        """Empties the cache: an idle worker keeps its process, so a task gives the room back."""
+        self.known, self.held = {}, 0
 
     def plain(self, raw: bytes) -> bool:
         """Whether the rank encoder may have a text: line feeds, printable ASCII, Latin letters, no special token."""
@@ -60,33 +70,35 @@ class Codec:
         found = self.known.get(text)
         if found is None:
             if self.held > CACHED_BYTES:
-                self.known, self.held = {}, 0
+                self.forget()
             ids = self.encode(text, plain)
             back = self.decode(ids, plain)
-            found = self.known[text] = ids, ",".join([self.digits[i] for i in ids]), text if back == text else back
+            found = self.known[text] = np.array(ids, dtype=np.int32), ",".join([self.digits[i] for i in ids]), text if back == text else back
             self.held += len(text)
         return found
 
 
 def _rank_encoder(path: str):
-    """An encoder by ranks if the file is a byte-level BPE whose ids follow its merges, and the special tokens that it doesn't know."""
+    """An encoder by ranks if the file is a byte-level BPE whose ids follow its merges, the special tokens that it
+    doesn't know, and how many ids there are."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     model, split = file["model"], file.get("pre_tokenizer") or {}
     marks = [t["content"] for t in file.get("added_tokens", [])]
+    size = 1 + max([*model["vocab"].values(), *(t["id"] for t in file.get("added_tokens", []))])
     usual = model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
     usual = usual and not file.get("normalizer") and not file.get("post_processor") and not model.get("dropout") and not model.get("ignore_merges")
     if not usual:
-        return None, []
+        return None, [], size
     letters = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256
     shown = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
     ranks = {bytes(shown[c] for c in token): i for token, i in model["vocab"].items() if token not in marks}
     merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
     if len(ranks) != 256 + len(merged) or any(model["vocab"][m] != 256 + i for i, m in enumerate(merged)):
-        return None, []
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), [m.encode() for m in marks]
+        return None, [], size
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), [m.encode() for m in marks], size
 
 
 def safe(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -174,6 +186,7 @@ def encoded(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ids.append(sha256(",".join([p[1] for p in pieces if p[1]]).encode()).hexdigest())
                 back.append(sha256("".join([p[2] for p in pieces]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(back, type=pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -187,8 +200,9 @@ def with_ids(documents: DataFrame, path: str, text: str = "text", name: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in slices(batches, text):
-            ids = [np.concatenate([np.array(p[0], dtype=np.int32) for p in pieces]) if pieces else np.empty(0, np.int32) for pieces in encode_rows(own, batch.column(text))]
+            ids = [np.concatenate([p[0] for p in pieces]) if pieces else np.empty(0, np.int32) for pieces in encode_rows(own, batch.column(text))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=[*batch.schema.names, name])
+        own.forget()
 
     return documents.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
@@ -218,8 +218,9 @@ def find(data: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray,
     return first, first + block.lengths[which], named_row[named_item >= 0], named_item[named_item >= 0]
 
 
-def _search(block: Phrases | None, text: str):
-    """Adds what a block finds to the columns _words, _spans (word and byte ends of hit stretches) and _items."""
+def _search(block: Phrases | None, text: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None):
+    """Adds what a block finds to the columns _words, _spans (word and byte ends of hit stretches) and _items;
+    ``finish`` makes the result of the last pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -243,7 +244,8 @@ def _search(block: Phrases | None, text: str):
                     spans[r] = (spans[r] or b"") + found[owner == r].tobytes()
                 for r, i in zip(named_row.tolist(), named_item.tolist(), strict=True):
                     items[r] = (items[r] or []) + [block.names[i]]
-            yield replaced(batch, _words=pa.array(counts), _spans=pa.array(spans, type=pa.binary()), _items=pa.array(items, type=pa.list_(pa.string())))
+            done = replaced(batch, _words=pa.array(counts), _spans=pa.array(spans, type=pa.binary()), _items=pa.array(items, type=pa.list_(pa.string())))
+            yield finish(done) if finish else done
 
     return run
 
@@ -261,11 +263,13 @@ def _merged(raw: bytes | None) -> np.ndarray:
     return np.array(out, dtype=np.int64).reshape(-1, 4)
 
 
-def _searched(documents: DataFrame, benchmark: DataFrame, text: str, item: str, phrase: str) -> DataFrame:
+def _searched(documents: DataFrame, benchmark: DataFrame, text: str, item: str, phrase: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """One pass for each block of the test set; the last one makes the result."""
     out = documents.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast("binary").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
-    for block in [*blocks(benchmark, item, phrase)] or [None]:
+    *others, last = [*blocks(benchmark, item, phrase)] or [None]
+    for block in others:
         out = out.mapInArrow(_search(block, text), out.schema)
-    return out
+    return out.mapInArrow(_search(last, text, finish), schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", phrase: str = "text") -> DataFrame:
@@ -278,17 +282,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     change nothing for others; an empty test set hits nothing.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [_merged(raw) for raw in batch.column("_spans").to_pylist()]
-            hits = np.array([int((m[:, 1] - m[:, 0]).sum()) for m in merged], dtype=np.int64)
-            named = [sorted(set(i or [])) for i in batch.column("_items").to_pylist()]
-            digests = [sha256(",".join(i).encode()).hexdigest() for i in named]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_words"), pa.array(hits), pa.array([len(i) for i in named], type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(hits > 0)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        merged = [_merged(raw) for raw in batch.column("_spans").to_pylist()]
+        hits = np.array([int((m[:, 1] - m[:, 0]).sum()) for m in merged], dtype=np.int64)
+        named = [sorted(set(i or [])) for i in batch.column("_items").to_pylist()]
+        digests = [sha256(",".join(i).encode()).hexdigest() for i in named]
+        columns = [batch.column("doc_id"), batch.column("_words"), pa.array(hits), pa.array([len(i) for i in named], type=pa.int64()), pa.array(digests, type=pa.string()), pa.array(hits > 0)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    found = _searched(documents.select("doc_id", text), benchmark, text, item, phrase).select("doc_id", "_words", "_spans", "_items")
-    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return _searched(documents.select("doc_id", text), benchmark, text, item, phrase, finish, schema)
 
 
 def remove_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", phrase: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -299,22 +303,20 @@ def remove_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text",
     renamed = documents.toDF(*[f"c{i}" for i in range(len(names))])
     at, length = names.index(text), names.index(length) if length in names else None
     held, kept = f"c{at}", renamed.columns
-    found = _searched(renamed, benchmark, held, item, phrase)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column("_spans").to_pylist()
-            sizes = batch.column(length).to_pylist() if length is not None else None
-            for i, raw in enumerate(spans):
-                if raw:
-                    whole, out, done = texts[i].encode(), [], 0
-                    for _, _, x, y in _merged(raw).tolist():
-                        out.append(whole[done:x])
-                        done = y
-                    texts[i] = (b"".join(out) + whole[done:]).decode()
-                    if sizes is not None:
-                        sizes[i] = len(texts[i])
-            columns = {held: pa.array(texts, type=pa.string())} | ({f"c{length}": pa.array(sizes)} if sizes is not None else {})
-            yield replaced(batch.select(kept), **columns)
-
-    return found.mapInArrow(run, renamed.schema).toDF(*names)
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans = batch.column(at).to_pylist(), batch.column("_spans").to_pylist()
+        sizes = batch.column(length).to_pylist() if length is not None else None
+        for i, raw in enumerate(spans):
+            if raw:
+                whole, out, done = texts[i].encode(), [], 0
+                for _, _, x, y in _merged(raw).tolist():
+                    out.append(whole[done:x])
+                    done = y
+                texts[i] = (b"".join(out) + whole[done:]).decode()
+                if sizes is not None:
+                    sizes[i] = len(texts[i])
+        columns = {held: pa.array(texts, type=pa.string())} | ({f"c{length}": pa.array(sizes)} if sizes is not None else {})
+        return replaced(batch.select(kept), **columns)
+
+    return _searched(renamed, benchmark, held, item, phrase, finish, renamed.schema).toDF(*names)

@@ -15,7 +15,7 @@ from millrace.llm.batches import SPACED, mix, per_row, slices, span_hashes, utf8
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 # lead bytes of letters by script; the first script also holds ASCII letters
 SCRIPTS = {"latin": range(0xC3, 0xCA), "greek": range(0xCD, 0xD0), "cyrillic": range(0xD0, 0xD4), "semitic": range(0xD6, 0xDC), "indic": range(0xE0, 0xE2), "cjk": range(0xE3, 0xEE)}
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, licenses, neardup, quality, quotes, sharding, substrings, suffixes, urls
+from millrace.llm.batches import bounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -28,6 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
