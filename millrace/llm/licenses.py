@@ -27,7 +27,8 @@ TEMPLATES = {
     "Proprietary": "All rights reserved. Do not distribute.",
 }
 LEAST_COVERAGE = 0.8
-SLACK = 3  # words around a found notice may be this many times as many as those of the template
+SLACK = 3  # a notice may stretch over this many times the words of the template, and one template more on either side
+SEEN = 10_000  # stretches of a text that are remembered
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -98,17 +99,78 @@ def compiled(templates: Mapping[str, str]) -> list[Template]:
     return [Template(name, hashes[rows == i].tolist()) for i, name in enumerate(templates)]
 
 
-def best_region(text: list[int], places: list[int], template: Template) -> tuple[int, int]:
-    """The stretch of a text, ``SLACK`` times the template long, that holds most of the given places of its words."""
-    width = SLACK * len(template.words)
-    best, low, chosen = 0, 0, 0
-    for high, at in enumerate(places):
-        while at - places[low] >= width:
-            low += 1
-        if high - low + 1 > best:
-            best, chosen = high - low + 1, low
-    first = places[chosen]
-    return max(0, first - len(template.words)), min(len(text), first + width + len(template.words))
+def common(left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence: one bit a word on the right, one step a word on the left."""
+    places: dict[int, int] = {}
+    for j, w in enumerate(right):
+        places[w] = places.get(w, 0) | 1 << j
+    full = (1 << len(right)) - 1
+    rows = [full]
+    for w in left:
+        v = rows[-1]
+        u = v & places.get(w, 0)
+        rows.append((v + u | v - u) & full)
+    held = lambda i, j: j - (rows[i] & (1 << j) - 1).bit_count()
+    i, j, pairs = len(left), len(right), []
+    while n := held(i, j):
+        if held(i - 1, j) == n:
+            i -= 1
+        elif held(i, j - 1) == n:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
+def stretches(places: list[int], held: list[int], width: int, need: float) -> Iterator[tuple[int, int]]:
+    """Ranges of places that lie within ``width`` words from the first and hold ``need`` distinct words; one for each first place at most."""
+    counts: Counter[int] = Counter()
+    distinct = high = 0
+    for low, at in enumerate(places):
+        while high < len(places) and places[high] < at + width:
+            distinct += not counts[held[high]]
+            counts[held[high]] += 1
+            high += 1
+        if distinct >= need:
+            yield low, high
+        counts[held[low]] -= 1
+        distinct -= not counts[held[low]]
+
+
+def best_notice(text: np.ndarray, places: np.ndarray, template: Template, least: float) -> list[tuple[int, int]]:
+    """Pairs of places of the best covered notice, or none; of equally covered ones the shortest, then the first.
+
+    Every word of the template may begin a notice. A stretch that starts with one is left out only if it holds too few
+    distinct words or its longest common subsequence is too short, so nothing that can be found is lost.
+    """
+    words = template.words
+    least *= len(words)
+    width = (SLACK + 2) * len(words)
+    need = least - (len(words) - len(set(words)))
+    found: list[tuple[int, int]] = []
+    score = (0, 0)
+    seen: set[bytes] = set()
+    at, held = places.tolist(), text[places].tolist()
+    for low, high in stretches(at, held, width, need):
+        first, last = at[low], at[high - 1] + 1
+        key = text[first:last].tobytes()
+        if key in seen:  # the same words again cannot be better than the first time
+            continue
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add(key)
+        exact = common(held[low:high], words)
+        if len(exact) < max(least, score[0]):
+            continue
+        pairs = align(text[first:last].tolist(), words)
+        if len(pairs) < len(exact):
+            pairs = [(at[low + i] - first, j) for i, j in exact]
+        if pairs and (new := (len(pairs), pairs[0][0] - pairs[-1][0])) > score:
+            found, score = [(first + i, j) for i, j in pairs], new
+            if score == (len(words), 1 - len(words)):
+                break
+    return found
 
 
 def _scan(templates: list[Template], least: float):
@@ -137,12 +199,10 @@ def _scan(templates: list[Template], least: float):
                 need = least * len(template.words) - (len(template.words) - len(distinct))
                 for r in np.flatnonzero(cells[:, distinct].sum(axis=1) >= need).tolist():
                     own = slice(int(first[r]), int(first[r] + counts[r]))
-                    text = np.where(known[own], symbol[own], -1 - np.arange(counts[r])).tolist()
-                    held = set(distinct)
-                    low, high = best_region(text, [i for i, w in enumerate(text) if w in held], template)
-                    pairs = align(text[low:high], template.words)
-                    if len(pairs) >= least * len(template.words):
-                        i, j = low + pairs[0][0], low + pairs[-1][0]
+                    text = np.where(known[own], symbol[own], -1)
+                    pairs = best_notice(text, np.flatnonzero(np.isin(text, distinct)), template, least)
+                    if pairs:
+                        i, j = pairs[0][0], pairs[-1][0]
                         out[r].append((template.name, len(pairs) / len(template.words), int(starts[own][i] - offsets[r]), int(ends[own][j] - offsets[r]), len(pairs)))
             best = [max(f, key=lambda x: (x[1], x[4], x[0]), default=(None, 0.0, None, None)) for f in out]
             names = [sorted(x[0] for x in f) for f in out]
@@ -155,8 +215,9 @@ def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES, least:
     """doc_id, license, coverage, start_byte, end_byte and licenses (all found, comma-joined) of every document.
 
     Words are compared in lower case without punctuation. A template is found if at least ``least`` of its words are
-    aligned inside the stretch of the text that has most of its words; the license is the one best covered, then
-    the one with most words, then the last by name. Documents without one, null and empty texts have a null license and coverage
+    aligned inside a stretch of the text that is ``SLACK`` + 2 times as long; every such stretch is looked at, and where
+    patience alignment pairs fewer words than a longest common subsequence, the latter counts. The license is the one
+    best covered, then the one with most words, then the last by name; its place is the shortest, then the first. Documents without one, null and empty texts have a null license and coverage
     0; templates without words are found nowhere; repeated rows come out repeatedly. One pass, no shuffle.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()

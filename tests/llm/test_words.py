@@ -209,6 +209,40 @@ def test_licenses(spark, documents, no_documents):
     assert licenses.scan(documents, {"nothing": "", **licenses.TEMPLATES}).count() == documents.count() and licenses.scan(no_documents).count() == 0
 
 
+def test_notices_behind_denser_decoys(spark):
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    table = "4 0 7 1 0 4 9 0 2 4 8 0 3 5 4 6 1 0 9 7 3"
+    far = " word of another kind" * 60
+    mit, sa = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["CC-BY-SA-4.0"]
+    rows = [(1, apache + far + " " + mit), (2, mit + far + " " + apache), (3, table + far + " " + sa), (4, sa + far + " " + table), (5, f"{mit} {mit} the the {mit}"), (6, far + " under the MIT License under the MIT License" + far), (7, apache), (8, table)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("MIT" in got[i].licenses.split(",") for i in (1, 2, 5, 6)) and "MIT" not in got[7].licenses.split(",")
+    for i, name, notice in ((3, "CC-BY-SA-4.0", sa), (4, "CC-BY-SA-4.0", sa), (5, "MIT", mit)):
+        assert (got[i].license, got[i].coverage, rows[i - 1][1][got[i].start_byte : got[i].end_byte]) == (name, 1.0, notice.rstrip("."))
+    assert got[6].license == "MIT" and got[6].coverage == 0.8 and got[8].license is None
+
+
+def subsequence_by_hand(left, right):
+    row = [0] * (len(right) + 1)
+    for a in left:
+        above, row = row, [0]
+        for j, b in enumerate(right):
+            row.append(above[j] + 1 if a == b else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def test_best_notice_by_hand():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.randrange(6) for _ in range(rng.randrange(1, 6))]
+        text = np.array([rng.choice([-1, -1, 7, *range(6)]) for _ in range(rng.randrange(60))], dtype=np.int64)
+        template = licenses.Template("t", words)
+        pairs = licenses.best_notice(text, np.flatnonzero(np.isin(text, words)), template, 0.8)
+        best = max((subsequence_by_hand(text[i : i + 5 * len(words)].tolist(), words) for i in range(len(text))), default=0)
+        assert len(pairs) == (best if best >= 0.8 * len(words) else 0)
+        assert all(text[i] == words[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+
+
 def test_words_end_with_their_row():
     data, offsets = batches.utf8(pa.array(["ab", "cd", None, "", "e f"]))
     starts, ends, rows = batches.words(data, offsets, batches.SPACED)
