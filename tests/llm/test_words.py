@@ -62,6 +62,26 @@ def test_bands_reject_by_language_and_script(spark):
     assert got == {1: True, 2: False, 3: False, 4: True, 5: True}
 
 
+PROSE = {
+    "de": "Der Rat der Stadt kam im alten Saal zusammen, um über Straßen, Schulen und den Preis des Brotes vor dem Winter zu sprechen. Die meisten waren zu Fuß gekommen, weil Schnee die Brücke gesperrt hatte, und der Bürgermeister bat um kurze Reden. Ein Bäcker erklärte, warum Mehl in diesem Jahr mehr kostet; zwei Bauern antworteten, dass Regen ihre Felder verdorben habe.",
+    "fr": "Le comité de la ville s'est réuni dans la vieille salle pour parler des routes, des écoles et du prix du pain avant l'hiver. La plupart des membres étaient venus à pied, car la neige avait fermé le pont, et le maire demanda des discours brefs. Un boulanger expliqua pourquoi la farine coûte plus cher cette année; deux paysans répondirent que la pluie avait gâté leurs champs.",
+    "es": "El comité de la ciudad se reunió en la sala vieja para hablar de caminos, escuelas y del precio del pan antes del invierno. La mayoría de los miembros había venido a pie, porque la nieve había cerrado el puente, y el alcalde pidió discursos cortos. Un panadero explicó por qué la harina cuesta más este año; dos campesinos respondieron que la lluvia arruinó sus campos.",
+    "pl": "Komitet miasta spotkał się w starej sali, aby mówić o drogach, szkołach i cenie chleba przed zimą. Większość członków przyszła pieszo, ponieważ śnieg zamknął most, a burmistrz poprosił o krótkie przemówienia. Piekarz wyjaśnił, dlaczego mąka kosztuje w tym roku więcej; dwaj rolnicy odpowiedzieli, że deszcz zniszczył ich pola. Po godzinie wszyscy zgodzili się najpierw naprawić północną drogę.",
+}
+
+
+def test_letter_soup_of_any_size_falls_out(spark):
+    rng = random.Random(4)
+    kinds = [("abcdefghijklmnopqrstuvwxyz", 9, 14), ("abcdefghijklmnopqrstuvwxyz", 8, 14), ("bcdfghjklmnpqrstvwxz", 9, 9)]
+    soups = [" ".join("".join(rng.choices(letters, k=rng.randint(low, high))) for _ in range(n)) for letters, low, high in kinds for n in (50, 120, 1000) for _ in range(8)]
+    rows = [(0, s, lang) for s in soups for lang in ("en", "de", "fr", "es", "it", None)]
+    rows += [(1, text, lang) for code, text in PROSE.items() for lang in (code, None)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), OPTIONS).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(0, False), (1, True)}
+    clean = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), OPTIONS)
+    assert clean.where("not base_failed and not kept").count() == 0
+
+
 def test_kept_rows_keep_their_columns(documents, no_documents):
     kept = quality.keep_good(documents, OPTIONS)
     assert kept.schema == documents.schema
