@@ -138,6 +138,16 @@ def test_quotes(spark):
     assert quotes.link(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_short_quotes_and_scripts_without_spaces(spark):
+    said = ["Yes.", "我们明天在图书馆见面吧。", "ขอบคุณมาก", "はい\n了解しました", "👍", "The plan is good.\nThanks!\nSee you."]
+    rows = [(i, 0, "user", x) for i, x in enumerate(said)] + [(i, 1, "user", "Something else.") for i in range(len(said))]
+    rows += [(i, 2, "user", f"> {x.splitlines()[-1] if i < 5 else 'Thanks!'}\nAn answer.") for i, x in enumerate(said)]
+    rows += [(9, 0, "user", "Yes it is"), (9, 1, "user", "我们明天在图书馆见面吧。"), (9, 2, "user", "> Yes it is\n> 我们明天在图书馆见面吧。\nBoth.")]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    replies = {(r.conv_id, r.turn): r.reply_to for r in got if r.reply_to is not None}
+    assert replies == {(i, 2): 0 for i in range(len(said))} | {(9, 2): 1}
+
+
 def test_long_reply_chains(spark):
     said = [f"this is message number {i} of the long talk" for i in range(40)]
     rows = [(1, i, "user", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
