@@ -98,7 +98,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup(table(spark, folder, "documents")).drop("kept")
 
 
-OP5_COLUMNS = ["conv_id", "turn", "role", "place", "thread", "reply_to", "n_quotes", "deepest", "body_sha256"]
+OP5_COLUMNS = ["conv_id", "turn", "role", "place", "thread", "reply_to", "n_quotes", "deepest", "body_sha256", "origins"]
 
 
 @query("op5_quotation_linking")

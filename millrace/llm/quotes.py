@@ -93,12 +93,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, body_sha256, n_quotes, deepest, reply_to, thread and place of every message.
+    """conv_id, turn, role, body, body_sha256, n_quotes, deepest, origins, reply_to, thread and place of every message.
 
     Lines are given their quote level; passages quoted at any level are hashed in normalised form (whole, by paragraph
     and by line) and joined to the first message of the conversation that says them in its own words, if that comes
-    before. A message replies to the one whose passage at level 1 it quotes with most words; its thread is where
-    following replies ends. Passages of any length count; only a quoted line inside a larger paragraph needs
+    before. ``origins`` holds, by rising level, the message whose passage is quoted there with most words; it is null if
+    there is none. A message replies to the origin of its lowest level that has one; its thread is where following
+    replies ends. Passages of any length count; only a quoted line inside a larger paragraph needs
     ``LEAST_POINTS`` code points. Letters of scripts without spaces count as words. ``place`` orders a conversation by thread and turn, so that replies stand behind what
     they answer. ``body`` is the text without quotes.
 
@@ -115,10 +116,11 @@ def link(messages: DataFrame) -> DataFrame:
     cited = stage(parsed.select("conv_id", "turn", F.inline("cited")).where("turn is not null").distinct(), "quote-cited")
     said = parsed.select("conv_id", "turn", F.inline("own")).join(cited.select("conv_id", "digest").distinct(), ["conv_id", "digest"], "left_semi")
     first = stage(said.groupBy("conv_id", "digest").agg(F.min("turn").alias("origin")), "quote-origins")
-    linked = cited.join(first, ["conv_id", "digest"]).where("origin < turn and level = 1")
-    replies = linked.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "origin")).alias("best")).select("conv_id", "turn", F.col("best.origin").alias("reply_to"))
+    linked = cited.join(first, ["conv_id", "digest"]).where("origin < turn")
+    best = linked.groupBy("conv_id", "turn", "level").agg(F.max(F.struct("words", "origin")).alias("best")).select("conv_id", "turn", F.struct("level", F.col("best.origin").alias("origin")).alias("found"))
+    replies = best.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("found")).alias("origins")).withColumn("reply_to", F.col("origins")[0]["origin"])
     replies = stage(replies, "quote-replies")
-    roots = replies.withColumnRenamed("reply_to", "thread")
+    roots = replies.select("conv_id", "turn", F.col("reply_to").alias("thread"))
     while True:  # each round doubles the length of the chains that are followed
         up = roots.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("higher"))
         longer = roots.join(up, (F.col("conv_id") == F.col("c")) & (F.col("thread") == F.col("t")), "left")

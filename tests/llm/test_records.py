@@ -148,6 +148,15 @@ def test_short_quotes_and_scripts_without_spaces(spark):
     assert replies == {(i, 2): 0 for i in range(len(said))} | {(9, 2): 1}
 
 
+def test_origins_of_every_level(spark):
+    first, second = "The bridge is closed today.", "Since when has it been closed?"
+    rows = [(c, i, "user", x) for c in (1, 2, 3) for i, x in enumerate((first, second))]
+    rows += [(1, 2, "user", f">> {first}\nI see."), (2, 2, "user", f"> no words of this talk\n>> {first}\nI see."), (3, 2, "user", f"> {second}\n>> {first}\nSince noon.")]
+    got = {r.conv_id: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect() if r.turn == 2}
+    assert {c: (r.reply_to, r.thread) for c, r in got.items()} == {1: (0, 0), 2: (0, 0), 3: (1, 1)}
+    assert {c: [tuple(x) for x in r.origins] for c, r in got.items()} == {1: [(2, 0)], 2: [(2, 0)], 3: [(1, 1), (2, 0)]}
+
+
 def test_long_reply_chains(spark):
     said = [f"this is message number {i} of the long talk" for i in range(40)]
     rows = [(1, i, "user", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
