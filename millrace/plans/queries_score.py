@@ -477,6 +477,12 @@ def m3(t):
     return t.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "step bigint, loss double")
 
 
+@query("m3_hidden_layers")
+def m3_hidden(t):
+    _, losses = learn.fit_mlp(generated(t), "x", "target", hidden=(16, 8), steps=12, rate=0.03)
+    return t.spark.createDataFrame(list(enumerate(losses)), "step bigint, loss double")
+
+
 @query(
     "m4_batch_scoring",
     CLASS_MEAN_LOGITS + """, b as (select row_id, max(logit) as top from s group by row_id),
@@ -521,3 +527,10 @@ def m7(t):
     _, two = learn.fit_mlp(generated(t, 43, SECOND), "x", "target", steps=6, rate=0.01, start=first)
     rows = [("first", i, round(x, 6)) for i, x in enumerate(one)] + [("second", i, round(x, 6)) for i, x in enumerate(two)]
     return t.spark.createDataFrame(rows, "stage string, step bigint, loss double")
+
+
+@query("m7_hidden_second_stage")
+def m7_hidden(t):
+    first, one = learn.fit_mlp(generated(t), "x", "target", hidden=(8,), steps=8, rate=0.03)
+    _, two = learn.fit_mlp(generated(t, 43, SECOND), "x", "target", steps=6, rate=0.01, start=first)
+    return t.spark.createDataFrame([("first", i, x) for i, x in enumerate(one)] + [("second", i, x) for i, x in enumerate(two)], "stage string, step bigint, loss double")

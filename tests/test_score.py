@@ -249,6 +249,40 @@ def test_network_training(spark, generated, tmp_path):
     assert more[0] < losses[0] / 2
 
 
+def descent_by_hand(x, y, shapes, flat, steps, rate):
+    """Losses and weights of the same descent; gradients by central differences."""
+    def loss(flat):
+        h, at = x, 0
+        for k, (i, o) in enumerate(shapes):
+            z = h @ flat[at : at + i * o].reshape(i, o) + flat[at + i * o : at + i * o + o]
+            h, at = np.where(z > 0, z, np.exp(np.minimum(z, 0)) - 1) if k < len(shapes) - 1 else z, at + i * o + o
+        return ((h[:, 0] - y) ** 2).mean()
+
+    a, b, losses = np.zeros_like(flat), np.zeros_like(flat), []
+    for t in range(1, steps + 1):
+        losses.append(loss(flat))
+        g = np.array([(loss(flat + e) - loss(flat - e)) / 2e-5 for e in np.eye(len(flat)) * 1e-5])
+        a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
+        flat = flat - rate * (a / (1 - 0.9**t) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8) + 5e-4 * flat)
+    return losses, flat
+
+
+def test_hidden_layer_queries_by_hand(spark):
+    from millrace.plans import queries_score as q
+    from millrace.plans.registry import QUERIES, Inputs
+
+    folder = "/root/testdata/sf0.001"
+    inputs = Inputs(spark, folder)
+    one, two = ([np.array(c) for c in zip(*q.generated(inputs, *a).collect(), strict=True)] for a in ((), (43, q.SECOND)))
+    width = one[0].shape[1]
+    for sizes, name in (((width, 16, 8, 1), "m3_hidden_layers"), ((width, 8, 1), "m7_hidden_second_stage")):
+        rng, shapes = np.random.default_rng(0), list(zip(sizes, sizes[1:], strict=False))
+        flat = np.concatenate([p for i, o in shapes for p in (rng.normal(0, np.sqrt(2 / i), (i, o)).ravel(), np.zeros(o))])
+        want, flat = descent_by_hand(*one, shapes, flat, 12 if len(sizes) == 4 else 8, 0.03)
+        want += descent_by_hand(*two, shapes, flat, 6, 0.01)[0] if len(sizes) == 3 else []
+        np.testing.assert_allclose([r.loss for r in QUERIES[name](spark, folder).collect()], want, rtol=1e-3)
+
+
 def test_forecast_beats_the_mean(spark):
     rows = [(i, float(np.sin(i / 9.0)), float(np.sin(i / 9.0) + 0.1)) for i in range(900)]
     df = spark.createDataFrame(rows, "t bigint, open double, close double")
