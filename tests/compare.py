@@ -31,7 +31,7 @@ def plain(v):
     return str(v)
 
 
-NAMES = {"bigint": "bigint", "double": "double", "varchar": "string", "string": "string", "boolean": "boolean"}
+NAMES = {"bigint": "bigint", "int": "int", "integer": "int", "double": "double", "varchar": "string", "string": "string", "boolean": "boolean"}
 
 
 def family(kind: str) -> str:
