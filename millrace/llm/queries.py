@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, licenses, neardup, quality, quotes, sharding, substrings, suffixes, urls
+from millrace.llm import bpe, collisions, decontaminate, divergence, licenses, neardup, quality, quotes, sharding, substrings, suffixes, urls, whitening
 from millrace.llm.batches import bounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,43 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.measured(table(spark, folder, "documents"))
     placed = sharding.shard_rows(rows, "doc_id", ["text_crc32", "size"], [1.0] * SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.col("grown_shard").cast("int").alias("grown_shard"))
+
+
+@query("op11_nearest_neighbours")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found by collision counting for every hundredth vector."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return collisions.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+OP12_SQL = r"""
+with texts as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') as w from documents),
+tokens as (select lang, source, r, unnest(w) as term from texts),
+counted as (select lang, source, term, count(*) as c, count(distinct r) as d from tokens group by all),
+kept as (select lang, term, sum(c) as c from counted group by all having sum(d) >= 30),
+langs as (select lang, sum(c) as n, count(*) as v from kept group by lang),
+own as (select lang, source, sum(counted.c) as n from counted join kept using (lang, term) group by all),
+groups as (select lang, source, coalesce(own.n, 0)::hugeint as n, coalesce(v, 0)::hugeint as v from (select distinct lang, source from texts) left join own using (lang, source) left join langs using (lang)),
+shares as (select g.lang, source, term, coalesce(x.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(x.c, 0) + 5)) // (g.n + 5 * g.v) as p,
+    1 + (1000000000::hugeint * (k.c + 5)) // (l.n::hugeint + 5 * l.v) as q
+  from groups g join kept k using (lang) join langs l using (lang) left join counted x using (lang, source, term)),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between the sources of each language and the terms each source uses most above its language."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first sixteen whitened components, with the exact deviation from the mean."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
