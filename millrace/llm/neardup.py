@@ -19,7 +19,8 @@ BANDS, ROWS = 24, 3  # two texts at the threshold share no band with a chance of
 ODD_BITS = 256
 PARITY_BITS = 1024
 LEAST_ESTIMATE = 0.4  # seven standard deviations of the estimate below the threshold
-TILE = 512
+TILE, TILE_ITEMS = 512, 1 << 21
+STEP = 128
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,82 +95,142 @@ def signatures(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_signatures, f"doc_id {kind}, digest binary, key binary, n long, odd binary, parity binary, bands array<long>")
 
 
-def _near(n: np.ndarray, odd: np.ndarray, parity: np.ndarray, a: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Whether members of a bucket may be linked to those of ``a``, and how far apart they look.
+def _near(members: dict, a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Whether members of a group may be linked, and how far apart they look.
 
     The odd sketch estimates the similarity from the XOR of the folded samples. The XOR of two parity bitmaps has
     at most as many ones as the sets have elements not in common, so too many ones rule a link out for certain.
     """
-    ones = np.bitwise_count(odd[a, None, :] ^ odd[None, :, :]).sum(axis=2, dtype=np.int64)
+    n, odd, parity = members["n"], members["odd"], members["parity"]
+    ones = np.bitwise_count(odd[a, None, :] ^ odd[None, b, :]).sum(axis=2, dtype=np.int64)
     with np.errstate(divide="ignore"):
         estimate = 1 + ODD_BITS / (4 * BANDS * ROWS) * np.log(np.maximum(1 - 2 * ones / ODD_BITS, 0))
-    apart = np.bitwise_count(parity[a, None, :] ^ parity[None, :, :]).sum(axis=2, dtype=np.int64)
-    both = n[a, None] + n[None, :]
-    possible = (estimate >= LEAST_ESTIMATE) & (apart * (100 + PERCENT) <= both * (100 - PERCENT))
+    apart = np.bitwise_count(parity[a, None, :] ^ parity[None, b, :]).sum(axis=2, dtype=np.int64)
+    both = n[a, None] + n[None, b]
+    possible = (estimate >= LEAST_ESTIMATE) & (apart * (100 + PERCENT) <= both * (100 - PERCENT)) & (members["label"][a, None] != members["label"][None, b])
     return possible, apart / np.maximum(both, 1)
 
 
-def _bucket_pairs(most: int | None):
-    """Pairs of members of a bucket with different labels that may be linked: the ``most`` nearest of each, or all.
+def _members(part: pa.RecordBatch) -> dict:
+    """The columns of a group as arrays; labels as numbers."""
+    place: dict[bytes, int] = {}
+    out = {c: np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(part.num_rows, -1) for c in ("odd", "parity")}
+    out |= {"key": part.column("key").to_pylist(), "n": part.column("n").to_numpy()}
+    out["label"] = np.array([place.setdefault(x, len(place)) for x in part.column("label").to_pylist()], dtype=np.int64)
+    if "bands" in part.schema.names:
+        out["bands"] = part.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        out["tile"] = part.column("tile").to_numpy()
+    return out
 
-    With the members' bands at hand, a pair that shares several of them is only looked at in the first.
-    """
 
-    def pairs(keys: list[bytes], n: np.ndarray, odd: np.ndarray, parity: np.ndarray, label: np.ndarray, guest: np.ndarray, bands: np.ndarray | None, band: int) -> tuple[list[bytes], list[bytes], list[float]]:
-        left, right, far = [], [], []
-        for first in range(0, len(keys), 128):
-            part = slice(first, first + 128)
-            possible, apart = _near(n, odd, parity, part)
-            possible &= (label[part, None] != label[None, :]) & ~(guest[part, None] & guest[None, :])
-            if bands is not None:
-                i, j = np.nonzero(possible)
-                shared = bands[first + i] == bands[j]
-                possible[i, j] = bands[j, shared.argmax(axis=1)] == band
-            if most is None:  # each pair once
-                possible &= (np.arange(first, first + len(possible))[:, None] < np.arange(len(keys))[None, :])
-            if most is not None and len(keys) > most:
-                best = np.argpartition(np.where(possible, apart, np.inf), most - 1, axis=1)[:, :most]
-                chosen = np.zeros_like(possible)
-                np.put_along_axis(chosen, best, True, axis=1)
-                possible &= chosen
-            for i, j in zip(*np.nonzero(possible), strict=True):
-                left.append(keys[first + i])
-                right.append(keys[j])
-                far.append(float(apart[i, j]))
-        return left, right, far
+def _by_group(names: list[str], work, out: pa.Schema):
+    """Applies ``work`` to the rows of each group; groups lie one after another, and one and a batch are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
-            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]).combine_chunks() if rest is not None or batch is not None else None
+            held = [x for x in (rest, batch) if x is not None]
+            rest = None
+            table = pa.Table.from_batches(held).combine_chunks() if held else None
             if table is None or not table.num_rows:
                 continue
             whole = table.to_batches()[0]
-            group = np.stack([whole.column("band").to_numpy(zero_copy_only=False), whole.column("tile").to_numpy(zero_copy_only=False)])
-            heads = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+            keys = np.stack([whole.column(c).to_numpy(zero_copy_only=False) for c in names])
+            heads = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
             stops = np.append(heads[1:], whole.num_rows)
-            if batch is not None:  # the last bucket may go on in the next batch
-                rest, stops = whole.slice(int(heads[-1])), stops[:-1]
-            else:
-                rest = None
-            left, right, far = [], [], []
-            for a, b in zip(heads.tolist(), stops.tolist(), strict=False):
-                if b - a < 2:
-                    continue
-                part = whole.slice(a, b - a)
-                odd, parity = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint64).reshape(b - a, -1) for c in ("odd", "parity"))
-                lists = part.column("bands")
-                bands = None if lists.null_count else lists.flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
-                place: dict[bytes, int] = {}
-                label = np.array([place.setdefault(x, len(place)) for x in part.column("label").to_pylist()])
-                found = pairs(part.column("key").to_pylist(), part.column("n").to_numpy(), odd, parity, label, part.column("guest").to_numpy(zero_copy_only=False), bands, int(group[0, a]))
-                for out, new in zip((left, right, far), found, strict=True):
-                    out.extend(new)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(far, pa.float64())], names=["a", "b", "far"])
+            if batch is not None:  # the last group may go on in the next batch
+                rest, heads, stops = whole.slice(int(heads[-1])), heads[:-1], stops[:-1]
+            rows = [x for a, b in zip(heads.tolist(), stops.tolist(), strict=True) if b - a > 1 for x in work(whole.slice(a, b - a))]
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, x, strict=True)) for x in rows], schema=out)
 
     return run
 
 
+def _nearest(part: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, float]]:
+    """The partner that looks nearest of each member that may be linked to one."""
+    members = _members(part)
+    for first in range(0, part.num_rows, STEP):
+        possible, apart = _near(members, slice(first, first + STEP), slice(0, part.num_rows))
+        best = np.where(possible, apart, np.inf).argmin(axis=1)
+        for i in np.flatnonzero(possible.any(axis=1)).tolist():
+            yield members["key"][first + i], members["key"][best[i]], float(apart[i, best[i]])
+
+
+def _pairs(members: dict, band: int, one: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member with those that it may be linked to, from two tiles or within one; a pair that shares several bands
+    is only looked at in the first."""
+    tile, bands = members["tile"], members["bands"]
+    n = len(tile)
+    edge = n if one else int(np.searchsorted(tile, tile[-1]))  # the second tile's members come last
+    for first in range(0, edge, STEP):
+        a = slice(first, min(first + STEP, edge))
+        b = slice(0, n) if one else slice(edge, n)
+        possible, _ = _near(members, a, b)
+        if one:
+            possible &= np.arange(a.start, a.stop)[:, None] < np.arange(n)[None, :]
+        i, j = np.nonzero(possible)
+        shared = bands[first + i] == bands[b.start + j]
+        possible[i, j] = bands[b.start + j, shared.argmax(axis=1)] == band
+        for k in np.flatnonzero(possible.any(axis=1)).tolist():
+            yield first + k, b.start + np.flatnonzero(possible[k])
+
+
+def _wanted(part: pa.RecordBatch) -> Iterator[tuple]:
+    """The members of a group that may be linked to another one."""
+    group = tuple(part.column(c)[0].as_py() for c in ("band", "low", "high"))
+    members = _members(part)
+    if group[1] != group[2] and members["tile"][0] == members["tile"][-1]:
+        return
+    chosen = np.zeros(part.num_rows, dtype=bool)
+    for i, js in _pairs(members, group[0], group[1] == group[2]):
+        chosen[i] = True
+        chosen[js] = True
+    for i in np.flatnonzero(chosen).tolist():
+        yield (*group, members["key"][i])
+
+
+def _links(part: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+    """Links between members of a group, confirmed on the full sets; of those that join the same labels only the first,
+    so there are fewer than members."""
+    band, low, high = (part.column(c)[0].as_py() for c in ("band", "low", "high"))
+    members = _members(part)
+    if low != high and members["tile"][0] == members["tile"][-1]:
+        return
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in part.column("items")]
+    parent = list(range(int(members["label"].max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    label = members["label"].tolist()
+    for i, js in _pairs(members, band, low == high):
+        open_ = [j for j in js.tolist() if root(label[j]) != root(label[i])]
+        for first in range(0, len(open_), STEP):
+            some = open_[first : first + STEP]
+            sizes = np.array([len(sets[j]) for j in some])
+            items = np.concatenate([sets[j] for j in some])
+            place = np.minimum(np.searchsorted(sets[i], items), len(sets[i]) - 1)
+            common = np.add.reduceat((sets[i][place] == items).astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = 100 * common >= PERCENT * (len(sets[i]) + sizes - common)
+            for j in np.array(some)[linked].tolist():
+                if root(label[i]) != root(label[j]):
+                    parent[root(label[j])] = root(label[i])
+                    yield members["key"][i], members["key"][j]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets, each in order."""
+    for whole in batches:
+        for batch in slices(iter([whole])):
+            found, rows = shingles(*utf8(batch.column("text")))
+            found = found[np.lexsort((found, rows))]
+            stops = np.searchsorted(rows, np.arange(batch.num_rows), side="right")
+            items = [x.tobytes() for x in np.split(found, stops[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(items, pa.binary())], names=["key", "items"])
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -194,34 +255,26 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def groups(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, label) of every shingle set that is linked to another one; ``rows`` are the stored signatures.
 
-    Sets are compared once each, however many documents have them. A bucket of a band is split into tiles of
-    bounded size. The first round checks the nearest partner of each set; later rounds only look at buckets that
-    still hold several components, at first at eight partners of each set and at last at all pairs of different
-    components that the sketches cannot rule out; members outside of a bucket's largest component then visit its
-    other tiles. Every link is confirmed on the texts' full sets, so nothing is linked by an estimate.
+    Sets are compared once each, however many documents have them. First each set meets the one that looks nearest to
+    it in its buckets, in tiles of bounded size. Buckets that then still hold several components are compared whole:
+    all tiles of the members outside of the bucket's largest component with all its tiles, two tiles a task, and each
+    pair in the first band it shares only. Sets that the sketches cannot rule out meet again with their full sets, and
+    the task that holds them confirms the links, so pairs are never written down; it keeps as many links as join
+    components. Nothing is linked by an estimate, and no pair of a bucket is left out.
     """
     reps = rows.where("key is not null").groupBy("key").agg(*[F.first(c).alias(c) for c in ("digest", "n", "odd", "parity", "bands")])
     reps = stage(reps, "near-sets")
-    banded = reps.select("key", F.explode("bands").alias("band"))
+    banded = reps.select("key", "n", F.explode("bands").alias("band"))
     crowded = stage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-buckets")
     members = stage(banded.join(crowded, "band"), "near-members")
     texts = _texts(documents, reps.join(members.select("key").distinct(), "key", "left_semi").select("key", "digest"))
-    sketches = reps.select("key", "n", "odd", "parity", "bands")
-    labels = links = seen = None
-    for most in (1, 8, None):
-        pairs = _candidates(members, sketches, labels, most)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "near-pairs")
-        if pairs.isEmpty():
-            break
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        sides = [texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
-        judged = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary, linked boolean")
-        good = stage(judged.where("linked").select("a", "b"), "near-links")
-        links = good if links is None else links.unionByName(good)
-        labels = components(links)
-    return labels if labels is not None else reps.select("key", F.col("key").alias("label")).where(F.lit(False))
+    sketches = reps.select("key", "odd", "parity", "bands")
+    near = stage(_first_pairs(members, sketches), "near-pairs")
+    sides = [texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b")]
+    judged = near.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary, linked boolean")
+    links = stage(judged.where("linked").select("a", "b"), "near-links")
+    rest = stage(_other_links(members, sketches, texts, components(links)), "near-links")
+    return components(links.unionByName(rest))
 
 
 def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,28 +284,46 @@ def _texts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(once.join(wanted, "digest").select("key", "text"), "near-texts")
 
 
-def _candidates(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, most: int | None) -> DataFrame:
-    """Distinct pairs a < b of sets that may be linked and have different labels."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
-    if labels is None:
-        placed = members.select("band", "key", own.alias("tile"), F.col("key").alias("label"), F.lit(False).alias("guest"))
-    else:
-        named = stage(members.join(labels, "key", "left").select("band", "size", "key", F.coalesce("label", "key").alias("label")), "near-named")
-        counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-        mixed = stage(counts.groupBy("band").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("label", "c").alias("main")).where("kinds > 1").select("band", "main"), "near-mixed")
-        home = named.join(mixed, "band").withColumn("own", own)
-        everywhere = F.when(F.col("label") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), tiles - 1))
-        placed = home.select("band", "key", "label", "own", F.explode(everywhere).alias("tile")).select("band", "key", "tile", "label", (F.col("tile") != F.col("own")).alias("guest"))
-    # in the first round each member gives one pair a bucket at most; later its bands tell which bucket a pair is for
-    bands = F.lit(None).cast("array<long>") if labels is None else F.col("bands")
-    full = placed.join(sketches, "key").select("band", "tile", "key", "label", "guest", "n", "odd", "parity", bands.alias("bands"))
-    near = full.repartition("band", "tile").sortWithinPartitions("band", "tile").mapInArrow(_bucket_pairs(most), "a binary, b binary, far double")
-    if most == 1:
-        near = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+def _first_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs a < b of each set and the one that looks nearest in its tiles."""
+    tile = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE).cast("int")).cast("int")
+    placed = members.select("band", "key", "n", tile.alias("tile"), F.col("key").alias("label")).join(sketches.drop("bands"), "key")
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("far", pa.float64())])
+    near = placed.repartition("band", "tile").sortWithinPartitions("band", "tile").mapInArrow(_by_group(["band", "tile"], _nearest, out), "a binary, b binary, far double")
+    near = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _other_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Confirmed links between sets of different labels that share a band."""
+    named = stage(members.join(labels, "key", "left").select("band", "key", "n", F.coalesce("label", "key").alias("label")), "near-named")
+    counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    weight = F.struct("c", "w", "label")
+    mixed = counts.groupBy("band").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(weight).alias("main")).where("kinds > 1")
+
+    def tiles(c, w):  # of bounded members and elements
+        return F.greatest(F.ceil(c / TILE), F.ceil(w / TILE_ITEMS)).cast("int")
+
+    mixed = stage(mixed.select("band", F.col("main.label").alias("main"), tiles(F.col("main.c"), F.col("main.w")).alias("mains"), tiles(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("others")), "near-mixed")
+    is_main = F.col("label") == F.col("main")
+    own = F.when(is_main, F.pmod(F.xxhash64("key"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("key"), "others")).cast("int")
+    meets = F.when(is_main, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
+    home = named.join(mixed, "band").withColumn("tile", own).select("band", "key", "n", "label", "tile", F.explode(meets).alias("with"))
+    home = stage(home.select("band", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "key", "n", "label"), "near-tiles")
+    group = ["band", "low", "high"]
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*group).sortWithinPartitions(*group, "tile")
+
+    out = pa.schema([("band", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("key", pa.binary())])
+    wanted = stage(dealt(home.join(sketches, "key")).mapInArrow(_by_group(group, _wanted, out), "band long, low int, high int, key binary"), "near-wanted")
+    sets = texts.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(_sets, "key binary, items binary")
+    full = wanted.join(home, [*group, "key"]).join(sketches, "key").join(stage(sets, "near-items"), "key")
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    found = dealt(full.select(*group, "tile", "key", "n", "label", "odd", "parity", "bands", "items")).mapInArrow(_by_group(group, _links, out), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
