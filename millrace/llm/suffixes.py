@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.batches import covered, mix, runs, slices, span_hashes, utf8, window_hashes
+from millrace.llm.batches import covered, mix, runs, slices, span_hashes, sum_hashes, utf8, window_hashes
 from millrace.session import stage
 
 LENGTH = 200
@@ -188,7 +188,7 @@ def _pieces(data: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, width
     """Splits stretches of starts into pieces of ``width`` distances to the anchor. Each has the hash of the bytes
     common to all starts that can be in such a piece (the core) and that of all its bytes (the slice)."""
     if width is None:
-        core = span_hashes(data, p, p + GRAM, seed=3)
+        core = sum_hashes(data, p, p + GRAM, seed=3)
         first, last, at = s, e, p
     else:
         low, high = (p - e) // width, (p - s) // width
@@ -197,8 +197,9 @@ def _pieces(data: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, width
         at, s, e = (np.repeat(x, count) for x in (p, s, e))
         first, last = np.maximum(s, at - block * width - width + 1), np.minimum(e, at - block * width)
         inner = at - block * width
-        core = mix(span_hashes(data, inner, inner + length + 1 - width, seed=3) + block.astype(np.uint64))
-    part = mix(span_hashes(data, first, last + length, seed=4) + (at - first).astype(np.uint64))
+        core = mix(sum_hashes(data, inner, inner + length + 1 - width, seed=3) + block.astype(np.uint64))
+    slice_hashes = span_hashes if width is None else sum_hashes  # whole stretches have any length
+    part = mix(slice_hashes(data, first, last + length, seed=4) + (at - first).astype(np.uint64))
     return core.view(np.int64), part.view(np.int64), at, first, last
 
 
