@@ -64,15 +64,14 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def listed(pages: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Adds ``listed``: whether a page's key is among ``keys`` (column ``key``; null is never listed).
+    """Adds ``listed``: whether a page's key is among ``keys`` (its first column; null is never listed).
 
-    The filter is joined by block and rejects nearly all keys that are not listed. What it passes goes on
-    to the join by key, which removes the false positives; what it rejects takes a key of its own there,
-    so rejected rows do not meet in one task. List and filter are stored tables, hence adaptive execution
+    The filter is joined by block and rejects nearly all keys that are not listed. Only what it passes goes on to the
+    join by key, which removes the false positives. List and filter are stored tables, hence adaptive execution
     sees their size before it picks a join, broadcasts only what is small, and splits hot hosts and keys.
     Repeated and null entries of the list change nothing; an empty list marks nothing.
     """
-    once = stage(keys.select(F.col(key).alias("_listed")).where("_listed is not null").distinct(), "url-list")
+    once = stage(keys.select(F.col(keys.columns[0]).alias("_listed")).where("_listed is not null").distinct(), "url-list")
     blocks = once.count() // KEYS_PER_BLOCK + 1
     table = stage(bloom(once, "_listed", blocks), "url-bloom")
     names = pages.columns
@@ -81,10 +80,9 @@ def listed(pages: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     probed = pages.toDF(*own.values()).withColumn("_block", _block(page, blocks)).withColumn("_mask", _mask(page))
     probed = probed.join(table, F.col("_block") == F.col("block"), "left")
     hit = F.coalesce(F.col("bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)) & page.isNotNull()
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(*own.values()).cast("string"))
-    probed = probed.select(*own.values(), F.when(hit, page).otherwise(spread).alias("_probe"))
-    joined = probed.join(once, F.col("_probe") == F.col("_listed"), "left")
-    return joined.select(*(F.col(x).alias(c) for c, x in own.items()), F.col("_listed").isNotNull().alias("listed"))
+    shown = [F.col(x).alias(c) for c, x in own.items()]
+    passed = probed.where(hit).join(once, page == F.col("_listed"), "left").select(*shown, F.col("_listed").isNotNull().alias("listed"))
+    return passed.unionByName(probed.where(~hit).select(*shown, F.lit(False).alias("listed")))
 
 
 def filter_urls(pages: DataFrame, keys: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
