@@ -8,9 +8,11 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from millrace.llm import batches, decontaminate, licenses, neardup, quality
+from millrace.llm import batches, decontaminate, licenses, neardup, quality, queries
 from millrace.llm.components import components
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -267,3 +269,78 @@ def test_words_end_with_their_row():
     data, offsets = batches.utf8(pa.array(["ab", "cd", None, "", "e f"]))
     starts, ends, rows = batches.words(data, offsets, batches.SPACED)
     assert [(data[a:b].tobytes().decode(), r) for a, b, r in zip(starts, ends, rows, strict=True)] == [("ab", 0), ("cd", 1), ("e", 4), ("f", 4)]
+
+
+def near_threshold(rng, members, changed):
+    """Texts of 200 words, each with its own changes to one base: many pairs lie just below or above the threshold."""
+    base = [f"b{i}" for i in range(200)]
+    out = []
+    for i in range(members):
+        own = list(base)
+        for j in rng.sample(range(200), changed):
+            own[j] = f"x{i}y{j}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_family_around_the_threshold(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = list(enumerate(near_threshold(rng, 160, 3) + near_threshold(rng, 160, 4)))
+    sets = [shingles_by_hand(t) for _, t in rows]
+    near = [100 * len(a & b) / len(a | b) for a, b in combinations(sets, 2)]
+    assert sum(70 <= x < 75 for x in near) > 5000 and sum(x >= 75 for x in near) > 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, components_by_hand(rows)))
+    for tile, items in ((512, 1 << 21), (1, 1 << 21), (50, 3000)):  # one tile; each set in its own; small by size, too
+        monkeypatch.setattr(neardup, "TILE", tile)
+        monkeypatch.setattr(neardup, "TILE_ITEMS", items)
+        assert sorted(str(tuple(r)) for r in neardup.near_duplicates(docs).collect()) == want
+
+
+def test_rows_grow_with_members_not_pairs(spark):
+    """Nothing but members is exchanged for a family just below the threshold, and few links come out."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame(list(enumerate(near_threshold(rng, 400, 7))), "doc_id long, text string")
+    rows = neardup.stage(neardup.signatures(docs), "t")
+    reps = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "odd", "parity", "bands")])
+    banded = reps.select("key", "n", F.explode("bands").alias("band"))
+    members = banded.join(banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "band")
+    labels = spark.createDataFrame([], "key binary, label binary")
+    texts = rows.join(docs, "doc_id").select("key", "text")
+    found = neardup._other_links(members, reps.drop("n"), texts, labels)
+    assert found.count() < 400
+
+
+def swapped(n, a="b", b="g"):
+    """Two texts of n letters that all sums of powers of one base modulo 2**64 take for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_lines_and_chunks_that_fool_power_sums(spark, size):
+    one, two = swapped(size)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert all(not r.contaminated for r in decontaminate.contamination(docs.where("doc_id = 2"), docs.where("doc_id = 1").select(F.col("doc_id").alias("item_id"), "text")).collect())
+    assert [r.component_id for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 2]
+    lines = spark.createDataFrame([(1, f"{one}\n{two}\n", "en")], "doc_id long, text string, lang string")
+    assert quality.judge(lines, queries.fertility()).head().n_dup_lines == 0
+    data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+    for seed in (0, 3, 4, 21, 22):
+        a, b = batches.span_hashes(data, np.array([0, size]), np.array([size, 2 * size]), seed)
+        assert a != b
+
+
+def test_span_hashes_of_every_length():
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4700, 3000)
+    ends = starts + rng.integers(0, 140, 3000)
+    found = batches.span_hashes(data, starts, ends, 5)
+    spans = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    by_hash = {}
+    for h, span in zip(found.tolist(), spans, strict=True):
+        assert by_hash.setdefault(h, span) == span
+    assert len(by_hash) == len(set(spans))
+    moved = batches.span_hashes(np.concatenate([data[:7], data]), starts + 7, ends + 7, 5)
+    assert (moved == found).all()
