@@ -1,24 +1,26 @@
 """Ordered state: rating histories and patience scans.
 
-The state at a row depends on all rows before it, so one pool (or run) is one sequence.
-Its rows are sorted in the shuffle and streamed through the task batch by batch: memory
-is the state plus one batch, however long the sequence. Everything that does not depend
-on the state is computed in the JVM before, and patience scans walk only the records.
+A rating depends on all matches before it, so one pool is one sequence. Its rows are sorted
+in the shuffle and streamed through the task batch by batch: memory is the state plus one
+batch, however long the sequence; period by period the state is a stored table. Patience
+scans only have to find which record improves on which, and follow that way range by range.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.scalar import HOME_ADVANTAGE, START_RATING, goal_multiplier, k_factor, match_result
 from millrace.operators.lookup import both_sides
-from millrace.operators.ordered import fill_within_key, scan
+from millrace.operators.ordered import BUCKET, fill_within_key, range_buckets, scan
 from millrace.session import stage
 
 
@@ -81,6 +83,38 @@ def rating_history(
     return scored.mapInArrow(play, schema)
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to the end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def rating_periods(matches: DataFrame, pool: str, order: Sequence[str], period: str, folder: str, **names: str) -> DataFrame:
+    """The history of ``rating_history``, folded one period after another, with the ratings stored after each.
+
+    ``period`` is a column whose values follow the order (a season, a year); there are few of them, NULL comes first.
+    Below ``folder`` a period has its history and the state (pool, team, elo) of all teams so far, with which the next
+    one starts. A period whose state is there is not folded again, so a run that was broken off goes on where it
+    stopped, and a new period costs its own matches only. To repeat a period, remove its folder and those after it.
+    """
+    spark, state, parts = matches.sparkSession, None, []
+    values = [row[0] for row in matches.select(period).distinct().orderBy(F.asc_nulls_first(period)).collect()]
+    for number, value in enumerate(values):
+        at = f"{folder}/{number:05d}"
+        if not _written(spark, f"{at}/state"):
+            part = matches.filter(F.col(period).eqNullSafe(F.lit(value)))
+            rating_history(part, pool, order, start=state, **names).write.mode("overwrite").parquet(f"{at}/history")
+            sides = {k: names[k] for k in ("home", "away") if k in names}
+            new = spark.read.parquet(f"{at}/history").transform(team_rows, pool, order, **sides).groupBy(pool, "team").agg(F.max_by("elo", F.struct(*order)).alias("elo"))
+            if state is not None:
+                kept = state.join(new, state[pool].eqNullSafe(new[pool]) & state["team"].eqNullSafe(new["team"]), "left_anti")
+                new = new.unionByName(kept)
+            new.write.mode("overwrite").parquet(f"{at}/state")
+        state = spark.read.parquet(f"{at}/state")
+        parts.append(f"{at}/history")
+    return spark.read.parquet(*parts) if parts else rating_history(matches, pool, order, **names)
+
+
 def team_rows(history: DataFrame, pool: str, order: Sequence[str], home: str = "home", away: str = "away") -> DataFrame:
     sides = F.array(
         *[F.struct(F.col(t).alias("team"), F.col(f"{r}_elo").alias("elo")) for r, t in (("home", home), ("away", away))]
@@ -104,20 +138,125 @@ def teams_in_two_pools(matches: DataFrame, pool: str, home: str, away: str) -> D
     return pairs.groupBy("team").agg(F.count(F.lit(1)).alias("pools")).filter("pools > 1")
 
 
-def _improvements(log: DataFrame, run: str, order: Sequence[str], loss: Column, ties: bool, sizes: dict) -> tuple[DataFrame, DataFrame]:
-    """Ranked steps, and the records a scan has to walk: running minima and one end mark a run.
+def _ranked(log: DataFrame, run: str, order: Sequence[str], loss: Column, sizes: dict) -> DataFrame:
+    """Numbered steps with the least loss before each; a NaN loss is missing. Stored."""
+    steps = log.withColumn("__loss", F.when(~F.isnan(loss), loss))
+    return stage(scan(steps, order, [run], rank="__step", lows={"__low": "__loss"}, **sizes), "steps")
+
+
+def _same(left: DataFrame, right: DataFrame, *names: str) -> Column:
+    return reduce(and_, [left[n].eqNullSafe(right[n]) for n in names])
+
 
-    A step that improves on the best by a non-negative ``delta`` lies below every loss
-    before it, so the other steps can only be counted, and their count is a difference of
-    ranks. One long run is thus ranked on many tasks and only its records are walked.
+def _records(ranked: DataFrame, run: str, delta: float, ties: bool, sizes: dict) -> DataFrame:
+    """Numbered records of each run, and the number of the first later one that improves on each.
+
+    A step that improves on the best by a non-negative ``delta`` lies below every loss before it, so only running
+    minima can matter. Their losses only fall, so the record that improves on one is found by counting how many do
+    not: records and the losses to beat stand in one order, and a scan counts the records up to each.
     """
-    steps = log.withColumn("__loss", F.when(~F.isnan(loss), loss))
-    ranked = stage(scan(steps, order, [run], rank="__step", lows={"__low": "__loss"}, **sizes), "steps")
     lower = F.col("__loss") <= F.col("__low") if ties else F.col("__loss") < F.col("__low")
-    records = ranked.filter(F.col("__loss").isNotNull() & (F.col("__low").isNull() | lower)).select(run, "__step", "__loss")
-    ends = ranked.groupBy(run).agg((F.count(F.lit(1)) + 1).alias("__step"))
-    marked = records.unionByName(ends.withColumn("__loss", F.lit(None).cast("double")))
-    return ranked, _in_order(marked, [run], ["__step"])
+    known = F.col("__loss").isNotNull() if ties else F.col("__loss") < float("inf")
+    records = ranked.filter(known & (F.col("__low").isNull() | lower)).select(run, "__step", "__loss")
+
+    def event(value: Column, kind: int, count: int) -> Column:
+        return F.struct((-value).alias("__down"), F.lit(kind).alias("__kind"), F.lit(count).alias("__own"))
+
+    both = F.array(event(F.col("__loss"), int(ties), 1), event(F.col("__loss") - delta, int(not ties), 0))
+    events = records.select(run, "__step", "__loss", F.explode(both).alias("e")).select(run, "__step", "__loss", "e.*")
+    counted = scan(events, ["__down", "__kind", "__step"], [run], rank=None, sums={"__upto": "__own"}, **sizes)
+    number = F.max(F.when(F.col("__own") == 1, F.col("__upto")))
+    beaten = F.max(F.when(F.col("__own") == 0, F.col("__upto"))) + 1
+    nodes = counted.groupBy(run, "__step").agg(F.first("__loss").alias("__loss"), number.alias("__i"), beaten.alias("__next"))
+    return nodes.withColumn("__next", F.greatest("__next", F.col("__i") + 1))
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one bucket after another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        where = batch.column(BUCKET).to_numpy()
+        cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and held[-1].column(BUCKET)[0] != batch.column(BUCKET)[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _segments(table: pa.Table) -> list[tuple[int, int]]:
+    """Where the runs of a bucket begin and end: a run's records are numbered from 1 on, only the first in a bucket
+    may go on from an earlier one."""
+    i = table.column("__i").to_numpy()
+    heads = [0, *(np.flatnonzero(i[1:] == 1) + 1).tolist()]
+    return list(zip(heads, [*heads[1:], len(i)]))
+
+
+def _inside(i: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """For each record of a segment the last one of it on the way from there, by doubling."""
+    place = np.where(following <= i[-1], following - i[0], np.arange(len(i)))
+    while True:
+        further = place[place]
+        if (further == place).all():
+            return place
+        place = further
+
+
+def _chain(nodes: DataFrame, run: str, sizes: dict) -> DataFrame:
+    """The records on the way from each run's first one along ``__next``, with the steps of the ones before and after.
+
+    Records lie in ranges. A task finds where the way leaves its range from each record of it; these jumps are doubled
+    until the records at which the way enters a range are known, in as many rounds as the number of ranges a run
+    spans has binary digits; then each range marks its own part. So a run of any length is followed by many tasks.
+    """
+    held = range_buckets(nodes, [run], ["__i"], **sizes)
+    kind = nodes.schema[run]
+    longs = [T.StructField(c, T.LongType()) for c in ("__i", "__exit")]
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buckets(batches):
+            a, b = _segments(table)[-1]  # another run follows in the bucket on all others, so they end there
+            i, following = (table.column(c).to_numpy()[a:b] for c in ("__i", "__next"))
+            whole = table.slice(a, b - a).select([run, "__i"]).append_column("__exit", pa.array(following[_inside(i, following)]))
+            yield from whole.to_batches()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buckets(batches):
+            chosen = np.zeros(table.num_rows, dtype=bool)
+            i, following = (table.column(c).to_numpy() for c in ("__i", "__next"))
+            entered = table.column("__entry").to_numpy()
+            for a, b in _segments(table):
+                for at in np.flatnonzero(entered[a:b]).tolist():
+                    while at < b - a and not chosen[a + at]:
+                        chosen[a + at] = True
+                        at = int(following[a + at] - i[a])
+            yield from table.filter(pa.array(chosen)).select(names).to_batches()
+
+    def in_buckets(df: DataFrame) -> DataFrame:
+        return df.repartition(BUCKET).sortWithinPartitions(BUCKET, run, "__i")
+
+    exits = in_buckets(held.select(BUCKET, run, "__i", "__next")).mapInArrow(leave, T.StructType([kind, *longs]))
+    there = held.select(F.col(run).alias("__run"), F.col("__i").alias("__there"))
+    jumps = stage(exits.join(there, exits[run].eqNullSafe(there["__run"]) & (F.col("__exit") == F.col("__there")), "left_semi"), "exits")
+    entries = reached = stage(held.filter("__i = 1").select(run, "__i"), "entries")
+    while not jumps.isEmpty():
+        new = stage(reached.join(jumps, _same(reached, jumps, run, "__i")).select(reached[run], jumps["__exit"].alias("__i")), "entries")
+        if new.isEmpty():
+            break
+        entries = reached = reached.unionByName(new)
+        on = jumps.select(F.col(run).alias("__run"), F.col("__i").alias("__from"), F.col("__exit").alias("__to"))
+        jumps = stage(jumps.join(on, jumps[run].eqNullSafe(on["__run"]) & (F.col("__exit") == F.col("__from"))).select(run, "__i", F.col("__to").alias("__exit")), "exits")
+    names = [run, "__step", "__loss", "__i", "__next"]
+    flagged = held.join(entries.withColumn("__entry", F.lit(True)), _same(held, entries, run, "__i"), "left")
+    flagged = flagged.select(BUCKET, *[held[c] for c in names], F.coalesce("__entry", F.lit(False)).alias("__entry"))
+    way = stage(in_buckets(flagged).mapInArrow(mark, held.select(*names).schema), "way")
+    later = way.select(F.col(run).alias("__run"), F.col("__i").alias("__at"), F.col("__step").alias("__after"))
+    out = way.join(later, way[run].eqNullSafe(later["__run"]) & (F.col("__next") == F.col("__at")), "left").drop("__run", "__at")
+    earlier = way.select(F.col(run).alias("__run"), F.col("__next").alias("__at"), F.col("__step").alias("__before"))
+    return out.join(earlier, out[run].eqNullSafe(earlier["__run"]) & (F.col("__i") == F.col("__at")), "left").drop("__run", "__at")
 
 
 def patience_scan(log: DataFrame, run: str, order: Sequence[str], loss: str, patience: int, delta: float, **sizes) -> DataFrame:
@@ -126,29 +265,19 @@ def patience_scan(log: DataFrame, run: str, order: Sequence[str], loss: str, pat
     A step improves if ``loss < best - delta``. (run, best_loss, best_step, stop_step, steps);
     ``stop_step`` is NULL if the run ends first; steps after the stop are not looked at.
     """
-    _, records = _improvements(log.select(run, *order, loss), run, order, F.col(loss).cast("double"), False, sizes)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, last, stop = math.inf, 0, None
-        for b in batches:
-            out = []
-            for key, step, value in zip(*(b.column(c).to_pylist() for c in (run, "__step", "__loss"))):
-                if stop is None and step - 1 - last >= patience:
-                    stop = last + patience
-                if value is None:  # end of the run
-                    out.append((key, best if last else None, last or None, stop, stop or step - 1))
-                    best, last, stop = math.inf, 0, None
-                elif stop is None and value < best - delta:
-                    best, last = value, step
-            kinds = [b.schema.field(run).type, pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            columns = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-
-    names = [run, "best_loss", "best_step", "stop_step", "steps"]
-    schema = T.StructType(
-        [records.schema[run], T.StructField("best_loss", T.DoubleType())] + [T.StructField(c, T.LongType()) for c in names[2:]]
+    ranked = _ranked(log.select(run, *order, loss), run, order, F.col(loss).cast("double"), sizes)
+    way = _chain(_records(ranked, run, delta, False, sizes), run, sizes)
+    ends = ranked.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
+    joined = ends.join(way.drop("__n").withColumnRenamed(run, "__run"), ends[run].eqNullSafe(F.col("__run")), "left")
+    here = F.struct(F.col("__step").alias("step"), F.col("__loss").alias("loss"))
+    waited = F.coalesce("__after", F.col("__n") + 1) - 1 - F.col("__step")
+    found = joined.groupBy(run, "__n").agg(
+        F.min("__step").alias("__first"), F.min(F.when(waited >= patience, here)).alias("__halt"), F.max(F.when(F.col("__step").isNotNull(), here)).alias("__last")
     )
-    return records.mapInArrow(walk, schema)
+    never = F.coalesce("__first", F.col("__n") + 1) - 1 >= patience
+    best = F.when(~never, F.coalesce("__halt", "__last"))
+    stop = F.when(never, F.lit(patience).cast("bigint")).otherwise(F.col("__halt.step") + patience)
+    return found.select(run, best["loss"].alias("best_loss"), best["step"].alias("best_step"), stop.alias("stop_step"), F.coalesce(stop, "__n").alias("steps"))
 
 
 def plateau_rate(
@@ -162,25 +291,12 @@ def plateau_rate(
     improvement before it, which is carried forward to it.
     """
     watched = F.col(loss).cast("double") * F.lit(1.0 if mode == "min" else -1.0)
-    ranked, records = _improvements(log, run, order, watched, True, sizes)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, last, cuts = math.inf, 0, 0
-        for b in batches:
-            steps, cut = [None] * b.num_rows, [None] * b.num_rows
-            for i, (step, value) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__step", "__loss")))):
-                if value is None:
-                    best, last, cuts = math.inf, 0, 0
-                elif not value > best - delta:
-                    best, cuts, last = value, cuts + (step - 1 - last) // patience, step
-                    steps[i], cut[i] = step, cuts
-            shown = [b.column(run), pa.array(steps, pa.int64()), pa.array(steps, pa.int64()), pa.array(cut, pa.int64())]
-            yield pa.RecordBatch.from_arrays(shown, names=[run, "__step", "__at", "__cuts"])
-
-    kinds = [T.StructField(c, T.LongType()) for c in ("__step", "__at", "__cuts")]
-    better = records.mapInArrow(walk, T.StructType([records.schema[run], *kinds])).filter("__at is not null")
+    ranked = _ranked(log, run, order, watched, sizes)
+    way = _chain(_records(ranked, run, delta, True, sizes), run, sizes)
+    cut = F.floor((F.col("__step") - 1 - F.coalesce("__before", F.lit(0))) / patience)
+    better = scan(way.select(run, "__step", cut.alias("__cut")), ["__step"], [run], rank=None, sums={"__cuts": "__cut"}, **sizes)
     rows = ranked.drop("__loss", "__low").withColumn("__row", F.lit(1))
-    marks = better.withColumn("__row", F.lit(0))  # sorts just before the step it belongs to
+    marks = better.select(run, "__step", F.col("__step").alias("__at"), "__cuts").withColumn("__row", F.lit(0))  # sorts just before its step
     marked = stage(rows.unionByName(marks, allowMissingColumns=True), "improvements")
     filled = fill_within_key(marked, run, ["__step", "__row"], ["__at", "__cuts"], **sizes).filter("__row = 1")
     since = F.when(F.col("__at") <= F.col("__step"), F.col("__at"))  # a later one is not this step's

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar
 from millrace.operators import fold, lookup, report
+from millrace.operators.ordered import BUCKET, range_buckets
 
 NAMES = ["FIFA World Cup", "olympic games", "Copa América", "CONCACAF Nations League", "Gold Cup qualification", "friendly", "King's Cup"]
 KS = dict(zip(NAMES, [60, 60, 40, 30, 30, 15, 25]))
@@ -174,3 +175,50 @@ def test_plateau(spark, runs, p, delta, size):
         want = plateau(xs, 0.1, p, 0.5, delta, 1e-4)
         assert [b for _, b in mine] == [b for _, b in want]
         assert [a for a, _ in mine] == pytest.approx([a for a, _ in want])
+
+
+@pytest.mark.parametrize("delta", [0.0, 0.015, 0.7])
+def test_one_long_run_over_many_ranges(spark, delta):
+    """A loss that always falls, with bumps, spread over some forty ranges of records."""
+    rng = random.Random(3)
+    losses = [1000 - i * 0.01 + rng.choice((0, 0, 0.05)) for i in range(20_000)]
+    rows = [(None, i, x) for i, x in enumerate(losses)] + [("b", i, x) for i, x in enumerate(losses[:700])] + [("c", 0, math.inf), ("c", 1, math.nan)]
+    df = spark.createDataFrame(rows, "run string, t bigint, loss double").repartition(6)
+    for p in (3, 200):
+        got = {r.run: tuple(r)[1:] for r in fold.patience_scan(df, "run", ["t"], "loss", p, delta, rows_per_bucket=500).collect()}
+        assert got == {None: patience(losses, p, delta), "b": patience(losses[:700], p, delta), "c": patience([math.inf, None], p, delta)}
+    got = fold.plateau_rate(df, "run", ["t"], "loss", 0.1, 3, 0.99, delta, 1e-4, rows_per_bucket=500).collect()
+    mine = [(r.rate, r.bad_steps) for r in sorted((r for r in got if r.run is None), key=lambda r: r.t)]
+    want = plateau(losses, 0.1, 3, 0.99, delta, 1e-4)
+    assert [b for _, b in mine] == [b for _, b in want]
+    assert [a for a, _ in mine] == pytest.approx([a for a, _ in want])
+
+
+def test_a_long_run_is_followed_by_many_tasks(spark):
+    """The way through a run without a pause is marked range by range, no range holds more than its share."""
+    log = spark.range(0, 60_000, 1, 8).select(F.lit(1).alias("run"), F.col("id").alias("t"), (-F.col("id")).cast("double").alias("loss"))
+    sizes = {"rows_per_bucket": 2000}
+    nodes = fold._records(fold._ranked(log, "run", ["t"], F.col("loss"), sizes), "run", 1.5, False, sizes)
+    way = fold._chain(nodes, "run", sizes)
+    assert [r[0] for r in way.orderBy("__step").select("__step").collect()] == list(range(1, 60_001, 2))
+    shares = range_buckets(nodes, ["run"], ["__i"], **sizes).groupBy(BUCKET).count().collect()
+    assert len(shares) >= 25 and max(r["count"] for r in shares) < 6000
+
+
+def test_ratings_by_period(spark, tmp_path):
+    rows = sorted(made(300), key=lambda m: (m["day"], m["id"]))
+    df = spark.createDataFrame([m | {"season": None if k < 40 else k // 100} for k, m in enumerate(rows)])
+    names = {"home_score": "hs", "away_score": "as_", "tournament": "name"}
+
+    def folded(matches, folder):
+        return fold.rating_periods(matches, "pool", ["day", "id"], "season", str(tmp_path / folder), **names)
+
+    _, once = loop(rows)
+    assert folded(df.filter("season is null or season < 2"), "r").count() == 200
+    states = tmp_path / "r" / "00000" / "state"
+    before = {p.name: p.stat().st_mtime_ns for p in states.iterdir()}
+    (tmp_path / "r" / "00001" / "state" / "_SUCCESS").unlink()  # broken off in the second period
+    got = {r.id: (r.home_elo, r.away_elo) for r in folded(df, "r").collect()}
+    assert got == {i: pytest.approx(v, abs=1e-9) for i, v in once.items()}
+    assert before == {p.name: p.stat().st_mtime_ns for p in states.iterdir()}  # not folded again
+    assert folded(df.filter("id < 0"), "none").count() == 0
