@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import known
 from millrace.operators.lookup import one_row
+from millrace.operators.ordered import scan
+from millrace.session import stage
 
 
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
@@ -50,6 +52,26 @@ def one_hot_long(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> D
     return df.select(*key, cells.alias("c")).select(*key, "c.*").filter("value is not null")
 
 
+def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, index) of all known values, numbered from 0 by column and value, stored. The numbers come from the
+    ordered scan of the distinct values, so a vocabulary of any size never visits the driver or one task."""
+    values = one_hot_long(df, [], columns).distinct()
+    return stage(scan(values, ["column", "value"], rank="index").withColumn("index", F.col("index") - 1), "dictionary")
+
+
+def encode_open(df: DataFrame, columns: Sequence[str], dictionary: DataFrame, out: str = "indices") -> DataFrame:
+    """Adds the places of a row's ones in its sparse indicator vector, ascending.
+
+    Rows are numbered and stored; cells of all columns meet the dictionary in one join and come back to their row in
+    another, however many columns there are. Values that the dictionary does not hold, and NULL, set no place; every
+    row comes out, a row without places with an empty list, and equal rows each by themselves.
+    """
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "open-rows")
+    found = one_hot_long(rows, ["__row"], columns).join(dictionary, ["column", "value"]).groupBy("__row").agg(F.sort_array(F.collect_list("index")).alias("__places"))
+    places = F.coalesce("__places", F.array().cast("array<bigint>")).alias(out)
+    return rows.join(found, "__row", "left").select(*[c for c in df.columns if c != out], places)
+
+
 def fit_tokens(train: DataFrame, column: str) -> list[str]:
     """Sorted distinct tokens of a list column."""
     return categories(train.select(F.explode(column).alias("token")), ["token"])["token"]

@@ -9,6 +9,7 @@ down to a fixed grid when an approximate curve is enough.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,29 @@ def areas(counts: DataFrame, key: Sequence[str] = (), rows_per_bucket: int = ROW
     )
 
 
+def area_bounds(counts: DataFrame, key: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """``auc_low`` and ``auc_high`` per key, from counts per bin of the score (``score_counts`` with ``bins``).
+
+    Binned counts of parts of a table add up to those of all of it, and their number does not grow with the rows. What
+    a bin hides is the order of its own positives and negatives: at worst all of its negatives rank above its
+    positives, at best below, and the exact area lies between. NULL for a key that lacks one of the two classes.
+    """
+    ranked, _ = _with_totals(counts, key, rows_per_bucket)
+    below = F.col("neg").cast("double")
+    all_pairs = F.max("P").cast("double") * F.max("N")
+    return ranked.groupBy(*key).agg(
+        F.try_divide(F.sum(below * (F.col("tp") - F.col("pos"))), all_pairs).alias("auc_low"),
+        F.try_divide(F.sum(below * F.col("tp")), all_pairs).alias("auc_high"),
+    )
+
+
+def merged_counts(*parts: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Counts of several parts of a table (days, files) added up."""
+    both = reduce(DataFrame.unionByName, parts)
+    added = both.groupBy(*key, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return stage(added.withColumn("__down", -F.col("score")), "merged-counts")
+
+
 def best_threshold(curve: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """The threshold with the largest tpr - fpr, the highest one on ties."""
     return curve.groupBy(*key).agg(

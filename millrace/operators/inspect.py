@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import stage
+
 from millrace.functions.scalar import known
 from millrace.operators.quantiles import exact_quantiles
 
@@ -106,3 +108,20 @@ def min_side(width: str, height: str, size: int) -> Column:
 
 def exact_size(width: str, height: str, w: int, h: int) -> Column:
     return (F.col(width) == w) & (F.col(height) == h)
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bits: int = 14) -> DataFrame:
+    """(by..., column, sketch, n): a mergeable sketch of the distinct values of each column in each group, stored.
+
+    Values count as their text, NULL does not count. The relative standard error of an estimate is about 0.8 % at 14
+    bits, whatever the groups are that a sketch is put together from.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    pairs = df.select(*by, cells.alias("c")).select(*by, "c.*").filter("value is not null")
+    return stage(pairs.groupBy(*by, "column").agg(F.hll_sketch_agg("value", F.lit(bits)).alias("sketch"), F.count(F.lit(1)).alias("n")), "distinct-sketches")
+
+
+def sketched_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, distinct, n, parts) of the sketches added up over all but ``by``; no row of the table is read."""
+    merged = sketches.groupBy(*by, "column").agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    return merged.select(*by, "column", F.hll_sketch_estimate("sketch").alias("distinct"), "n", "parts")

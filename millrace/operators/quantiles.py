@@ -52,3 +52,36 @@ def quantile_table(df: DataFrame, wanted: Mapping[str, Sequence[float]], fast: b
         values = exact_quantiles(df, wanted)
     rows = [(c, float(q), None if v is None else float(v)) for c, qs in wanted.items() for q, v in zip(qs, values[c])]
     return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
+
+
+def quantile_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), k: int = 400) -> DataFrame:
+    """(by..., column, sketch, n): a mergeable sketch of each column's known values in each group, stored.
+
+    A sketch is a binary value of bounded size, so one per day can be kept and added to. With ``k`` = 400 the rank
+    of an estimate is off by less than 0.01 of the rows nearly always, whatever the values are.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), known(F.col(c).cast("double")).alias("value")) for c in columns]))
+    pairs = df.select(*by, cells.alias("c")).select(*by, "c.*").filter("value is not null")
+    return stage(pairs.groupBy(*by, "column").agg(F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n")), "quantile-sketches")
+
+
+def sketched_quantiles(sketches: DataFrame, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, q, value, n, parts) of the sketches added up over all but ``by``; no row of the table is read.
+    Sketches draw at random when they meet: store the result if it is read twice."""
+    merged = sketches.groupBy(*by, "column").agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    asked = F.array(*[F.lit(float(q)) for q in qs])
+    both = F.arrays_zip(asked.alias("q"), F.kll_sketch_get_quantile_double("sketch", asked).alias("value"))
+    return merged.select(*by, "column", "n", "parts", F.explode(both).alias("v")).select(*by, "column", F.col("v")["q"].alias("q"), F.col("v")["value"].alias("value"), "n", "parts")
+
+
+def rank_errors(df: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(column, q, value, error): how far each estimated quantile's true rank lies from ``q``, as a share of the known
+    values; 0 if rows equal to the estimate reach over it. ``estimates`` has a row for each column and q asked for."""
+    names = [r[0] for r in estimates.select("column").distinct().collect()]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), known(F.col(c).cast("double")).alias("own")) for c in names]))
+    pairs = df.select(cells.alias("c")).select("c.*").filter("own is not null").groupBy("column", "own").agg(F.count(F.lit(1)).alias("k"))
+    held = pairs.join(estimates.select("column", "q", "value"), "column").groupBy("column", "q", "value").agg(
+        F.sum("k").alias("n"), F.sum(F.when(F.col("own") < F.col("value"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("own") <= F.col("value"), F.col("k")).otherwise(0)).alias("upto")
+    )
+    error = F.greatest(F.col("below") / F.col("n") - F.col("q"), F.col("q") - F.col("upto") / F.col("n"), F.lit(0.0))
+    return held.select("column", "q", "value", error.alias("error"))

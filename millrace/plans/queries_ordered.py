@@ -8,7 +8,7 @@ from millrace.functions import scalar, vectors
 from millrace.operators import fold, learn, lookup, ordered, report
 from millrace.plans.queries_prep import big, r
 from millrace.plans.registry import query
-from millrace.session import stage
+from millrace.session import fresh_path, stage
 
 # --- sorted windows and targets ------------------------------------------------------
 
@@ -94,6 +94,21 @@ def f4(t):
     )
 
 
+@query(
+    "f4_rating_periods",
+    ELO_SQL + """ select match_id, pool, home, away, home_score, away_score, cast(k as bigint) as k_factor, g as g_factor,
+    round(home_elo, 6) as home_elo, round(away_elo, 6) as away_elo from hist""",
+)
+def f4_periods(t):
+    """The same ratings folded in two periods; the second starts with the stored state of the first."""
+    matches = t.v_matches.withColumn("period", F.when(F.year("dt") < 1995, 1).otherwise(2))
+    h = fold.rating_periods(matches, "pool", ["dt", "match_id"], "period", fresh_path(t.spark, "ratings"))
+    return h.select(
+        "match_id", "pool", "home", "away", "home_score", "away_score", big("k_factor").alias("k_factor"), "g_factor",
+        r("home_elo").alias("home_elo"), r("away_elo").alias("away_elo"),
+    )
+
+
 @query(
     "f5_team_timeline",
     ELO_SQL + """, pick as (select pool, team from last qualify row_number() over (partition by pool order by elo desc, team) <= 2)

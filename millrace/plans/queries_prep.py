@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import last_token
 from millrace.functions.vectors import argmax, one_hot_label
-from millrace.operators import clean, encode, evaluate, inspect, learn, sample
+from millrace.operators import clean, encode, evaluate, inspect, learn, quantiles, sample
 from millrace.operators.lookup import last_wins, replace_values
 from millrace.operators.ordered import scan
 from millrace.plans.registry import query
-from millrace.session import fresh_path
+from millrace.session import fresh_path, stage
 from millrace.sources import folders, tables
 
 
@@ -49,6 +49,40 @@ def a2(t):
     return folders.with_labels(files).select("file_id", "class_name", big("label").alias("label"))
 
 
+@query(
+    "a2_scan_image_folder",
+    """with i as (select row_id, label, cast(row_id % 2 as bigint) as grey, list_transform(px, lambda x: cast(x as bigint)) as px from v_image),
+    f as (select concat('part', cast(row_id % 3 as bigint), '/class_', label, '/image_', row_id, '.png') as file, concat('class_', label) as class_name, row_id % 50 = 7 as broken,
+      case when grey = 1 then 8 else 4 end as height, case when grey = 1 then 8 else 5 end as width, case when grey = 1 then 1 else 3 end as channels,
+      case when grey = 1 then list_sum(px) else list_sum(px[1:60]) end as pixel_sum, case when grey = 1 then px[1] else px[3] end as first_red from i)
+    select file, class_name, dense_rank() over (order by class_name) - 1 as label, broken, case when not broken then cast(height as bigint) end as height,
+      case when not broken then cast(width as bigint) end as width, case when not broken then cast(channels as bigint) end as channels,
+      case when not broken then cast(pixel_sum as bigint) end as pixel_sum, case when not broken then first_red end as first_red from f""",
+)
+def a2_scan(t):
+    """Grey and colour images and broken files are written to nested folders, then listed, decoded and labelled."""
+    grey = F.col("row_id") % 2 == 1
+    px = F.transform("px", lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0"))
+    image = t.v_image.select(
+        F.format_string("part%d/class_%d/image_%d.png", F.col("row_id") % 3, "label", "row_id").alias("file"),
+        (F.col("row_id") % 50 == 7).alias("broken"),
+        *[F.when(grey, a).otherwise(b).alias(c) for c, a, b in (("height", 8, 4), ("width", 8, 5), ("channels", 1, 3))],
+        F.unhex(F.array_join(F.when(grey, px).otherwise(F.slice(px, 1, 60)), "")).alias("data"),
+    )
+    files = folders.encode_png(image).withColumn("content", F.when(~F.col("broken"), F.col("content")).otherwise(F.encode(F.lit("no image"), "utf-8")))
+    root = fresh_path(t.spark, "images")
+    folders.write_files(files, root)
+    found = folders.scan_with_broken(t.spark, root)
+    byte = F.transform(F.split(F.rtrim(F.regexp_replace(F.hex("data"), "(..)", "$1 ")), " "), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    shown = found.withColumn("bytes", byte)
+    return shown.select(
+        F.regexp_extract("path", "(part[^/]+/[^/]+/[^/]+)$", 1).alias("file"), "class_name", big("label").alias("label"), "broken",
+        *[big(c).alias(c) for c in ("height", "width", "channels")],
+        F.aggregate("bytes", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("pixel_sum"),
+        F.when(F.col("channels") == 1, F.get("bytes", F.lit(0))).otherwise(F.get("bytes", F.lit(2))).alias("first_red"),
+    )
+
+
 @query(
     "a3_route_by_filename",
     """select file_id, path, regexp_extract(regexp_extract(path, '([^/]+)$', 1), '^(.*)_[^_]*$', 1) as class_name
@@ -374,6 +408,48 @@ def d1(t):
     return encode.one_hot(rows, encode.categories(rows, ["o_orderpriority"]))
 
 
+@query(
+    "d1_open_dictionary",
+    """with c as (select l_orderkey, l_linenumber, unnest(['l_orderkey', 'l_partkey', 'l_returnflag']) as col, unnest([cast(l_orderkey as varchar), cast(l_partkey as varchar), l_returnflag]) as value from lineitem),
+    d as (select col, value, row_number() over (order by col, value) - 1 as i from (select distinct col, value from c where value is not null))
+    select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, i as place from c join d using (col, value)""",
+)
+def d1_open(t):
+    """Places of the ones in sparse vectors over three columns with very many values."""
+    columns = ["l_orderkey", "l_partkey", "l_returnflag"]
+    rows = t.lineitem.select("l_linenumber", *columns)
+    places = encode.encode_open(rows, columns, encode.fit_dictionary(rows, columns))
+    return places.select("l_orderkey", big("l_linenumber").alias("l_linenumber"), F.explode("indices").alias("place"))
+
+
+@query(
+    "b7_sketched_distinct",
+    """with c as (select l_shipdate, unnest(['l_orderkey', 'l_partkey', 'l_returnflag']) as col, unnest([cast(l_orderkey as varchar), cast(l_partkey as varchar), l_returnflag]) as value from lineitem)
+    select col as "column", count(distinct value) as exact, count(value) as n, count(distinct l_shipdate) as parts, true as near from c group by col""",
+)
+def b7_sketched(t):
+    """Distinct values from sketches kept per day; ``near`` says whether the estimate is within 5 % of the exact count."""
+    columns = ["l_orderkey", "l_partkey", "l_returnflag"]
+    found = inspect.sketched_distinct(inspect.distinct_sketches(t.lineitem, columns, ["l_shipdate"]))
+    exact = encode.one_hot_long(t.lineitem, [], columns).groupBy("column").agg(F.countDistinct("value").alias("exact"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    return found.join(exact, "column").select("column", "exact", "n", "parts", near.alias("near"))
+
+
+@query(
+    "g9_sketched_quantiles",
+    """with c as (select l_shipdate, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) as col, unnest([l_quantity, l_extendedprice, l_discount]) as value from lineitem),
+    n as (select col, count(value) as n, count(distinct l_shipdate) as parts from c group by col)
+    select col as "column", q, n, parts, true as near from n, (select unnest([0.01::double, 0.25::double, 0.5::double, 0.75::double, 0.99::double]) as q)""",
+)
+def g9_sketched(t):
+    """Quantiles from sketches kept per day; ``near`` says whether the true rank of each is within 0.02 of the one asked for."""
+    kept = quantiles.quantile_sketches(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], ["l_shipdate"])
+    found = stage(quantiles.sketched_quantiles(kept, [0.01, 0.25, 0.5, 0.75, 0.99]), "estimates")
+    errors = quantiles.rank_errors(t.lineitem, found)
+    return found.join(errors.select("column", "q", "error"), ["column", "q"]).select("column", "q", "n", "parts", (F.col("error") <= 0.02).alias("near"))
+
+
 @query(
     "d2_split_list",
     """with s as (select id, string_split(loans, ', ') as l from v_dirty)
