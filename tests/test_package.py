@@ -32,3 +32,10 @@ def test_imports_without_the_optional_subpackage(tmp_path):
     shown = "import __spark_entry__ as e; print(len(e.queries()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
     done = subprocess.run([sys.executable, "-c", shown], cwd=tmp_path, env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip().endswith("[]") and int(done.stdout.split()[0]) > 140, done.stderr[-2000:]
+
+
+def test_imports_where_a_library_of_the_optional_subpackage_is_missing(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shown = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    done = subprocess.run([sys.executable, "-c", shown], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("[]") and int(done.stdout.split()[0]) > 140, done.stderr[-2000:]
