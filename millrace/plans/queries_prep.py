@@ -39,6 +39,25 @@ def a1(t):
     )
 
 
+@query(
+    "a1_rejected_lines",
+    """with o as (select o_orderkey as k, cast(o_totalprice as varchar) as p, o_orderkey % 40 as m from orders)
+    select 'good' as kind, k as orderkey, cast(p as double) as price, case when m = 9 then concat('two', chr(10), 'lines, ', '"', 'quoted', '"') else 'plain' end as note, null::varchar as line from o where m not in (3, 5, 7)
+    union all select 'rejected', null, null, null, case m when 3 then concat(k, ',', p) when 5 then concat(k, ',n/a,plain') else concat(k, ',', p, ',plain,more') end from o where m in (3, 5, 7)""",
+)
+def a1_rejected(t):
+    """Orders as lines of text, some with a cell too few or too many, a wrong number, or a cell of two lines; read back as rows and rejected lines."""
+    k, p, m = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.col("o_orderkey") % 40
+    line = (
+        F.when(m == 3, F.concat(k, F.lit(","), p)).when(m == 5, F.concat(k, F.lit(",n/a,plain"))).when(m == 7, F.concat(k, F.lit(","), p, F.lit(",plain,more")))
+        .when(m == 9, F.concat(k, F.lit(","), p, F.lit(',"two\nlines, ""quoted"""'))).otherwise(F.concat(k, F.lit(","), p, F.lit(",plain")))
+    )
+    path = fresh_path(t.spark, "lines")
+    t.orders.select(line.alias("value")).write.text(path)
+    good, rejected = tables.split_csv(t.spark, path, "orderkey bigint, price double, note string", header=False, multi_line=True)
+    return good.withColumn("kind", F.lit("good")).unionByName(rejected.select("line", F.lit("rejected").alias("kind")), allowMissingColumns=True)
+
+
 @query(
     "a2_folder_labels",
     """with f as (select file_id, regexp_extract(path, '([^/]+)/[^/]+$', 1) as class_name from v_files)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.scalar import hash_normal
 from millrace.operators.learn import Layers, layers_of, weights_table
+from millrace.session import stage
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -18,6 +19,23 @@ def scan_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE")
 
 
+def split_csv(spark: SparkSession, path: str, schema: str, header: bool = True, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows that fit the schema, and (file, block, line) of those that do not: too few or too many cells, or a cell
+    that its type cannot hold.
+
+    The files are parsed once and stored; both tables read that copy. ``block`` is the byte at which the part of the
+    file begins that a task read, so a line is found there without reading the file from its start. ``multi_line``
+    allows line breaks in quoted cells; a file is then one part. A quote in a cell is doubled. Empty cells are NULL.
+    """
+    options = {"header": header, "multiLine": multi_line, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__rejected", "escape": '"'}
+    rows = spark.read.schema(f"{schema}, __rejected string").options(**options).csv(path)
+    places = {"__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")}
+    held = stage(rows.withColumns(places), "csv-rows")
+    line = F.rtrim(F.col("__rejected"), F.lit("\r\n"))
+    rejected = held.filter("__rejected is not null").select(F.col("__file").alias("file"), F.col("__block").alias("block"), line.alias("line"))
+    return held.filter("__rejected is null").drop("__rejected", *places), rejected
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import encode, evaluate, inspect, quantiles
 from millrace.session import stage
-from millrace.sources import folders
+from millrace.sources import folders, tables
 
 
 def test_open_dictionary_and_places(spark):
@@ -101,3 +101,12 @@ def test_written_images_come_back(spark, tmp_path):
         assert (r.class_name, r.label) == (("cat", 0) if "cat" in name else ("dog", 1))
     assert got["dog/short.png"].data is None and got["dog/short.png"].height is None
     assert folders.scan_labeled_folder(spark, root).count() == 4
+
+
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_rejected_lines(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text('k,x,t\n1,2.5,one\n2,bad,two\n3,1\n4,1,a,b\n\n5,,"say ""hi"""\n')
+    (tmp_path / "b.csv").write_text("k,x,t\nx,1,late\n6,1e3,\n")
+    good, rejected = tables.split_csv(spark, str(tmp_path), "k int, x double, t string", multi_line=multi_line)
+    assert sorted(map(tuple, good.collect())) == [(1, 2.5, "one"), (5, None, 'say "hi"'), (6, 1000.0, None)]
+    assert sorted((r.file.rpartition("/")[2], r.block, r.line) for r in rejected.collect()) == [("a.csv", 0, "2,bad,two"), ("a.csv", 0, "3,1"), ("a.csv", 0, "4,1,a,b"), ("b.csv", 0, "x,1,late")]
