@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import stage
+
 
 def lookup(df: DataFrame, dim: DataFrame, on: Sequence[str], values: Sequence[str], order: str | None = None) -> DataFrame:
     """Left lookup: unknown keys keep their row and get NULL.
@@ -43,6 +45,25 @@ def replace_values(df: DataFrame, dim: DataFrame, key: str, value: str, columns:
     return out.withColumns(new).select(*df.columns)
 
 
+def replace_cells(df: DataFrame, dim: DataFrame, key: str, value: str, columns: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
+    """As ``replace_values``, with one join for all columns, for tables with many of them and a dictionary too large to
+    be sent to every task.
+
+    Rows are numbered and stored. Their cells meet the dictionary as (row, column, value), only those found go back to
+    their row, so what is moved does not grow with the number of columns that have nothing to replace.
+    """
+    columns = columns or [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    if not columns:
+        return df
+    dim = one_each(dim, [key], [value], order).select(F.col(key).alias("__old"), F.col(value).alias("__new"))
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "cell-rows")
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("v")) for i, c in enumerate(columns)]))
+    cells = rows.select("__row", cells.alias("c")).filter("c.v is not null")
+    hits = cells.join(dim, F.col("c.v") == F.col("__old")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("c.at", "__new"))).alias("__cells"))
+    out = rows.join(hits, "__row", "left")
+    return out.withColumns({c: F.coalesce(F.try_element_at("__cells", F.lit(i)), F.col(c)) for i, c in enumerate(columns)}).select(*df.columns)
+
+
 def members(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_semi")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalar import last_token
 from millrace.functions.vectors import argmax, one_hot_label
 from millrace.operators import clean, encode, evaluate, inspect, learn, quantiles, sample
-from millrace.operators.lookup import last_wins, replace_values
+from millrace.operators.lookup import last_wins, replace_cells, replace_values
 from millrace.operators.ordered import scan
 from millrace.plans.registry import query
 from millrace.session import fresh_path, stage
@@ -348,6 +348,19 @@ def c4(t):
     return replace_values(rows, last_wins(t.v_alias, "former", "ord", "current"), "former", "current")
 
 
+@query(
+    "c4_replace_cells",
+    """with m as (select l_orderkey as k, max(l_partkey) as v from lineitem where l_linenumber = 1 group by l_orderkey)
+    select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, coalesce(a.v, l_partkey) as l_partkey, coalesce(b.v, l_suppkey) as l_suppkey
+    from lineitem l left join m a on l.l_partkey = a.k left join m b on l.l_suppkey = b.k""",
+)
+def c4_cells(t):
+    """Part and supplier keys of every line replaced by a dictionary with an entry for each order."""
+    rows = t.lineitem.select("l_orderkey", big("l_linenumber").alias("l_linenumber"), "l_partkey", "l_suppkey")
+    entries = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("v"))
+    return replace_cells(rows, entries, "k", "v", ["l_partkey", "l_suppkey"])
+
+
 @query(
     "c5_range_to_null",
     """select id, cast(case when age >= 0 and age <= 99 then age end as bigint) as age, case when income <= 5000 then income end as income from v_dirty""",

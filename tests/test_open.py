@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import encode, evaluate, inspect, quantiles
+from millrace.operators.lookup import replace_cells, replace_values
 from millrace.session import stage
 from millrace.sources import folders, tables
 
@@ -110,3 +111,15 @@ def test_rejected_lines(spark, tmp_path, multi_line):
     good, rejected = tables.split_csv(spark, str(tmp_path), "k int, x double, t string", multi_line=multi_line)
     assert sorted(map(tuple, good.collect())) == [(1, 2.5, "one"), (5, None, 'say "hi"'), (6, 1000.0, None)]
     assert sorted((r.file.rpartition("/")[2], r.block, r.line) for r in rejected.collect()) == [("a.csv", 0, "2,bad,two"), ("a.csv", 0, "3,1"), ("a.csv", 0, "4,1,a,b"), ("b.csv", 0, "x,1,late")]
+
+
+def test_cells_are_replaced_in_one_join(spark):
+    rows = [(1, "a", "b", None), (1, "a", "b", None), (2, "c", None, "a"), (3, "x", "y", "z"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, p string, q string, r string").repartition(2)
+    words = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "old", 1), ("c", "new", 2), ("z", None, 1), (None, "n", 1)], "f string, t string, o int")
+    want = sorted(str(tuple(r)) for r in replace_values(df, words, "f", "t", order="o").collect())
+    got = replace_cells(df, words, "f", "t", order="o")
+    assert got.columns == df.columns and sorted(str(tuple(r)) for r in got.collect()) == want
+    assert "('new'" in str(want) or "'new'" in str(want)
+    assert replace_cells(df, words, "f", "t", ["q"]).filter("p = 'b'").count() == 0
+    assert replace_cells(df.filter("k = 9"), words, "f", "t").count() == 0
