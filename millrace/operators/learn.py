@@ -11,12 +11,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.scalar import known
 from millrace.functions.vectors import argmax, softmax
 from millrace.operators.evaluate import regression_metrics
 from millrace.operators.ordered import scan, sliding_windows
@@ -228,31 +229,106 @@ def fit_classifier(df: DataFrame, vector: str, label: str, hidden: Sequence[int]
     return model
 
 
+def window_moments(rows: DataFrame, vector: str, targets: Sequence[str], shift: np.ndarray) -> np.ndarray:
+    """Sums of products of (1, features, targets) less ``shift``, over all rows.
+
+    Each task adds up the products of its own rows; the sums meet per cell in a shuffle, so the driver gets one matrix.
+    """
+    targets = list(targets)
+    shared = rows.sparkSession.sparkContext.broadcast(shift)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            b, x, y = _known_rows(b, vector, targets)
+            if b.num_rows:
+                z = np.hstack([np.ones((b.num_rows, 1)), np.hstack([x, y]) - shared.value])
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["i", "v"])
+
+    sums = rows.select(vector, *targets).mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    flat = np.array([v for _, v in sorted(map(tuple, sums.collect()))])
+    shared.unpersist()
+    return flat.reshape(len(shift) + 1, -1)
+
+
+def least_squares(moments: np.ndarray, targets: int, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights per target on centred features, and the means of features and of targets (of shifted values).
+
+    ``penalty`` counts on features of unit variance, as a share of the rows; features without variance weigh nothing.
+    """
+    means = moments[0, 1:] / moments[0, 0]
+    covariance = moments[1:, 1:] / moments[0, 0] - np.outer(means, means)
+    k = len(means) - targets
+    wide = np.sqrt(np.maximum(np.diag(covariance)[:k], 0))
+    wide = np.where(wide > 1e-9 * np.sqrt(np.maximum(np.diag(moments)[1 : k + 1] / moments[0, 0], 1e-300)), wide, np.inf)
+    scaled = covariance[:k, :k] / np.outer(wide, wide) + penalty * np.eye(k)
+    weights = np.linalg.lstsq(scaled, covariance[:k, k:] / wide[:, None], rcond=1e-13)[0] / wide[:, None]
+    return weights, means[:k], means[k:]
+
+
 def forecast(
     series: DataFrame, order: Sequence[str], features: Sequence[str], targets: Sequence[str], window: int = 60, horizon: int = 1, penalty: float = 1e-6, block: int = 8192, **sizes
 ) -> DataFrame:
     """Fit one linear model per target on the flattened windows of the first 80 %, report RMSE.
 
-    Also reports the error of predicting the training mean, as a yardstick.
+    Also reports the error of predicting the training mean, as a yardstick. All targets are fitted from one pass over the
+    training windows and judged in a second one over all of them. Windows with a missing value are left out; without a
+    whole training window there is no row.
     """
     # rows are numbered once; the split follows from the numbers, before any window is built
     numbered = stage(scan(series, order, rank="__at", **sizes), "forecast-rows")
     whole = max(0, numbered.count() - window - (horizon + 1))
     last_train = window + whole - math.ceil(0.2 * whole)
+    centre = numbered.agg(*[F.coalesce(F.avg(known(F.col(c).cast("double"))), F.lit(0.0)) for c in (*features, *targets)]).first()
+    shift = np.array([*list(centre[: len(features)]) * window, *centre[len(features) :]])
     rows = sliding_windows(numbered, order, features, targets, window, horizon, index="__at", block=block)
-    flat = F.flatten(F.transform("window", lambda r: F.array(*[r[f].cast("double") for f in features])))
+    flat = F.flatten(F.transform("window", lambda r: F.array(*[F.coalesce(r[f].cast("double"), F.lit(math.nan)) for f in features])))
+    names = [f"y_{t}" for t in targets]
+    goals = [F.col("target")[t].cast("double").alias(n) for t, n in zip(targets, names)]
     part = F.when(F.col("__at") <= last_train, "train").otherwise("test")
-    rows = rows.select(array_to_vector(flat).alias("features"), *[F.col("target")[t].cast("double").alias(f"y_{t}") for t in targets], part.alias("split")).persist()
-    train, found = rows.filter("split = 'train'"), []
-    means = train.agg(*[F.avg(f"y_{t}").alias(t) for t in targets]).first()
-    for t in targets:
-        model = LinearRegression(featuresCol="features", labelCol=f"y_{t}", solver="normal", regParam=penalty).fit(train)
-        shown = model.transform(rows).withColumn("mean", F.lit(means[t]))
-        both = model_table(shown, f"y_{t}", {"fitted": "prediction", "mean": "mean"}, "split").select("model", "split", "n", "rmse").collect()
-        rmse = {(r["model"], r["split"]): r["rmse"] for r in both}
-        found += [(t, r["split"], r["n"], r["rmse"], rmse["mean", r["split"]]) for r in both if r["model"] == "fitted"]
+    rows = rows.select(flat.alias("features"), *goals, part.alias("split")).persist()
+    moments = window_moments(rows.filter("split = 'train'"), "features", names, shift)
+    out = "target string, split string, n bigint, rmse double, mean_rmse double"
+    if not moments.size:
+        rows.unpersist()
+        return series.sparkSession.createDataFrame([], out)
+    weights, x_means, y_means = least_squares(moments, len(targets), penalty)
+    y_means = y_means + shift[-len(targets) :]
+    fitted = _linear(rows, "features", names, "split", weights, y_means - (x_means + shift[: -len(targets)]) @ weights)
+    misses = [F.struct(F.lit(t).alias("target"), (F.col(n) - F.col("fitted")[i]).alias("e"), (F.col(n) - F.lit(float(y_means[i]))).alias("m")) for i, (t, n) in enumerate(zip(targets, names))]
+    each = fitted.select("split", F.explode(F.array(*misses)).alias("v")).select("split", "v.*")
+    found = each.groupBy("target", "split").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.sqrt(F.avg(F.col("m") ** 2)).alias("mean_rmse")).collect()
     rows.unpersist()
-    return series.sparkSession.createDataFrame(found, "target string, split string, n bigint, rmse double, mean_rmse double")
+    return series.sparkSession.createDataFrame([tuple(r) for r in found], out)
+
+
+def _linear(rows: DataFrame, vector: str, kept: Sequence[str], split: str, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(split, kept..., fitted) without the vectors, which need not come back from the tasks."""
+    shared, kept = rows.sparkSession.sparkContext.broadcast((weights, bias)), list(kept)
+    schema = T.StructType([*[rows.schema[c] for c in (split, *kept)], T.StructField("fitted", T.ArrayType(T.DoubleType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = shared.value
+        for b in batches:
+            b, x, _ = _known_rows(b, vector, kept)
+            if b.num_rows:
+                ends = pa.array(np.arange(b.num_rows + 1) * bias.size, pa.int32())
+                done = pa.ListArray.from_arrays(ends, pa.array((x @ weights + bias).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(c) for c in (split, *kept)] + [done], names=[split, *kept, "fitted"])
+
+    return rows.select(split, *kept, vector).mapInArrow(work, schema)
+
+
+def _known_rows(batch: pa.RecordBatch, vector: str, numbers: Sequence[str]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """The rows without a missing value or NaN, with their vectors and numbers as matrices."""
+    batch = _whole(batch, vector, *numbers)
+    if not batch.num_rows:
+        return batch, np.empty((0, 0)), np.empty((0, 0))
+    x, y = _matrix(batch, vector), np.column_stack([batch.column(c).to_numpy() for c in numbers])
+    valid = ~(np.isnan(x).any(axis=1) | np.isnan(y).any(axis=1))
+    return (batch, x, y) if valid.all() else (batch.filter(pa.array(valid)), x[valid], y[valid])
 
 
 def model_table(df: DataFrame, y: str, preds: dict[str, str], split: str) -> DataFrame:

@@ -68,6 +68,49 @@ def members(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(keys.select(*on), list(on), "left_semi")
 
 
+def key_filter(keys: DataFrame, on: Sequence[str], blocks: int) -> DataFrame:
+    """One row with a blocked Bloom filter of the keys: an array of ``blocks`` words of 64 bits, built map-side.
+
+    A key sets four bits of the one word its hash names. Tasks join their words by OR before the shuffle, which moves
+    at most one row for each word and task.
+    """
+    held = keys.select(_word(on, blocks).alias("at"), _mask(on).alias("bits")).groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    places = keys.sparkSession.range(blocks).select(F.col("id").alias("at"))
+    words = places.join(held, "at", "left").select(F.struct("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")).alias("w"))
+    return words.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("words"))
+
+
+def _word(on: Sequence[str], blocks: int) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(blocks).cast("bigint"))
+
+
+def _mask(on: Sequence[str]) -> Column:
+    other, out = F.xxhash64(F.lit(1), *on), None
+    for i in range(4):
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(other, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+def members_filtered(df: DataFrame, keys: DataFrame, on: Sequence[str], most_blocks: int = 1 << 20) -> DataFrame:
+    """As ``members``, for key tables too large to be sent to every task: rows whose key is certainly not among them fall
+    out before the shuffle, the rest meets the keys in the exact semi join.
+
+    The filter has about 16 bits a key and one key in some hundred passes wrongly. It never has more than ``most_blocks``
+    words (8 MB, the bound of what each task gets); with more keys than that more rows pass, the result stays the same.
+    A row with a missing key is no member. Key columns must have the same types on both sides, as they are hashed.
+    """
+    types = [[d.schema[c].dataType.simpleString() for c in on] for d in (df, keys)]
+    if types[0] != types[1]:
+        raise ValueError(f"key types differ: {types[0]} and {types[1]}")
+    held = stage(keys.select(*on).dropna(subset=list(on)).distinct(), "filter-keys")
+    blocks = min(most_blocks, 1 << max(10, (held.count() // 4).bit_length()))
+    words = key_filter(held, on, blocks).scalar()
+    mask = _mask(on)
+    hit = F.get(words, _word(on, blocks).cast("int")).bitwiseAND(mask) == mask
+    return df.filter(hit).join(held, list(on), "left_semi")
+
+
 def one_row(stats: DataFrame) -> Column:
     """A one-row table as a scalar subquery; fields by ``[name]``.
 

@@ -167,9 +167,9 @@ def f8(t):
     return rows.select("run_id", big("epoch").alias("epoch"), r("rate", 10).alias("rate"), "bad_steps")
 
 
-def sql_windows(window: int) -> str:
+def sql_windows(window: int, more: str = "") -> str:
     """Rows with a whole window before and a target two rows ahead; the last fifth is the test part."""
-    return f"""with s as (select *, row_number() over (order by t) as i, lag(open) over (order by t) as before, lead(open, 2) over (order by t) as y_open, lead(close, 2) over (order by t) as y_close from v_series),
+    return f"""with s as (select *, {more} row_number() over (order by t) as i, lag(open) over (order by t) as before, lead(open, 2) over (order by t) as y_open, lead(close, 2) over (order by t) as y_close from v_series),
     w as (select *, row_number() over (order by t) as k, count(*) over () as n from s where i > {window} and y_open is not null),
     p as (select *, case when k <= n - ceil(0.2 * n) then 'train' else 'test' end as split from w)"""
 
@@ -199,6 +199,38 @@ def f9_one(t):
     return out.select("target", "split", "n", r("rmse").alias("rmse"))
 
 
+def sql_least_squares(width: int, goals: int) -> str:
+    """Elimination on the moments of the training rows of ``p``, whose ``z`` holds features and then targets; result in ``solved``."""
+    every = width + goals
+    steps = [
+        f"""e0 as materialized (select x.i, y.j, sum((z[x.i] - a[x.i]) * (z[y.j] - a[y.j])) as v from p, mean, range(1, {width + 1}) x(i), range(1, {every + 1}) y(j) where split = 'train' group by x.i, y.j)"""
+    ]
+    for k in range(1, width + 1):
+        steps.append(
+            f"""e{k} as materialized (select c.i, c.j, case when c.i = {k} then c.v / diag.v else c.v - own.v * top.v / diag.v end as v from e{k - 1} c
+      join e{k - 1} top on top.i = {k} and top.j = c.j join e{k - 1} own on own.j = {k} and own.i = c.i join e{k - 1} diag on diag.i = {k} and diag.j = {k})"""
+        )
+    means = ", ".join(f"avg(z[{i}])" for i in range(1, every + 1))
+    return f"mean as materialized (select [{means}] as a from p where split = 'train'), " + ", ".join(steps) + f", solved as (select j - {width} as goal, list(v order by i) as w from e{width} where j > {width} group by j)"
+
+
+LAGS = [f"lag({c}, {n}) over (order by t)" for n in (2, 1) for c in ("open", "high", "low", "volume")]
+
+
+@query(
+    "f9_four_features",
+    sql_windows(2, f"[{', '.join([*LAGS, *(f'lead({c}, 2) over (order by t)' for c in ('open', 'close'))])}] as z,")
+    + ", " + sql_least_squares(8, 2) + """,
+    l as (select split, unnest(['open', 'close']) as target, unnest([1, 2]) as goal, z, unnest([y_open, y_close]) as y from p),
+    f as (select target, split, y - a[8 + l.goal] as m, list_sum(list_transform(range(1, 9), lambda i: (z[i] - a[i]) * w[i])) as fitted from l join solved on solved.goal = l.goal, mean)
+    select target, split, count(*) as n, round(sqrt(avg((m - fitted) * (m - fitted))), 6) as rmse, round(sqrt(avg(m * m)), 6) as mean_rmse from f group by target, split""",
+)
+def f9_four(t):
+    """The errors themselves, of the model with all features on windows of two rows, next to the normal equations."""
+    out = learn.forecast(t.v_series, ["t"], ["open", "high", "low", "volume"], ["open", "close"], window=2, penalty=0.0)
+    return out.select("target", "split", "n", r("rmse").alias("rmse"), r("mean_rmse").alias("mean_rmse"))
+
+
 # --- reports -------------------------------------------------------------------------
 
 
@@ -342,6 +374,15 @@ def j4(t):
     return lookup.members(t.v_matches, busy, ["pool", "home"]).select("match_id")
 
 
+@query(
+    "j4_filtered_membership",
+    """with c as (select o_orderkey from orders where o_totalprice > 300000) select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey in (select o_orderkey from c)""",
+)
+def j4_filtered(t):
+    dear = t.orders.filter("o_totalprice > 300000").select(F.col("o_orderkey").alias("l_orderkey"))
+    return lookup.members_filtered(t.lineitem, dear, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query("j5_stack_columns", "select match_id, pool, home as team from v_matches union all select match_id, pool, away from v_matches")
 def j5(t):
     return t.v_matches.select("match_id", "pool", F.explode(F.array("home", "away")).alias("team"))

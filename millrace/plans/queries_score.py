@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import vectors
-from millrace.operators import encode, evaluate, image, learn, pixels
+from millrace.operators import boost, encode, evaluate, image, learn, pixels, sample
 from millrace.operators.lookup import one_row
 from millrace.plans.queries_ordered import SOFTMAX_SQL
 from millrace.plans.queries_prep import CLASS_MEAN_LOGITS, SQL_PRED, WEIGHTS, big, r, sql_features, sql_uniform
@@ -450,6 +450,49 @@ def m1(t):
     return t.spark.createDataFrame(out, "round bigint, n bigint, not_worse boolean")
 
 
+BOOST_FEATURES = ["l_quantity", "l_discount", "p_size", "p_retailprice"]
+
+
+def sql_boosting(rounds: int, depth: int, bins: int, rate: float, penalty: float) -> str:
+    """Rows, per node sums, best splits and new nodes of every level, spelled out."""
+    k = len(BOOST_FEATURES)
+    out = f"""with d as (select [{", ".join("nullif(l_discount, 0)" if c == "l_discount" else c for c in BOOST_FEATURES)}]::double[] as x, y,
+      case when ('0x' || substr(md5('7:' || l_orderkey), 1, 8))::bigint < 3435973837 then 'train' else 'test' end as split from v_regress),
+    u as (select unnest(range(1, {k + 1})) as j, unnest(x) as v from d where split = 'train'),
+    ed as (select j, list(distinct e order by e) as e from (select j, round(unnest(quantile_cont(v, [{", ".join(repr(i / bins) for i in range(1, bins))}])), 9) as e from u group by j) group by j),
+    es as materialized (select list(e order by j) as e from ed),
+    whole as materialized (select avg(y) as base, var_pop(y) * count(*) as scale from d where split = 'train'),
+    r1_0 as materialized (select list_transform(range(1, {k + 1}), lambda j: case when x[j] is null then -1 else len(list_filter(e[j], lambda a: a < x[j])) end) as bins, y, split, base as margin, 1 as node, 0.0::double as w from d, es, whole),
+    m0 as (select 0 as round, split, y, margin from r1_0)"""
+    for t in range(1, rounds + 1):
+        for level in range(depth):
+            at = f"{t}_{level}"
+            sums = ", ".join(f"sum({c}) over a as {c}_all, coalesce(sum({c}) filter (where b < 0) over a, 0) as {c}_missing, sum({c}) filter (where b >= 0) over (a order by b) as {c}_upto" for c in "gh")
+            out += f""",
+    h{at} as (select node, j, b, sum(margin - y) as g, count(*)::double as h from (select node, margin, y, unnest(range(1, {k + 1})) as j, unnest(bins) as b from r{at} where split = 'train' and node is not null) group by all),
+    c{at} as (select node, j, b, m, g_all, h_all, g_upto + case when m then g_missing else 0 end as gl, h_upto + case when m then h_missing else 0 end as hl
+      from (select node, j, b, {sums} from h{at} window a as (partition by node, j)), (select unnest([false, true]) as m) where b >= 0),
+    g{at} as (select *, round((gl * gl / (hl + {penalty}) + (g_all - gl) * (g_all - gl) / (h_all - hl + {penalty}) - g_all * g_all / (h_all + {penalty})) / scale, 10) as gain from c{at}, whole where hl >= 1 and h_all - hl >= 1),
+    b{at} as materialized (select * from g{at} where gain > 0 qualify row_number() over (partition by node order by gain desc, j, b, m) = 1),
+    r{t}_{level + 1} as materialized (select bins, y, split, margin, case when b.j is null then null when goes then 2 * node else 2 * node + 1 end as node,
+      case when b.j is null then w when goes then -gl / (hl + {penalty}) else -(g_all - gl) / (h_all - hl + {penalty}) end as w
+      from (select r.*, b.j, b.gl, b.hl, b.g_all, b.h_all, case when bins[b.j] < 0 then b.m else bins[b.j] <= b.b end as goes from r{at} r left join b{at} b using (node)) b)"""
+        out += f""",
+    r{t + 1}_0 as materialized (select bins, y, split, margin + {rate} * w as margin, 1 as node, 0.0::double as w from r{t}_{depth}),
+    m{t} as (select {t} as round, split, y, margin from r{t + 1}_0)"""
+    every = " union all ".join(f"select * from m{t}" for t in range(rounds + 1))
+    return out + f" select round, split, count(*) as n, round(sqrt(avg((y - margin) * (y - margin))), 4) as rmse from ({every}) group by all"
+
+
+@query("m1_second_order_boosting", sql_boosting(3, 2, 8, 0.3, 1.0))
+def m1_second_order(t):
+    """Error after each round on the rows fitted and on rows held out by order; a discount of nothing is a missing one."""
+    rows = t.v_regress.withColumn("l_discount", F.nullif("l_discount", F.lit(0.0))).select("l_orderkey", *BOOST_FEATURES, "y")
+    rows = sample.hash_split(rows, "l_orderkey", {"train": 0.8, "test": 0.2}, seed=7)
+    model = boost.fit_boosted(rows.filter("split = 'train'"), BOOST_FEATURES, "y", rounds=3, depth=2, bins=8, rate=0.3, penalty=1.0)
+    return boost.errors_by_round(rows, model, "y", ["split"]).select("round", "split", "n", r("rmse", 4).alias("rmse"))
+
+
 @query("m2_feed_forward_classifier", "select count(*) as n, count(distinct y) as classes, true as better_than_majority from v_scored")
 def m2(t):
     """A fitted network must name at least as many rows right as always naming the largest class."""
