@@ -15,9 +15,15 @@ SCALE = 1 << 60
 def score(key: Column, shard: int, weight: float = 1.0) -> Column:
     """The draw of a shard for a key: -weight / ln(u) with u hashed from both alone, so a record meets
     the same draws whatever other shards there are. The largest draw wins with a chance in proportion
-    to the weight, and a new shard can only take records for which its own draw is the largest."""
+    to the weight, and a new shard can only take records for which its own draw is the largest. ``u`` stays
+    below 1, where the logarithm is 0, also for the highest hashes."""
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(shard)))), 1, 15), 16, 10).cast("long")
-    return F.lit(-float(weight)) / F.log((hashed.cast("double") + F.lit(0.5)) / F.lit(float(SCALE)))
+    return F.lit(-float(weight)) / F.log(uniform(hashed))
+
+
+def uniform(hashed: Column) -> Column:
+    """60 bits of a hash as a number above 0 and below 1."""
+    return F.least((hashed.cast("double") + F.lit(0.5)) / F.lit(float(SCALE)), F.lit(1 - 2.0**-53))
 
 
 def shard_rows(records: DataFrame, key: str, order: Sequence[str], weights: Sequence[float], more: Sequence[float] = (1.0,)) -> DataFrame:
