@@ -14,11 +14,14 @@ from millrace.llm.ranks import placed
 from millrace.session import stage
 
 MARK = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)")
-SAID = re.compile(r"\s*(?:on\b.{3,200}\bwrote|.{1,100}\bwrites|[-_ ]*original message[-_ ]*):?\s*", re.IGNORECASE)
+# the line that says who is quoted, in the languages of the corpus
+SAID = re.compile(
+    r"\s*(?:on\b.{3,200}\bwrote|.{1,100}\bwrites|am\b.{3,200}\bschrieb(?:\b.{1,100})?|.{1,100}\bschrieb|le\b.{3,200}\ba écrit|el\b.{3,200}\bescribió|[-_ ]*original message[-_ ]*)\s*:?\s*",
+    re.IGNORECASE,
+)
 SPACE = re.compile(r"\s+")
 # letters of scripts that are written without spaces: each counts as a word
 UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
-LEAST_POINTS = 4  # of a quoted line that is not a paragraph of its own
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -44,15 +47,13 @@ def normalised(text: str) -> str:
     return SPACE.sub(" ", text).strip().lower()
 
 
-def passages(lines: list[str], least: int = 1) -> dict[bytes, int]:
-    """Digests and word counts of the whole, of its paragraphs and of its lines of ``least`` code points, in normalised form."""
+def passages(lines: list[str]) -> dict[bytes, int]:
+    """Digests and word counts of the whole, of its paragraphs and of its lines, in normalised form."""
     text = "\n".join(lines)
     out = {}
-    for parts, points in (([text, *re.split(r"\n[ \t]*\n", text)], 1), (lines, least)):
-        for part in parts:
-            plain = normalised(part)
-            if len(plain) >= points:
-                out[md5(plain.encode(), usedforsecurity=False).digest()] = max(plain.count(" ") + 1, len(UNSPACED.findall(plain)))
+    for part in [text, *re.split(r"\n[ \t]*\n", text), *lines]:
+        if plain := normalised(part):
+            out[md5(plain.encode(), usedforsecurity=False).digest()] = max(plain.count(" ") + 1, len(UNSPACED.findall(plain)))
     return out
 
 
@@ -83,7 +84,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own.append([(d, 0, n) for d, n in passages(body.split("\n")).items()] if body else [])
             found: dict[tuple[bytes, int], int] = {}
             for level, block in blocks:
-                found |= {(d, level): n for d, n in passages(block, LEAST_POINTS).items()}
+                found |= {(d, level): n for d, n in passages(block).items()}
             cited.append([(d, level, n) for (d, level), n in found.items()])
             counts.append(len(blocks))
             deepest.append(max((b[0] for b in blocks), default=0))
@@ -99,8 +100,8 @@ def link(messages: DataFrame) -> DataFrame:
     and by line) and joined to the first message of the conversation that says them in its own words, if that comes
     before. ``origins`` holds, by rising level, the message whose passage is quoted there with most words; it is null if
     there is none. A message replies to the origin of its lowest level that has one; its thread is where following
-    replies ends. Passages of any length count; only a quoted line inside a larger paragraph needs
-    ``LEAST_POINTS`` code points. Letters of scripts without spaces count as words. ``place`` orders a conversation by thread and turn, so that replies stand behind what
+    replies ends. Passages of any length count, single short lines too. Letters of
+    scripts without spaces count as words. ``place`` orders a conversation by thread and turn, so that replies stand behind what
     they answer. ``body`` is the text without quotes.
 
     Null texts have a null body and quote nothing; a null conv_id is a conversation whose messages are not linked;

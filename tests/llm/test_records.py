@@ -157,6 +157,105 @@ def test_origins_of_every_level(spark):
     assert {c: [tuple(x) for x in r.origins] for c, r in got.items()} == {1: [(2, 0)], 2: [(2, 0)], 3: [(1, 1), (2, 0)]}
 
 
+WORDS = ["yes", "no", "the bridge", "is closed", "ok", "我们", "since noon", "who says so", "👍", "north hall", "?"]
+
+
+def thread_of(rng, size):
+    """Messages that quote earlier ones whole, by paragraph or by line, with deeper levels, attributions and noise."""
+    texts = []
+    for turn in range(size):
+        parts = []
+        if texts and rng.random() < 0.8:
+            cited = texts[rng.randrange(len(texts))].split("\n")
+            if rng.random() < 0.5:
+                at = rng.randrange(len(cited))
+                cited = cited[at : at + rng.randrange(1, 4)]
+            if rng.random() < 0.4:
+                parts.append(rng.choice(["On Monday somebody wrote:", "Am Montag schrieb jemand:", "Le 3 mai, quelqu'un a écrit :", "El lunes alguien escribió:"]))
+            parts += [(">" if x.startswith(">") else "> ") + rng.choice([x, x.upper(), x.replace(" ", "   ")]) for x in cited]
+        for _ in range(rng.randrange(4)):
+            parts += [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 3)))] + ([""] if rng.random() < 0.3 else [])
+        texts.append("\n".join(parts))
+    return texts
+
+
+def told(text):
+    """Own lines and quoted blocks (level, lines), read mark by mark."""
+    lines = []
+    for line in text.split("\n"):
+        rest, level = line.lstrip(" \t") if line.lstrip(" \t").startswith(">") else line, 0
+        while rest.startswith(">"):
+            rest, level = rest[1:], level + 1
+            rest = rest[1:] if rest[:1] in (" ", "\t") else rest
+        lines.append((level, rest))
+    own, blocks = [], []
+    for i, (level, line) in enumerate(lines):
+        after = [n for n, x in lines[i + 1 :] if n or x.strip()][:1]
+        if level:
+            if i and lines[i - 1][0] == level:
+                blocks[-1][1].append(line)
+            else:
+                blocks.append((level, [line]))
+        elif not (after and after[0] and line.rstrip(" :").endswith(("wrote", "jemand", "écrit", "escribió"))):
+            own.append(line)
+    return own, blocks
+
+
+def said_in(lines):
+    """Every passage as its words, with how many they are."""
+    paragraphs, held = [], []
+    for line in [*lines, ""]:
+        if line.strip():
+            held.append(line)
+        else:
+            paragraphs, held = [*paragraphs, " ".join(held)], []
+    out = {}
+    for part in (" ".join(lines), *paragraphs, *lines):
+        if words := part.lower().split():
+            out[" ".join(words)] = max(len(words), sum("\u3400" <= c <= "\u9fff" for c in part))
+    return out
+
+
+def test_links_of_generated_threads(spark):
+    rng = random.Random(11)
+    talks = {c: thread_of(rng, rng.randrange(2, 12)) for c in range(60)}
+    want = {}
+    for c, texts in talks.items():
+        first, roots = {}, {}
+        for turn, text in enumerate(texts):
+            own, blocks = told(text)
+            found = {}
+            for level, lines in blocks:
+                for passage, n in said_in(lines).items():
+                    if passage in first:
+                        found[level] = max(found.get(level, (0, 0)), (n, first[passage]))
+            origins = [(level, at) for level, (_, at) in sorted(found.items())]
+            reply = origins[0][1] if origins else None
+            roots[turn] = turn if reply is None else roots[reply]
+            want[c, turn] = (origins, reply, roots[turn], "\n".join(own).strip("\n"))
+            for passage in said_in("\n".join(own).strip("\n").split("\n")):
+                first.setdefault(passage, turn)
+    rows = [(c, i, "user", x) for c, texts in talks.items() for i, x in enumerate(texts)]
+    rng.shuffle(rows)
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)).collect()
+    assert {(r.conv_id, r.turn): ([tuple(x) for x in r.origins or []], r.reply_to, r.thread, r.body) for r in got} == want
+    assert sum(reply is not None for _, reply, _, _ in want.values()) > 150 and any(len(o) > 1 for o, *_ in want.values())
+    for c in talks:
+        mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.place)
+        assert [(r.thread, r.turn) for r in mine] == sorted((r.thread, r.turn) for r in mine) and [r.place for r in mine] == list(range(len(mine)))
+
+
+def test_the_highest_hash_has_a_draw(spark):
+    top = spark.createDataFrame([(sharding.SCALE - 1,), (0,)], "h long").select(sharding.uniform(F.col("h")).alias("u")).collect()
+    assert all(0 < r.u < 1 and log(r.u) < 0 for r in top)
+
+
+def test_ranges_follow_the_rows(spark):
+    rows = spark.range(2000).select(F.lit("one").alias("g"), (F.col("id") * 7 % 2000).alias("o"))
+    got = ranks.placed(rows, "g", ["o"], "at", rows_per_range=50)
+    assert got.filter("at <> o").count() == 0 and got.count() == 2000
+
+
 def test_long_reply_chains(spark):
     said = [f"this is message number {i} of the long talk" for i in range(40)]
     rows = [(1, i, "user", (f"> {said[i - 1]}\n" if i else "") + said[i]) for i in range(40)]
