@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import ALNUM, LOWER, covered, replaced, runs, slices, span_hashes, utf8, words
+from millrace.session import stage
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -168,11 +169,35 @@ def phrases(rows: list[tuple[str | None, str | None]]) -> Phrases:
     return Phrases(vocabulary, windows, (windows > 0).sum(axis=1), np.searchsorted(which[by], np.arange(len(windows) + 1)), item[by], names)
 
 
+def _pieces(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Items of more than ``most`` windows become several of that many, with nine words in common with the next one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = utf8(batch.column("text"))
+            begin, end, row = words(LOWER[data], offsets, ALNUM)
+            counts = np.bincount(row, minlength=batch.num_rows)
+            firsts = np.cumsum(counts) - counts
+            for i, item in enumerate(batch.column("item").to_pylist()):
+                starts = range(0, max(1, int(counts[i]) - WINDOW + 1), most)
+                for at in starts:
+                    if len(starts) == 1:
+                        text = bytes(data[offsets[i] : offsets[i + 1]])
+                    else:
+                        first, last = firsts[i] + at, firsts[i] + min(at + most + WINDOW - 1, counts[i]) - 1
+                        text = bytes(data[begin[first] : end[last]])
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([text.decode()], pa.string())], names=["item", "text"])
+
+    return run
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, most: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """The test set in blocks of bounded size, each small enough to go to every task. A block ends after the item
-    with which it reaches ``most`` characters times eight."""
+    """The test set in blocks of bounded size, each small enough to go to every task, made one at a time. A block ends
+    after the piece with which it reaches ``most`` characters times eight; tasks cut longer items into pieces, so only
+    a single word can be larger than that."""
     held, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string"), text).toLocalIterator():
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
+    for row in rows.mapInArrow(_pieces(most), "item string, text string").toLocalIterator():
         held.append((row[0], row[1]))
         size += len(row[1] or "")
         if size >= 8 * most:
@@ -264,12 +289,15 @@ def _merged(raw: bytes | None) -> np.ndarray:
 
 
 def _searched(documents: DataFrame, benchmark: DataFrame, text: str, item: str, phrase: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """One pass for each block of the test set; the last one makes the result."""
+    """One pass for each block of the test set; the last one makes the result. Passes before it are written to the
+    shared folder, so that the driver and a task hold one block, however many there are."""
     out = documents.select("*", F.lit(0).cast("long").alias("_words"), F.lit(None).cast("binary").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
-    *others, last = [*blocks(benchmark, item, phrase)] or [None]
-    for block in others:
-        out = out.mapInArrow(_search(block, text), out.schema)
-    return out.mapInArrow(_search(last, text, finish), schema)
+    rest = blocks(benchmark, item, phrase)
+    block = next(rest, None)
+    while (following := next(rest, None)) is not None:
+        out = stage(out.mapInArrow(_search(block, text), out.schema), "decontaminate-pass")
+        block = following
+    return out.mapInArrow(_search(block, text, finish), schema)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", phrase: str = "text") -> DataFrame:

@@ -125,6 +125,8 @@ def test_decontamination_by_hand(spark, documents, no_documents, monkeypatch):
     vocabulary = ["a", "B", "cé", "dd", "e1"]
     items = [(i, " ".join(random.choices(vocabulary, k=random.randrange(14)))) for i in range(25)] + [(3, "x y"), (None, "a b c d e f g h i j"), (40, None), (41, "...")]
     texts = [" ".join(random.choices(vocabulary, k=random.randrange(80))) + random.choice(["", "!x Y", "."]) for _ in range(80)]
+    items.append((42, " ".join(random.choices(vocabulary, k=60))))  # comes in pieces where blocks are small
+    texts += [" ".join(items[-1][1].split()[a:b]) + " zz" for a, b in ((0, 60), (3, 14), (11, 47), (50, 60), (51, 60))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").union(documents.select("doc_id", "text"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(str((r.doc_id, *hits_by_hand(r.text, items))) for r in docs.collect())
