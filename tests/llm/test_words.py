@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from hashlib import sha256
 from itertools import combinations
 
@@ -255,16 +256,94 @@ def subsequence_by_hand(left, right):
     return row[-1]
 
 
+def edited(rng, words, share):
+    """The words with some replaced, doubled, left out or followed by strange ones; the first and last stay."""
+    out = []
+    for w in words[1:-1]:
+        kind = rng.random() / share
+        out += [[-1], [w, w], [], [w, -1, -1]][int(kind * 4)] if kind < 1 else [w]
+    return [words[0], *out, words[-1]]
+
+
 def test_best_notice_by_hand():
+    """Pairs never exceed a longest common subsequence; an edited copy is found where it was put, behind decoys, too."""
     rng = random.Random(5)
+    found = 0
     for _ in range(300):
         words = [rng.randrange(6) for _ in range(rng.randrange(1, 6))]
         text = np.array([rng.choice([-1, -1, 7, *range(6)]) for _ in range(rng.randrange(60))], dtype=np.int64)
-        template = licenses.Template("t", words)
-        pairs = licenses.best_notice(text, np.flatnonzero(np.isin(text, words)), template, 0.8)
-        best = max((subsequence_by_hand(text[i : i + 5 * len(words)].tolist(), words) for i in range(len(text))), default=0)
-        assert len(pairs) == (best if best >= 0.8 * len(words) else 0)
+        pairs = licenses.best_notice(text, np.flatnonzero(np.isin(text, words)), licenses.Template("t", words), 0.8)
+        best = max((subsequence_by_hand(text[i : i + 4 * len(words)].tolist(), words) for i in range(len(text))), default=0)
+        assert not pairs or 0.8 * len(words) <= len(pairs) <= best
         assert all(text[i] == words[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        exact = [i for i in range(len(text)) if text[i : i + len(words)].tolist() == words]
+        if exact:
+            found += 1
+            assert [i for i, _ in pairs] == list(range(exact[0], exact[0] + len(words)))
+    assert found > 50
+    for case in range(200):
+        words = list(range(40)) if case % 2 else [rng.choice([*range(30), 0, 0, 1]) for _ in range(40)]
+        words[0], words[-1] = 50, 51
+        copy = edited(rng, words, 0.12)
+        decoy = [rng.choice([*words, -1, -1, -1]) for _ in range(120)]
+        half = words[: 20] if case % 3 else words[20:]
+        strange = [-1] * 100
+        parts = [decoy, strange, copy, strange, half, strange]
+        if case % 5 == 0:
+            parts = [half, strange, decoy, strange, copy, strange]
+        place = sum(map(len, parts[: parts.index(copy)]))
+        text = np.array(sum(parts, []), dtype=np.int64)
+        pairs = licenses.best_notice(text, np.flatnonzero(np.isin(text, words)), licenses.Template("t", words), 0.8)
+        best = subsequence_by_hand(copy, words)
+        if best < 33:
+            continue
+        assert (pairs[0][0], pairs[-1][0]) == (place, place + len(copy) - 1)
+        assert len(pairs) == best if case % 2 else len(pairs) >= 32
+
+
+def test_copies_one_after_another():
+    """Each copy lacks words; the best covered of them is taken, not pieces of several."""
+    words = list(range(30))
+    copies = [[w for w in words if w % 30 not in lost] for lost in ({3, 4, 20}, {7}, {9, 11})]
+    text = np.array([-1, *copies[0], -1, -1, *copies[1], -1, *copies[2], -1], dtype=np.int64)
+    pairs = licenses.best_notice(text, np.flatnonzero(text >= 0), licenses.Template("t", words), 0.8)
+    assert len(pairs) == 29 and pairs[0][0] == 1 + 27 + 2
+
+
+def test_choice_among_whole_licenses(spark):
+    """Whole texts with changed holders, wrapped lines and comment signs; the best covered is the license, all are listed."""
+    far = " word of another kind" * 80
+    spoken = lambda name: licenses.LICENSES[name].replace("\n", "\n * ")
+    rows = [(i, f"Copyright someone\n * {spoken(name)}{far}") for i, name in enumerate(licenses.LICENSES)]
+    rows.append((100, far + spoken("ISC").replace("AUTHOR", "PEOPLE") + far + spoken("Zlib")))
+    rows.append((101, licenses.LICENSES["MIT-license"][:300] + far))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.LICENSES).collect()}
+    for i, name in enumerate(licenses.LICENSES):
+        assert (got[i].license, got[i].coverage) == (name, 1.0)
+        assert rows[i][1][got[i].start_byte : got[i].end_byte].split()[0].strip("(") == licenses.LICENSES[name].split()[0]
+    assert (got[100].license, got[100].licenses) == ("Zlib", "ISC,Zlib") and got[101].license is None
+
+
+def test_long_template_in_long_text(tmp_path):
+    """A template of 6,000 words and an edited copy in 20,000 words, among words of the template in any order."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(900)]
+    words = [rng.choice(common) if rng.random() < 0.8 else f"own{i}" for i in range(6000)]
+    (tmp_path / "long.txt").write_text(" ".join(words))
+    (tmp_path / "short.txt").write_text("Released under the Short License.")
+    templates = licenses.read_templates(str(tmp_path))
+    assert list(templates) == ["long", "short"]
+    copy = [w for w in words if rng.random() > 0.03]
+    text = [rng.choice([*common[:300], "strange"]) for _ in range(7000)] + copy + ["strange"] * 7000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" ".join(text)]})
+    begin = time.process_time()
+    (out,) = licenses._scan(licenses.compiled(templates), 0.8)(iter([batch]))
+    took = time.process_time() - begin
+    row = out.to_pylist()[0]
+    assert row["license"] == "long" and row["coverage"] > 0.95
+    at = len(" ".join(text[:7000]))
+    assert abs(row["start_byte"] - at) < 60 and abs(row["end_byte"] - len(" ".join(text[: 7000 + len(copy)]))) < 60
+    assert took < 8  # two seconds on an idle core
 
 
 def test_words_end_with_their_row():
