@@ -104,7 +104,7 @@ def pooled(counts: DataFrame) -> DataFrame:
 
 def _with_totals(counts: DataFrame, key: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, DataFrame]:
     totals = counts.groupBy(*key).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    ranked = scan(counts, ["__down"], key, rank=None, sums={"tp": "pos", "fp": "neg"}, rows_per_bucket=rows_per_bucket).drop("__down")
+    ranked = scan(counts, ["__down"], key, rank=None, sums={"tp": "pos", "fp": "neg"}, rows_per_bucket=rows_per_bucket, stored=True).drop("__down")
     if key:
         return lookup(ranked, totals, key, ["P", "N"]), totals
     row = one_row(totals)

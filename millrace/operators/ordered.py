@@ -24,9 +24,11 @@ WHOLE = "__whole"
 ROWS_PER_BUCKET = 1_000_000
 
 
-def range_buckets(df: DataFrame, partition: Sequence[str], order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The rows, stored in key ranges of about ``rows_per_bucket``; adds the range's number and a constant column."""
-    rows = stage(df.withColumn(WHOLE, F.lit(0)), "ordered-rows")
+def range_buckets(df: DataFrame, partition: Sequence[str], order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, stored: bool = False) -> DataFrame:
+    """The rows, stored in key ranges of about ``rows_per_bucket``; adds the range's number and a constant column.
+
+    ``stored`` says that ``df`` is a stored table already, which can be read as often as a copy of it."""
+    rows = df.withColumn(WHOLE, F.lit(0)) if stored else stage(df.withColumn(WHOLE, F.lit(0)), "ordered-rows")
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, math.ceil(rows.count() / rows_per_bucket))  # the count comes from the files' footers
     return stage(rows.repartitionByRange(buckets, *partition, *order).withColumn(BUCKET, F.spark_partition_id()), "ordered-ranges")
@@ -55,16 +57,18 @@ def scan(
     sums: dict[str, str] | None = None,
     lows: dict[str, str] | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    stored: bool = False,
 ) -> DataFrame:
     """1-based rank, running sums and running minima in ``order`` within ``partition``.
 
     ``order`` must be unique inside a partition for the rank to be reproducible; order
     descending by passing a negated column. ``sums`` and ``lows`` map output name to input
     column; a sum includes the row itself, a low is the least value of the rows before it.
+    A ``stored`` table is not copied before it is dealt into ranges.
     """
     partition, order, sums, lows = list(partition), list(order), dict(sums or {}), dict(lows or {})
     group = partition or [WHOLE]
-    bucketed = range_buckets(df, partition, order, rows_per_bucket)
+    bucketed = range_buckets(df, partition, order, rows_per_bucket, stored)
     window = Window.partitionBy(BUCKET, *group).orderBy(*order)
     running = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)

@@ -13,30 +13,66 @@ from millrace.operators.ordered import ROWS_PER_BUCKET, scan
 from millrace.session import stage
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int = ROWS_PER_BUCKET) -> dict[str, list[float | None]]:
+ACCURACY = 10_000
+COLLECTED = 200_000
+
+
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], rows_per_bucket: int = ROWS_PER_BUCKET, accuracy: int = ACCURACY, collected: int = COLLECTED) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of numeric columns; NULL and NaN are ignored.
 
-    The columns become (column, value) pairs, which are counted map-side and stored; one ordered
-    scan gives the running count of each value. The driver gets the size of each column and the
-    values at the ranks asked for, so the number of jobs does not depend on the columns.
+    The table is read twice. The first pass gives size, least and largest value of each column, and a sketch two values
+    close around each rank asked for. The second counts, map-side, what lies below these and each value between them;
+    a rank the sketch has missed is looked for between the least and the largest value. The driver gets at most
+    ``collected`` counted values; more of them are scanned in order on the executors.
     """
     names = list(wanted)
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), known(F.col(c).cast("double")).alias("v")) for i, c in enumerate(names)]))
-    pairs = df.select(cells.alias("c")).select("c.*").filter("v is not null")
-    counted = stage(pairs.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")), "value-counts")
-    sizes = dict(map(tuple, counted.groupBy("i").agg(F.sum("k")).collect()))
-    places = {i: [q * (sizes[i] - 1) for q in wanted[c]] for i, c in enumerate(names) if i in sizes}
-    ranks = {i: sorted({r for p in ps for r in (math.floor(p), math.ceil(p))}) for i, ps in places.items()}
-    values: dict[tuple[int, int], float] = {}
-    if ranks:
-        asked = df.sparkSession.createDataFrame([(i, rs) for i, rs in ranks.items()], "i int, ranks array<bigint>")
-        upto = scan(counted, ["v"], ["i"], rank=None, sums={"upto": "k"}, rows_per_bucket=rows_per_bucket)
-        here = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("k")))
-        found = upto.join(asked, "i").select("i", "v", F.explode(here).alias("r"))
-        values = {(x["i"], x["r"]): x["v"] for x in found.collect()}
+    table = df.select(*[known(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(names)])
+    margin = 2 / accuracy
+    asked = {i: sorted({min(max(x, 0.0), 1.0) for q in wanted[c] for x in (q - margin, q + margin)}) for i, c in enumerate(names)}
+    near = [F.percentile_approx(f"v{i}", F.array(*[F.lit(x) for x in xs]), F.lit(accuracy)) for i, xs in asked.items() if xs]
+    ends = table.agg(*[f(f"v{i}") for i in asked for f in (F.count, F.min, F.max)], *near).first()
+    sketched = dict(zip([i for i, xs in asked.items() if xs], ends[3 * len(names) :]))
+    sizes = {i: ends[3 * i] for i in asked}
+    places = {i: [q * (sizes[i] - 1) for q in wanted[c]] for i, c in enumerate(names) if sizes[i] and wanted[c]}
+    narrow, whole = [], []
+    for i, ps in places.items():
+        least, most = ends[3 * i + 1 : 3 * i + 3]
+        value = dict(zip(asked[i], sketched[i]))
+        for q, p in zip(wanted[names[i]], ps):
+            low, high = (min(max(x, 0.0), 1.0) for x in (q - margin, q + margin))
+            narrow.append((i, value[low] if low > 0 else least, value[high] if high < 1 else most, [math.floor(p), math.ceil(p)]))
+        whole.append((i, least, most, []))
+    values = _values_at(table, narrow, rows_per_bucket, collected)
+    missed = {i: sorted({r for p in ps for r in (math.floor(p), math.ceil(p)) if (i, r) not in values}) for i, ps in places.items()}
+    values |= _values_at(table, [(i, low, high, missed[i]) for i, low, high, _ in whole if missed[i]], rows_per_bucket, collected)
     return {c: [_between(values, i, p) for p in places[i]] if i in places else [None] * len(wanted[c]) for i, c in enumerate(names)}
 
 
+def _values_at(table: DataFrame, spans: list[tuple[int, float, float, list[int]]], rows_per_bucket: int, collected: int) -> dict[tuple[int, int], float]:
+    """The values at 0-based ranks of columns v0, v1, ..., each looked for in a span (column, low, high, ranks)."""
+    if not spans:
+        return {}
+    cells = []
+    for s, (i, low, high, _) in enumerate(spans):
+        v = F.col(f"v{i}")
+        cells.append(F.when(v < low, F.struct(F.lit(s).alias("s"), F.lit(None).cast("double").alias("v"))).when(v <= high, F.struct(F.lit(s).alias("s"), v.alias("v"))))
+    pairs = table.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+    counted = stage(pairs.groupBy("s", "v").agg(F.count(F.lit(1)).alias("k")), "value-counts")
+    found = {}
+    if counted.count() <= collected:  # from the files' footers
+        upto = [0] * len(spans)
+        for s, v, k in sorted(map(tuple, counted.collect()), key=lambda x: (x[0], x[1] is not None, x[1])):
+            found |= {(spans[s][0], r): v for r in spans[s][3] if upto[s] <= r < upto[s] + k and v is not None}
+            upto[s] += k
+        return found
+    asked = table.sparkSession.createDataFrame([(s, span[3]) for s, span in enumerate(spans)], "s int, ranks array<bigint>")
+    upto = scan(counted, ["v"], ["s"], rank=None, sums={"upto": "k"}, rows_per_bucket=rows_per_bucket, stored=True)
+    here = F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("k")))
+    for x in upto.filter("v is not null").join(asked, "s").select("s", "v", F.explode(here).alias("r")).collect():
+        found[spans[x["s"]][0], x["r"]] = x["v"]
+    return found
+
+
 def _between(values: Mapping[tuple[int, int], float], column: int, place: float) -> float:
     low, high = math.floor(place), math.ceil(place)
     a, b = values[column, low], values[column, high]

@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import row_hash
-from millrace.operators.ordered import at_or_below, scan
+from millrace.operators.ordered import BUCKET, ROWS_PER_BUCKET, at_or_below, range_buckets, scan
 
 
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 0, column: str = "split") -> DataFrame:
@@ -79,13 +79,22 @@ def three_way(df: DataFrame, key: str, train_share: float = 0.7, until_val: floa
     return exact_split(df, key, {"train": int(n * train_share), "val": int(n * until_val)}, "test", seed)
 
 
-def sequential_split(df: DataFrame, order: Sequence[str], test_share: float = 0.2) -> DataFrame:
-    """The last ``ceil(share * n)`` rows of a unique order are the test rows; rows stay where they are."""
+def sequential_split(df: DataFrame, order: Sequence[str], test_share: float = 0.2, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The last ``ceil(share * n)`` rows of a unique order are the test rows; rows stay where they are.
+
+    The order columns are dealt into ranges, whose sizes say which range holds the cut; only that one is sorted."""
     n = df.count()
     train = n - math.ceil(test_share * n)
     if train <= 0:
         return df.withColumn("split", F.lit("test"))
-    last = scan(df.select(*order), order, rank="__at").filter(F.col("__at") == train)
+    ranges = range_buckets(df.select(*order), [], order, rows_per_bucket, stored=True)  # read again for the sample only
+    below = 0
+    for number, size in sorted(map(tuple, ranges.groupBy(BUCKET).agg(F.count(F.lit(1))).collect())):
+        if below < train <= below + size:
+            break
+        below += size
+    place = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*order))
+    last = ranges.filter(F.col(BUCKET) == number).withColumn("__at", place).filter(F.col("__at") == train - below)
     return df.withColumn("split", F.when(at_or_below(order, last), "train").otherwise("test"))
 
 

@@ -181,3 +181,28 @@ def test_no_unpartitioned_window(middle):
     df = middle.events.select("event_id", "ts", "value")
     plan = ordered.scan(df, ["ts", "event_id"], sums={"s": "value"}, rows_per_bucket=900)._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(__bucket" in plan and "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("accuracy, collected", [(10, 10**6), (10**9, 10**6), (50, 0)])
+def test_exact_quantiles_around_the_sketch(spark, accuracy, collected):
+    """A coarse sketch, one so close that ranks beside it are looked for again, and spans too full for the driver."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.round(rng.lognormal(0, 3, 3000), 3), np.full(1500, 7.5), [-1e300, 1e300, np.inf, -0.0]])
+    ties = rng.integers(0, 3, len(values)).astype(float)
+    rng.shuffle(values)
+    rows = [(float(a), float(b), None, float(a) if i == 5 else float("nan")) for i, (a, b) in enumerate(zip(values, ties))]
+    df = spark.createDataFrame(rows, "a double, b double, none double, one double").repartition(5)
+    qs = [0.0, 0.0001, 0.25, 0.5, 0.5, 0.75, 0.99, 0.999]  # no rank next to infinity
+    got = exact_quantiles(df, {"a": qs, "b": [*qs, 1.0], "none": [0.5], "one": [0.0, 0.3, 1.0]}, 700, accuracy, collected)
+    assert got["a"] == pytest.approx(np.quantile(values, qs).tolist(), rel=1e-12) and got["b"] == pytest.approx(np.quantile(ties, [*qs, 1.0]).tolist())
+    assert got["none"] == [None] and got["one"] == [values[5]] * 3
+    assert exact_quantiles(df.limit(0), {"a": [0.5]}) == {"a": [None]}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.999, 1.0])
+def test_sequential_split_over_ranges(hot, share):
+    df = hot[0].select("at", "id")
+    rows = sorted(map(tuple, df.collect()))
+    cut = len(rows) - int(np.ceil(share * len(rows)))
+    got = sequential_split(df, ["at", "id"], share, rows_per_bucket=97)
+    assert sorted(map(tuple, got.collect())) == [(*r, "train" if i < cut else "test") for i, r in enumerate(rows)]
