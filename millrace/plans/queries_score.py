@@ -430,6 +430,35 @@ def v11_batch(t):
     return long_pixels(pixels.run(rows, "px", "row_id", (8, 8, 1), chains, split="split"), "px")
 
 
+def sql_train_chain() -> str:
+    """DuckDB form of the whole train chain, a list of 64 values after every step."""
+    u = {n: sql_uniform(f"'0:' || row_id || ':{n}'") for n in ("brightness", "contrast", "turn", "shear", "right", "down", "zoom", "flip")}
+    blurred = " + ".join(
+        f"{K[dy + 1] * K[dx + 1]!r}::double * px[(7 - abs(7 - abs(i // 8 + {dy}))) * 8 + (7 - abs(7 - abs(i % 8 + {dx}))) + 1]" for dy in (-1, 0, 1) for dx in (-1, 0, 1)
+    )
+    return f"""with c as (select row_id, list_concat(list_concat(px, list_reverse(px)), px) as px from v_image),
+    g as (select row_id, list_transform(range(0, 64), lambda i: floor((px[3 * i + 3] * 19595 + px[3 * i + 2] * 38470 + px[3 * i + 1] * 7471 + 32768) / 65536)) as px, 0.8 + {u["brightness"]} * 0.4 as f from c),
+    b as (select row_id, list_transform(px, lambda x: least(255.0, greatest(0.0, x * f))) as px from g),
+    m as (select row_id, px, floor(list_sum(px) / 64 + 0.5) as mean, 0.8 + {u["contrast"]} * 0.4 as f from b),
+    k as (select row_id, list_transform(px, lambda x: least(255.0, greatest(0.0, mean + f * (x - mean)))) as px from m),
+    s as (select row_id, list_transform(range(0, 64), lambda i: {blurred}) as px from k),
+    a as (select row_id, px, radians((2 * {u["turn"]} - 1) * 10) as a, radians((2 * {u["shear"]} - 1) * 10) as s, 0.9 + {u["zoom"]} * 0.2 as z,
+      round_even((2 * {u["right"]} - 1) * 0.8, 0) as right_, round_even((2 * {u["down"]} - 1) * 0.8, 0) as down_, {u["flip"]} < 0.5 as flip from s),
+    t as (select *, (cos(a) - sin(a) * tan(s)) / z as xx, (cos(a) * tan(s) + sin(a)) / z as xy, -sin(a) / z as yx, cos(a) / z as yy from a),
+    o as (select *, i - 3.5::double as cy from t, range(0, 8) r(i)),
+    q as (select *, case when flip then 7 - j else j end - 3.5::double - right_ as dx, cy - down_ as dy from o, range(0, 8) r(j)),
+    f as (select row_id, px, i * 8 + j as pos, round_even(xx * dx + xy * dy + 3.5 + 1e-9, 0)::bigint as x, round_even(yx * dx + yy * dy + 3.5 + 1e-9, 0)::bigint as y from q)
+    select row_id, pos, round((case when x between 0 and 7 and y between 0 and 7 then px[y * 8 + x + 1] else 0.0 end / 255 - 0.485) / 0.229, 6) + 0.0 as v from f"""
+
+
+@query("v11_train_chain", sql_train_chain())
+def v11_train(t):
+    """Grayscale, colour jitter (saturation and hue leave gray pixels alone), blur, random affine map, flip and normalising of colour images in one pass."""
+    colour = t.v_image.select("row_id", F.concat("px", F.reverse("px"), "px").alias("px"))
+    steps = [pixels.grayscale(), *pixels.colour_jitter(0.2, 0.2, 0.2, 0.2), pixels.blur(), pixels.random_affine(10, (0.1, 0.1), (0.9, 1.1), 10), pixels.random_flip(), pixels.normalise([0.485], [0.229])]
+    return long_pixels(pixels.run(colour, "px", "row_id", (8, 8, 3), steps), "px")
+
+
 @query("v12_vector_min_max", "select row_id, i as pos, round((px[i + 1] - list_min(px)) / (list_max(px) - list_min(px)), 6) as v from v_image, range(0, 64) t(i)")
 def v12(t):
     return long_pixels(t.v_image, vectors.min_max("px"))
