@@ -566,10 +566,51 @@ def m3(t):
     return t.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "step bigint, loss double")
 
 
-@query("m3_hidden_layers")
+def sql_hidden(name: str, seed: int, weights, hidden, start: str, steps: int, rate: float) -> str:
+    """The loss before each step of a network with ELU layers: forward and backward sums spelled out for every weight.
+
+    The weights after t steps are the one row of ``{name}_p{t}``: a flat list, layer by layer, weights row by row, then biases."""
+    sizes = [len(weights), *hidden, 1]
+    target = "0.1 * noise + " + " + ".join(f"({w / 10!r}) * feature_{j}" for j, w in enumerate(weights, 1))
+    places, at = [], 1
+    for i, o in zip(sizes, sizes[1:], strict=False):
+        places.append((at, at + i * o))
+        at += i * o + o
+    each, last = f"range(1, {at})", len(sizes) - 2
+    weight = lambda l, i, j: f"w[{places[l][0] + i * sizes[l + 1] + j}]"  # noqa: E731, E741
+    out = f"""{name}_d as materialized (select {", ".join(f"feature_{j} as h0_{j - 1}" for j in range(1, sizes[0] + 1))}, {target} as target from ({sql_features(seed)})),
+    {name}_p0 as materialized (select {start} as w, list_transform({each}, lambda i: 0.0::double) as f, list_transform({each}, lambda i: 0.0::double) as s)"""
+    for t in range(steps):
+        inner = f"select * from {name}_d, {name}_p{t}"
+        for l in range(last + 1):  # noqa: E741
+            sums = ", ".join(f"w[{places[l][1] + j}] + " + " + ".join(f"h{l}_{i} * {weight(l, i, j)}" for i in range(sizes[l])) + f" as z{l}_{j}" for j in range(sizes[l + 1]))
+            inner = f"select *, {sums} from ({inner})"
+            if l < last:
+                inner = f"select *, {', '.join(f'case when z{l}_{j} > 0 then z{l}_{j} else exp(least(z{l}_{j}, 0)) - 1 end as h{l + 1}_{j}' for j in range(sizes[l + 1]))} from ({inner})"
+        inner = f"select *, 2 * (z{last}_0 - target) as b{last}_0 from ({inner})"
+        for l in range(last, 0, -1):  # noqa: E741
+            back = ", ".join(
+                "(" + " + ".join(f"b{l}_{j} * {weight(l, i, j)}" for j in range(sizes[l + 1])) + f") * case when z{l - 1}_{i} > 0 then 1 else exp(least(z{l - 1}_{i}, 0)) end as b{l - 1}_{i}" for i in range(sizes[l])
+            )
+            inner = f"select *, {back} from ({inner})"
+        sums = [x for l in range(last + 1) for x in [*[f"avg(h{l}_{i} * b{l}_{j})" for i in range(sizes[l]) for j in range(sizes[l + 1])], *[f"avg(b{l}_{j})" for j in range(sizes[l + 1])]]]  # noqa: E741
+        out += f""",
+    {name}_g{t} as materialized (select avg((z{last}_0 - target) * (z{last}_0 - target)) as loss, [{", ".join(sums)}] as g from ({inner})),
+    {name}_p{t + 1} as materialized (select list_transform({each}, lambda i: w[i] - {rate} * ((f2[i] / {1 - 0.9 ** (t + 1)!r}::double) / (sqrt(s2[i] / {1 - 0.999 ** (t + 1)!r}::double) + 1e-8::double) + 5e-4::double * w[i])) as w, f2 as f, s2 as s
+      from (select w, list_transform({each}, lambda i: 0.9::double * f[i] + 0.1::double * g[i]) as f2, list_transform({each}, lambda i: 0.999::double * s[i] + 0.001::double * g[i] * g[i]) as s2 from {name}_p{t}, {name}_g{t}))"""
+    return out + f""",
+    {name} as ({" union all ".join(f"select {t}::bigint as step, round(loss, 6) as loss from {name}_g{t}" for t in range(steps))})"""
+
+
+def sql_start(hidden) -> str:
+    flat = learn.flatten(learn.starting_weights([len(WEIGHTS), *hidden, 1]))
+    return f"[{', '.join(map(repr, flat.tolist()))}]::double[]"
+
+
+@query("m3_hidden_layers", "with " + sql_hidden("one", 42, WEIGHTS, (16, 8), sql_start((16, 8)), 12, 0.03) + " select step, loss from one")
 def m3_hidden(t):
     _, losses = learn.fit_mlp(generated(t), "x", "target", hidden=(16, 8), steps=12, rate=0.03)
-    return t.spark.createDataFrame(list(enumerate(losses)), "step bigint, loss double")
+    return t.spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "step bigint, loss double")
 
 
 @query(
@@ -618,8 +659,13 @@ def m7(t):
     return t.spark.createDataFrame(rows, "stage string, step bigint, loss double")
 
 
-@query("m7_hidden_second_stage")
+@query(
+    "m7_hidden_second_stage",
+    "with " + sql_hidden("one", 42, WEIGHTS, (8,), sql_start((8,)), 8, 0.03) + ", " + sql_hidden("two", 43, SECOND, (8,), "(select w from one_p8)", 6, 0.01)
+    + " select 'first' as stage, step, loss from one union all select 'second', step, loss from two",
+)
 def m7_hidden(t):
     first, one = learn.fit_mlp(generated(t), "x", "target", hidden=(8,), steps=8, rate=0.03)
     _, two = learn.fit_mlp(generated(t, 43, SECOND), "x", "target", steps=6, rate=0.01, start=first)
-    return t.spark.createDataFrame([("first", i, x) for i, x in enumerate(one)] + [("second", i, x) for i, x in enumerate(two)], "stage string, step bigint, loss double")
+    rows = [("first", i, round(x, 6)) for i, x in enumerate(one)] + [("second", i, round(x, 6)) for i, x in enumerate(two)]
+    return t.spark.createDataFrame(rows, "stage string, step bigint, loss double")
