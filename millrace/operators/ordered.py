@@ -22,16 +22,26 @@ from millrace.session import stage
 BUCKET = "__bucket"
 WHOLE = "__whole"
 ROWS_PER_BUCKET = 1_000_000
+UNDEALT = 8  # a table of at most this part of a range is windowed as it is
+
+
+def _stored(df: DataFrame, stored: bool) -> DataFrame:
+    """The rows as a stored table, with a constant column; ``stored`` says that ``df`` is one already."""
+    rows = df.withColumn(WHOLE, F.lit(0))
+    return rows if stored else stage(rows, "ordered-rows")
+
+
+def _dealt(rows: DataFrame, partition: Sequence[str], order: Sequence[str], rows_per_bucket: int) -> DataFrame:
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, math.ceil(rows.count() / rows_per_bucket))  # the count comes from the files' footers
+    return stage(rows.repartitionByRange(buckets, *partition, *order).withColumn(BUCKET, F.spark_partition_id()), "ordered-ranges")
 
 
 def range_buckets(df: DataFrame, partition: Sequence[str], order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET, stored: bool = False) -> DataFrame:
     """The rows, stored in key ranges of about ``rows_per_bucket``; adds the range's number and a constant column.
 
     ``stored`` says that ``df`` is a stored table already, which can be read as often as a copy of it."""
-    rows = df.withColumn(WHOLE, F.lit(0)) if stored else stage(df.withColumn(WHOLE, F.lit(0)), "ordered-rows")
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, math.ceil(rows.count() / rows_per_bucket))  # the count comes from the files' footers
-    return stage(rows.repartitionByRange(buckets, *partition, *order).withColumn(BUCKET, F.spark_partition_id()), "ordered-ranges")
+    return _dealt(_stored(df, stored), partition, order, rows_per_bucket)
 
 
 def _spanning(totals: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -64,11 +74,19 @@ def scan(
     ``order`` must be unique inside a partition for the rank to be reproducible; order
     descending by passing a negated column. ``sums`` and ``lows`` map output name to input
     column; a sum includes the row itself, a low is the least value of the rows before it.
-    A ``stored`` table is not copied before it is dealt into ranges.
+    A ``stored`` table is not copied before it is dealt into ranges. Partitions of a table
+    that is a fraction of one range are not dealt either: nothing can reach over a boundary then.
     """
     partition, order, sums, lows = list(partition), list(order), dict(sums or {}), dict(lows or {})
     group = partition or [WHOLE]
-    bucketed = range_buckets(df, partition, order, rows_per_bucket, stored)
+    rows = _stored(df, stored)
+    if partition and rows.count() <= rows_per_bucket // UNDEALT:
+        window = Window.partitionBy(*group).orderBy(*order)
+        done = {rank: F.row_number().over(window).cast("bigint")} if rank else {}
+        done |= {name: F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, 0)) for name, c in sums.items()}
+        done |= {name: F.min(c).over(window.rowsBetween(Window.unboundedPreceding, -1)) for name, c in lows.items()}
+        return rows.withColumns(done).select(*df.columns, *[c for c in done if c not in df.columns])
+    bucketed = _dealt(rows, partition, order, rows_per_bucket)
     window = Window.partitionBy(BUCKET, *group).orderBy(*order)
     running = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
