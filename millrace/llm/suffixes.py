@@ -197,7 +197,10 @@ def _pieces(data: np.ndarray, s: np.ndarray, e: np.ndarray, p: np.ndarray, width
         at, s, e = (np.repeat(x, count) for x in (p, s, e))
         first, last = np.maximum(s, at - block * width - width + 1), np.minimum(e, at - block * width)
         inner = at - block * width
-        core = mix(sum_hashes(data, inner, inner + length + 1 - width, seed=3) + block.astype(np.uint64))
+        order = np.argsort(inner, kind="stable")  # a stretch may end behind the first core of the next one
+        core = np.empty(len(at), dtype=np.uint64)
+        core[order] = sum_hashes(data, inner[order], inner[order] + length + 1 - width, seed=3)
+        core = mix(core + block.astype(np.uint64))
     slice_hashes = span_hashes if width is None else sum_hashes  # whole stretches have any length
     part = mix(slice_hashes(data, first, last + length, seed=4) + (at - first).astype(np.uint64))
     return core.view(np.int64), part.view(np.int64), at, first, last

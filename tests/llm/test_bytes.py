@@ -72,6 +72,22 @@ def test_repeated_passages_by_hand(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == cut_by_hand(texts)
 
 
+def long_letters(seed):
+    return np.random.default_rng(seed).integers(97, 123, 66_000).astype(np.uint8)
+
+
+@pytest.mark.parametrize("seed", [26, 0])  # at these the first core of a stretch stands before the edge of a block, and the last one of the stretch before behind it
+def test_cores_over_the_edge_of_a_block(seed):
+    data = long_letters(seed)
+    s, e, p, _, _ = suffixes.anchors(data, np.array([0, len(data)]))
+    core, _, at, first, last = suffixes._pieces(data, s, e, p, 8, 200)
+    block = (at - last) // 8
+    inner = at - 8 * block
+    assert (np.diff(inner) < 0).any()
+    one = [int(batches.mix(batches.sum_hashes(data, inner[i : i + 1], inner[i : i + 1] + 193, seed=3) + block[i : i + 1].astype(np.uint64)).view(np.int64)[0]) for i in np.flatnonzero(abs(inner - (1 << 16)) < 400)]
+    assert core[abs(inner - (1 << 16)) < 400].tolist() == one
+
+
 def test_odd_documents(spark, documents, no_documents):
     rows = documents.collect()
     expected = cut_by_hand([r.text for r in rows])
