@@ -25,6 +25,9 @@ GROWTH = math.sqrt(2.0)
 MISS = 1 / math.e  # chance of the method's bound
 FALSE_ROWS = 100  # false candidates expected at the bound
 TILE_ROWS, LEAST_ROWS = 65_536, 1_024
+CELLS = 1 << 17  # queries times rows that are counted at a time
+ROUGH_LOW, ROUGH_HIGH, ROUGH_ERROR = 1e-20, 1e30, 2.4e-7  # squared lengths at which 32-bit products do, and how far off they are for each entry
+MOST_STEPS = 2_400  # from the least radius beyond the largest number
 
 
 def _within(half: float) -> float:
@@ -46,59 +49,129 @@ def _directions(count: int, size: int) -> np.ndarray:
 
 
 class Tile:
-    """The rows of a tile: their vectors and, for each projection, the sorted values and who has them."""
+    """The rows of a tile: their vectors and, for each projection, the sorted values and every row's place among them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
         self.count, self.least = plan(len(ids))
         self.directions = _directions(self.count, vectors.shape[1])
         self.values = np.empty((self.count, len(ids)))
-        self.owners = np.empty((self.count, len(ids)), dtype=np.int32)
+        self.places = np.empty((self.count, len(ids)), dtype=np.min_scalar_type(len(ids)))
         for i, direction in enumerate(self.directions):
             projected = vectors @ direction
-            self.owners[i] = np.argsort(projected, kind="stable")
-            self.values[i] = projected[self.owners[i]]
-
-    def nearest(self, own, vector: np.ndarray, most: int) -> list[tuple[float, object]]:
-        """The ``most`` nearest rows found of another id, nearest first.
-
-        The first radius is taken from how far the ``most``-th places around the query are. The search ends when the
-        windows belong to a radius at which that many verified rows lie, so every row as near as the last one found
-        has been under windows in which it collides often enough with a chance of 0.97 by the method's bound; it
-        also ends when every row is verified.
+            owners = np.argsort(projected, kind="stable")
+            self.values[i] = projected[owners]
+            self.places[i, owners] = np.arange(len(ids))
+        self.squares = np.einsum("ij,ij->i", vectors, vectors)
+        self.largest = float(self.squares.max())
+        self.rough = vectors.astype(np.float32) if ROUGH_LOW < self.largest < ROUGH_HIGH else None
+        self.hint = 0.0  # how far the last place of the query before was; it saves counts and decides nothing
+
+    def candidates(self, centers: np.ndarray, halves: np.ndarray) -> np.ndarray:
+        """For each query the rows whose places lie in enough of the windows."""
+        low = np.stack([np.searchsorted(v, c, side="left") for v, c in zip(self.values, (centers - halves[:, None]).T, strict=True)])
+        high = np.stack([np.searchsorted(v, c, side="right") for v, c in zip(self.values, (centers + halves[:, None]).T, strict=True)])
+        kind = self.places.dtype
+        n = len(self.ids)
+        first, size = low.astype(kind), (high - low).astype(kind)
+        away, inside = np.empty((len(centers), n), dtype=kind), np.empty((len(centers), n), dtype=bool)
+        counts = np.zeros((len(centers), n), dtype=np.min_scalar_type(self.count))
+        for i in range(self.count):
+            np.subtract(self.places[i], first[i][:, None], out=away)  # places below the window wrap around
+            np.less(away, size[i][:, None], out=inside)
+            np.add(counts, inside.view(np.uint8), out=counts)
+        return counts >= self.least
+
+    def best(self, own, vector: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest of the rows of another id and how far they are, nearest first, ties by id.
+
+        Of many rows a rough distance first rules out those that are too far for certain."""
+        square = float(np.einsum("i,i", vector, vector))
+        if len(rows) > 4 * most + len(vector) and self.rough is not None and square < ROUGH_HIGH:
+            apart = self.squares[rows] - 2 * (self.rough[rows] @ vector.astype(np.float32))
+            own_rows = self.ids[rows] == own
+            apart[own_rows] = np.inf
+            if len(rows) - own_rows.sum() > most:
+                limit = np.partition(apart, most - 1)[most - 1] + ROUGH_ERROR * (len(vector) + 8) * (self.largest + square)
+                rows = rows[apart <= limit]
+        rows = rows[self.ids[rows] != own]
+        apart = self.vectors[rows] - vector
+        far = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+        order = np.lexsort((self.ids[rows], far))[:most]
+        return rows[order], far[order]
+
+    def nearest(self, owns: np.ndarray, vectors: np.ndarray, most: int) -> list[list[tuple[float, object]]]:
+        """For each query the ``most`` nearest rows found of another id, nearest first.
+
+        The first radius is taken from how far the ``most``-th places around the query are; it then widens by
+        ``GROWTH`` at a time. The search ends at the first radius within which that many verified rows lie, so every
+        row as near as the last one found has been under windows in which it collides often enough with a chance of
+        0.97 by the method's bound; it also ends when every row is verified.
+
+        A wider radius has all the candidates of a narrower one. So the radius at which the search ends is found by
+        halving the steps in question, which begin near the end of the query before, and most queries need one count.
         """
         n = len(self.ids)
-        center = self.directions @ vector
-        place = np.array([np.searchsorted(v, c) for v, c in zip(self.values, center, strict=True)])
-        lo, hi = place.copy(), place.copy()
+        centers = np.stack([self.directions @ v for v in vectors])
+        place = np.stack([np.searchsorted(v, c) for v, c in zip(self.values, centers.T, strict=True)], axis=1)
         reach = min(most, n) - 1
-        ends = np.stack([np.abs(self.values[np.arange(self.count), np.clip(place + s, 0, n - 1)] - center) for s in (-reach, reach)])
-        radius = max(float(np.median(ends.max(axis=0))) * 2 / WIDTH, 1e-300)
-        counts = np.zeros(n, dtype=np.int16)
-        seen = np.zeros(n, dtype=bool)
-        rows, far = np.empty(0, dtype=np.int64), np.empty(0)
-        while True:
-            half = radius * WIDTH / 2
-            for i in range(self.count):
-                a = np.searchsorted(self.values[i, : lo[i]], center[i] - half, side="left")
-                b = hi[i] + np.searchsorted(self.values[i, hi[i] :], center[i] + half, side="right")
-                counts[self.owners[i, a : lo[i]]] += 1
-                counts[self.owners[i, hi[i] : b]] += 1
-                lo[i], hi[i] = a, b
-            new = np.flatnonzero((counts >= self.least) & ~seen)
-            if len(new):
-                seen[new] = True
-                other = new[self.ids[new] != own]
-                apart = self.vectors[other] - vector
-                rows, far = np.concatenate([rows, other]), np.concatenate([far, np.sqrt(np.einsum("ij,ij->i", apart, apart))])
-                if len(rows) > most:  # all rows that tie with the last place stay
-                    limit = np.partition(far, most - 1)[most - 1]
-                    rows, far = rows[far <= limit], far[far <= limit]
-            if len(rows) >= most and far.max() <= radius or seen.all():
-                break
-            radius *= GROWTH
-        best = np.lexsort((self.ids[rows], far))[:most]
-        return [(float(far[j]), self.ids[rows[j]]) for j in best]
+        each = np.arange(self.count)
+        ends = np.stack([np.abs(self.values[each, np.clip(place + s, 0, n - 1)] - centers) for s in (-reach, reach)])
+        starts = np.maximum(np.median(ends.max(axis=0), axis=1) * 2 / WIDTH, 1e-300)
+        widest = np.maximum(np.abs(self.values[:, 0] - centers), np.abs(self.values[:, -1] - centers)).max(axis=1) * 2 / WIDTH
+        with np.errstate(all="ignore"):
+            steps = np.ceil(np.log(np.maximum(widest / starts, 1.0)) / math.log(GROWTH)) + 2
+        steps = np.minimum(np.nan_to_num(steps, nan=MOST_STEPS), MOST_STEPS).astype(int).tolist()
+        searches = [_Steps(s, k, self.hint) for s, k in zip(starts, steps, strict=True)]
+        open_ = list(range(len(searches)))
+        while open_:
+            halves = np.array([searches[q].radius * WIDTH / 2 for q in open_])
+            chosen = self.candidates(centers[open_], halves)
+            for q, mask in zip(open_, chosen, strict=True):
+                rows = np.flatnonzero(mask)
+                searches[q].judge(*self.best(owns[q], vectors[q], rows, most), most, len(rows) == n)
+            open_ = [q for q in open_ if not searches[q].done]
+        if len(searches[-1].far):
+            self.hint = float(searches[-1].far[-1])
+        return [list(zip(s.far.tolist(), self.ids[s.rows], strict=True)) for s in searches]
+
+
+class _Steps:
+    """The search of a query for the first radius at which it may end, among ``steps`` widenings of ``start``; at the
+    last one every row is a candidate."""
+
+    def __init__(self, start: float, steps: int, hint: float):
+        with np.errstate(over="ignore"):
+            self.radii = np.cumprod(np.concatenate([[start], np.full(steps, GROWTH)]))
+        self.failed, self.ended = -1, steps + 1  # the widest radius known not to do, the narrowest that does
+        self.at = min(int(np.searchsorted(self.radii, hint)), steps)
+        self.rows = self.far = np.empty(0)
+        self.done, self.leap = False, 1
+
+    @property
+    def radius(self) -> float:
+        return float(self.radii[self.at])
+
+    def judge(self, rows: np.ndarray, far: np.ndarray, most: int, every: bool) -> None:
+        """Takes what the candidates of the radius are worth and chooses the next one to try."""
+        last = float(far[-1]) if len(far) >= most else math.inf
+        reaches = int(np.searchsorted(self.radii, last))  # the first radius as wide as the last row found is far
+        if last <= self.radius or every or self.at + 1 == len(self.radii):
+            self.ended, self.rows, self.far = self.at, rows, far
+            # a narrower radius finds no nearer rows; if every row is verified and too far, it has nothing to add
+            self.failed = max(self.failed, min(reaches, self.at) - 1)
+            self.at = self.failed + 1 if self.leap else (self.failed + self.ended) // 2
+            self.leap = 0
+        else:
+            self.failed = self.at
+            above = min(self.ended, len(self.radii)) - 1
+            if self.ended < len(self.radii):
+                self.at, self.leap = (self.failed + self.ended) // 2, 0
+            elif reaches <= above:
+                self.at, self.leap = max(reaches, self.at + 1), 0  # these rows do there at the latest
+            else:
+                self.at, self.leap = min(self.at + max(self.leap, 1), above), 2 * max(self.leap, 1)
+        self.done = self.failed + 1 >= self.ended
 
 
 def _search(most: int):
@@ -122,8 +195,11 @@ def _search(most: int):
                     tile, parts = Tile(*(np.concatenate(x) for x in zip(*parts, strict=True))), []
                 if tile is not None:
                     keys = piece.column("ask").to_numpy()
-                    for key, own, vector in zip(keys, ids, vectors, strict=True):
-                        found += [(key, own, d, near) for d, near in tile.nearest(own, vector, most)]
+                    some = max(1, CELLS // len(tile.ids))
+                    for q in range(0, len(ids), some):
+                        part = slice(q, q + some)
+                        for key, own, rows in zip(keys[part], ids[part], tile.nearest(ids[part], vectors[part], most), strict=True):
+                            found += [(key, own, d, near) for d, near in rows]
             kind = batch.schema.field("vec_id").type
             columns = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(

@@ -61,6 +61,47 @@ def test_odd_vectors(spark):
     assert set(got) == {1, 2, 9, 10, 11, 12}
 
 
+def by_widening(tile, own, vector, most):
+    """One radius after the other, every one counted and verified from the start."""
+    n = len(tile.ids)
+    projected = np.stack([tile.vectors @ d for d in tile.directions])
+    center = tile.directions @ vector
+    place = [np.searchsorted(v, c) for v, c in zip(tile.values, center, strict=True)]
+    reach = min(most, n) - 1
+    ends = [max(abs(v[min(max(p + s, 0), n - 1)] - c) for s in (-reach, reach)) for v, c, p in zip(tile.values, center, place, strict=True)]
+    radius, radii = max(float(np.median(ends)) * 2 / collisions.WIDTH, 1e-300), 1
+    while True:
+        half = radius * collisions.WIDTH / 2
+        inside = (projected >= (center - half)[:, None]) & (projected <= (center + half)[:, None])
+        rows = np.flatnonzero(inside.sum(axis=0) >= tile.least)
+        other = rows[tile.ids[rows] != own]
+        apart = tile.vectors[other] - vector
+        found = sorted(zip(np.sqrt(np.einsum("ij,ij->i", apart, apart)).tolist(), tile.ids[other].tolist(), strict=True))[:most]
+        if len(found) == most and found[-1][0] <= radius or len(rows) == n:
+            return found, radii
+        radius, radii = radius * collisions.GROWTH, radii + 1
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "ties", "equal", "few", "huge", "tiny"])
+def test_search_ends_at_the_first_radius_that_does(kind):
+    rng = np.random.default_rng(11)
+    vectors = {
+        "spread": rng.normal(size=(1500, 24)), "clusters": np.repeat(rng.normal(size=(30, 24)), 40, axis=0) + 0.01 * rng.normal(size=(1200, 24)), "ties": rng.integers(-2, 3, (900, 5)).astype(float),
+        "equal": np.concatenate([np.ones((300, 4)), rng.normal(size=(30, 4))]), "few": rng.normal(size=(7, 5)), "huge": 1e200 * rng.normal(size=(300, 6)), "tiny": 1e-200 * rng.normal(size=(300, 6)),
+    }[kind]
+    ids = rng.permutation(np.arange(len(vectors)) // 2)
+    tile = collisions.Tile(ids, vectors)
+    asked = np.unique(np.linspace(0, len(vectors) - 1, 60).astype(int))
+    wanted = [by_widening(tile, ids[i], vectors[i], 10) for i in asked]
+    counted = []
+    count = tile.candidates
+    tile.candidates = lambda centers, halves: counted.append(len(centers)) or count(centers, halves)
+    got = [x for a in range(0, len(asked), 16) for x in tile.nearest(ids[asked[a : a + 16]], vectors[asked[a : a + 16]], 10)]
+    assert got == [found for found, _ in wanted]
+    if kind == "spread":  # the radii before the last ones are not counted
+        assert sum(counted) <= 3 * len(asked) < sum(radii for _, radii in wanted) / 3
+
+
 def test_many_equal_vectors_tie_by_id(spark):
     rows = [(i, [1.0, 1.0, 1.0]) for i in range(400)] + [(1000 + i, [float(i), 1.0, 0.0]) for i in range(30)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
