@@ -24,11 +24,18 @@ from millrace.operators.ordered import scan, sliding_windows
 from millrace.session import stage
 
 Layers = list[tuple[np.ndarray, np.ndarray]]  # per layer: weights (inputs x outputs), bias
+ROWS_PER_SHARE = 250_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even shares for a repeated pass over rows that may come in few or uneven splits."""
-    return df.hint("rebalance")
+def spread(df: DataFrame, rows_per_share: int = ROWS_PER_SHARE) -> DataFrame:
+    """Even shares for a repeated pass over rows that may come in few or uneven splits.
+
+    The rows are stored and their number decides how many shares there are, so what a task holds and reads again in
+    each pass stays near ``rows_per_share`` however large the table is."""
+    rows = stage(df, "spread-rows")
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = math.ceil(rows.count() / rows_per_share)  # the count comes from the files' footers
+    return rows.repartition(shares) if shares > least else rows.hint("rebalance")
 
 
 def _activate(z: np.ndarray, kind: str) -> np.ndarray:

@@ -292,6 +292,16 @@ def test_forecast_beats_the_mean(spark):
     assert {(r.target, r.split): pytest.approx(r.rmse, abs=1e-6) for r in first} == {(r.target, r.split): r.rmse for r in again}
 
 
+def test_shares_follow_the_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(5_000).select("id", (F.col("id") % 7).alias("v")).unionByName(spark.createDataFrame([(None, 1), (1, 1), (1, 1)], "id long, v long"))
+    shared = learn.spread(df, rows_per_share=200)
+    sizes = shared.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 26 > least and max(sizes) <= 250
+    for rows in (shared, learn.spread(df)):
+        assert sorted(map(str, rows.collect())) == sorted(map(str, df.collect()))
+
+
 def test_saved_pipeline(spark, generated, tmp_path):
     wide = generated.select("target", *[F.col("x")[i].alias(f"x{i}") for i in range(3)])
     model = learn.fit_boosted_trees(wide, ["x0", "x1", "x2"], "target", rounds=3, depth=3)
