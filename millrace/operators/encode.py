@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,8 @@ from millrace.operators.lookup import one_row
 from millrace.operators.ordered import scan
 from millrace.session import stage
 
+CELLS_PER_TASK = 1_000_000
+
 
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct values per column, NULL left out; one pass for all columns.
@@ -59,15 +62,40 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stage(scan(values, ["column", "value"], rank="index").withColumn("index", F.col("index") - 1), "dictionary")
 
 
-def encode_open(df: DataFrame, columns: Sequence[str], dictionary: DataFrame, out: str = "indices") -> DataFrame:
+def _often(rows: DataFrame, columns: Sequence[str], support: float) -> DataFrame:
+    """(column, value) of all known values in at least a share of ``support`` of the rows, and perhaps of some others, stored."""
+    texts = rows.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    found = texts.freqItems(texts.columns, max(support, 1e-4))
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}_freqItems").alias("values")) for i, c in enumerate(columns)]))
+    pairs = found.select(lists.alias("c")).select("c.column", F.explode("c.values").alias("value"))
+    return stage(pairs.filter("value is not null"), "often")
+
+
+def encode_open(df: DataFrame, columns: Sequence[str], dictionary: DataFrame, out: str = "indices", cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """Adds the places of a row's ones in its sparse indicator vector, ascending.
 
     Rows are numbered and stored; cells of all columns meet the dictionary in one join and come back to their row in
     another, however many columns there are. Values that the dictionary does not hold, and NULL, set no place; every
     row comes out, a row without places with an empty list, and equal rows each by themselves.
+
+    The number of tasks follows the cells, about ``cells_per_task`` each. Of a larger table the values that alone might
+    fill a task, a few at most, do not go through the shuffle by value: every task gets their places.
     """
     rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "open-rows")
-    found = one_hot_long(rows, ["__row"], columns).join(dictionary, ["column", "value"]).groupBy("__row").agg(F.sort_array(F.collect_list("index")).alias("__places"))
+    cells = one_hot_long(rows, ["__row"], columns)
+    n = rows.count()  # from the files' footers
+    if n * len(columns) > cells_per_task:
+        least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(least, math.ceil(n * len(columns) / cells_per_task))
+        often = F.broadcast(_often(rows, columns, min(cells_per_task / n, 1.0)))
+        known = F.broadcast(stage(dictionary.join(often, ["column", "value"]), "often-places"))
+        others = cells.join(often, ["column", "value"], "left_anti").repartition(tasks, "column", "value")
+        found = others.join(dictionary.repartition(tasks, "column", "value"), ["column", "value"])
+        found = found.select("__row", "index").unionByName(cells.join(known, ["column", "value"]).select("__row", "index")).repartition(tasks, "__row")
+        rows = rows.repartition(tasks, "__row")
+    else:
+        found = cells.join(dictionary, ["column", "value"])
+    found = found.groupBy("__row").agg(F.sort_array(F.collect_list("index")).alias("__places"))
     places = F.coalesce("__places", F.array().cast("array<bigint>")).alias(out)
     return rows.join(found, "__row", "left").select(*[c for c in df.columns if c != out], places)
 

@@ -36,6 +36,21 @@ def test_a_hundred_thousand_levels(spark):
     assert out.filter(F.size("indices") != 1).count() == 0 and out.select(F.explode("indices")).distinct().count() == 100_000
 
 
+def test_tasks_follow_the_cells(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    value = F.when(F.col("id") % 2 == 0, "often").when(F.col("id") % 5 == 0, "new").when(F.col("id") % 7 != 0, F.concat(F.lit("v"), (F.col("id") % 900).cast("string")))
+    df = spark.range(6_000).select(F.col("id").alias("k"), value.alias("c"), F.when(F.col("id") % 3 == 0, F.col("id") % 10).alias("n"))
+    df = df.unionByName(df.filter("k < 4"))
+    known = encode.fit_dictionary(df.filter("c is null or c != 'new'"), ["c", "n"])
+    one = encode.encode_open(df, ["c", "n"], known)
+    for most in (300, 1_000_000):
+        assert sorted(map(str, encode.encode_open(df, ["c", "n"], known, cells_per_task=most).collect())) == sorted(map(str, one.collect()))
+    many = encode.encode_open(df, ["c", "n"], known, cells_per_task=300)
+    assert many.rdd.getNumPartitions() == -(-6_004 * 2 // 300) > least
+    often = {(r["column"], r["value"]) for r in encode._often(df, ["c", "n"], 0.1).collect()}
+    assert {("c", "often"), ("c", "new")} <= often and len(often) <= 30
+
+
 def test_quantile_sketches_add_up(spark):
     rng = random.Random(2)
     values = [rng.expovariate(1) for _ in range(30_000)] + [5.0] * 10_000  # a value with a quarter of all rows
