@@ -55,10 +55,16 @@ def one_hot_long(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> D
     return df.select(*key, cells.alias("c")).select(*key, "c.*").filter("value is not null")
 
 
-def fit_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def fit_dictionary(df: DataFrame, columns: Sequence[str], cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """(column, value, index) of all known values, numbered from 0 by column and value, stored. The numbers come from the
-    ordered scan of the distinct values, so a vocabulary of any size never visits the driver or one task."""
-    values = one_hot_long(df, [], columns).distinct()
+    ordered scan of the distinct values, so a vocabulary of any size never visits the driver or one task. Rows of a
+    larger table are stored and dealt anew, so a task drops repeats among about ``cells_per_task`` cells at a time."""
+    rows = stage(df.select(*columns).withColumn("__row", F.monotonically_increasing_id()), "dictionary-rows")
+    cells = rows.count() * len(columns)  # from the files' footers
+    if cells > cells_per_task:
+        least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(max(least, math.ceil(cells / cells_per_task)), "__row")
+    values = one_hot_long(rows, [], columns).distinct()
     return stage(scan(values, ["column", "value"], rank="index").withColumn("index", F.col("index") - 1), "dictionary")
 
 

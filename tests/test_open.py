@@ -47,6 +47,8 @@ def test_tasks_follow_the_cells(spark):
         assert sorted(map(str, encode.encode_open(df, ["c", "n"], known, cells_per_task=most).collect())) == sorted(map(str, one.collect()))
     many = encode.encode_open(df, ["c", "n"], known, cells_per_task=300)
     assert many.rdd.getNumPartitions() == -(-6_004 * 2 // 300) > least
+    again = encode.fit_dictionary(df.filter("c is null or c != 'new'"), ["c", "n"], cells_per_task=300)
+    assert sorted(map(str, again.collect())) == sorted(map(str, known.collect()))
     often = {(r["column"], r["value"]) for r in encode._often(df, ["c", "n"], 0.1).collect()}
     assert {("c", "often"), ("c", "new")} <= often and len(often) <= 30
 
